@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from partslake.functions import text as T
 from partslake.plans.running import CHUNK_ROWS, int_chunk, numbered, running, top_rows
+from partslake.session import cut_lineage
 
 KEY = ["bin", "part"]
 
@@ -231,7 +232,8 @@ def dispositions(
     checked = check_source(deltas)
     bad = checked.filter(F.col("reject_reason").isNotNull())
     good = resolve_section(checked.filter(F.col("reject_reason").isNull()), sections)
-    replayed = _headers(_replay(stock, good, width), sections)
+    # read three times below; written once instead of replayed three times
+    replayed = cut_lineage(_headers(_replay(stock, good, width), sections))
     own = replayed.filter(F.col("seq").isNotNull())
     given_source = F.try_element_at("cells", F.lit("Source"))
     given_qty = F.try_element_at("cells", F.lit("Qty"))
