@@ -52,15 +52,17 @@ def _first_hits(diffs: DataFrame, rules: Sequence[R.Rule], skip_comments: bool)
         diffs.filter(any_of(F.regexp_replace("diff", r"(?m)^\+", ""), rules))
         .select("change_id", "file", added.alias("lines"))
     )
+
+    def first_with(pattern: str) -> Column:
+        return F.get(F.filter("lines", lambda s: s.rlike(pattern)), F.lit(0))
+
     hits = F.array(
         *[
             F.struct(
                 F.lit(r.name).alias("rule"),
                 F.lit(r.severity).alias("severity"),
                 F.lit(r.pattern).alias("pattern"),
-                F.get(
-                    F.filter("lines", lambda s, p=r.pattern: s.rlike(p)), F.lit(0)
-                ).alias("line"),
+                first_with(r.pattern).alias("line"),
             )
             for r in rules
         ]
