@@ -96,7 +96,7 @@ def scan_secrets(diffs: DataFrame, rules: Sequence[R.Rule] = R.SECRET_RULES) ->
     """Findings of secrets on added lines, comments included, value masked."""
     found = _first_hits(diffs, rules, skip_comments=False).withColumn(
         # the pattern column has one value per rule; few rows get here
-        "match", F.regexp_extract("line", F.col("pattern"), 0)
+        "match", F.regexp_substr("line", F.col("pattern"))
     )
     return found.select(
         "change_id",

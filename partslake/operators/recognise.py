@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partslake.plans.running import numbered, running, time_chunk
+from partslake.plans.running import numbered, running, seconds_of, time_chunk
 
 TIGHT, MEDIUM = 0.10, 0.25
 
@@ -265,7 +265,7 @@ def retry_cap(
     paired = running(
         events, ["camera"], order, chunk, lags={"_ts": F.col("ts"), "_vec": F.col("vec")}
     )
-    gap = F.col("ts").cast("double") - F.col("_ts").cast("double")
+    gap = seconds_of("ts") - seconds_of("_ts")
     starts = F.col("_ts").isNull() | (
         (gap > gap_seconds) & (cosine_distance(F.col("vec"), F.col("_vec")) >= distinct)
     )

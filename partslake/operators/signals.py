@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from partslake.functions import rules as R
 from partslake.operators.workitems import lookup
-from partslake.plans.running import CHUNK_ROWS, int_chunk, running, time_chunk
+from partslake.plans.running import CHUNK_ROWS, int_chunk, running, seconds_of, time_chunk
 
 
 def lighting_bands(pixels: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def undo_window(events: DataFrame, seconds: float = 5.0, chunk: Column | None =
         chunk,
         lags={"_kind": F.col("kind"), "_ts": F.col("ts"), "write_id": F.col("event_id")},
     )
-    age = F.col("ts").cast("double") - F.col("_ts").cast("double")
+    age = seconds_of("ts") - seconds_of("_ts")
     legal = F.coalesce((F.col("_kind") == "write") & (age <= seconds), F.lit(False))
     return before.filter(F.col("kind") == "undo").select(
         *events.columns, legal.alias("legal"), F.when(legal, F.col("write_id")).alias("write_id")

@@ -43,7 +43,8 @@ def _in_order(
 
 def stream_dedup(captures: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """First capture of each image hash; state goes once the watermark passes."""
-    return captures.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["image_hash"])
+    timed = captures.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["image_hash"])
 
 
 def stream_camera_lost(reads: DataFrame, limit: int = 5) -> DataFrame:
