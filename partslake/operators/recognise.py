@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partslake.plans.running import numbered, running, seconds_of, time_chunk
+from partslake.session import cut_lineage
 
 TIGHT, MEDIUM = 0.10, 0.25
 
@@ -269,20 +270,14 @@ def retry_cap(
     starts = F.col("_ts").isNull() | (
         (gap > gap_seconds) & (cosine_distance(F.col("vec"), F.col("_vec")) >= distinct)
     )
-    sessions = running(
+    tried = running(
         paired.withColumn("_start", starts).drop("_ts", "_vec"),
         ["camera"],
         order,
         chunk,
         sums={"part_no": F.col("_start").cast("int")},
+        since={"attempts": (F.col("reframing").cast("int"), F.col("_start"))},
     ).drop("_start")
-    tried = running(
-        sessions,
-        ["camera", "part_no"],
-        order,
-        chunk,
-        sums={"attempts": F.col("reframing").cast("int")},
-    )
     return tried.withColumn(
         "outcome",
         F.when(~F.col("reframing"), "ok")
@@ -313,8 +308,9 @@ def run_captures(
     bands = classify(
         captures.select(F.col("capture_id").alias("id"), "vec"), visible, tight, medium
     ).withColumnRenamed("id", "capture_id")
-    routed = route(
-        captures.join(bands, "capture_id").join(verdicts, "capture_id", "left")
+    # the search feeds stock and cache, and is not to run for each
+    routed = cut_lineage(
+        route(captures.join(bands, "capture_id").join(verdicts, "capture_id", "left"))
     )
     deltas = routed.filter(F.col("outcome.kind") == "Wrote").select(
         "bin",
@@ -325,7 +321,7 @@ def run_captures(
         F.lit(None).cast("string").alias("section"),
         F.create_map().cast("map<string,string>").alias("cells"),
     )
-    outcomes = dispositions(stock, deltas, sections)
+    outcomes = cut_lineage(dispositions(stock, deltas, sections))
     written = outcomes.filter(F.col("disposition") != "rejected").select("bin", "seq")
     learned = (
         routed.filter(F.col("outcome.kind") == "Wrote")

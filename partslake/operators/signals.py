@@ -67,14 +67,14 @@ def camera_lost(
     ``reads`` is ``(camera, seq, ok)``.
     """
     chunk = int_chunk("seq") if chunk is None else chunk
-    failed = running(
-        reads, ["camera"], list(order), chunk, sums={"_fails": (~F.col("ok")).cast("int")}
-    )
-    based = running(
-        failed, ["camera"], list(order), chunk, lasts={"_base": F.when(F.col("ok"), F.col("_fails"))}
+    counted = running(
+        reads,
+        ["camera"],
+        list(order),
+        chunk,
+        since={"_fails": ((~F.col("ok")).cast("int"), F.col("ok"))},
     )
-    run = F.col("_fails") - F.coalesce("_base", F.lit(0))
-    return based.filter(~F.col("ok") & (run == limit)).select(*reads.columns)
+    return counted.filter(~F.col("ok") & (F.col("_fails") == limit)).select(*reads.columns)
 
 
 def _digit(colour: Column) -> Column:

@@ -393,11 +393,14 @@ def i1(spark, d):
     n as (select *, lag(v) over h as le, lead(v) over h as ri, lag(v) over k as up, lead(v) over k as dn from g
       window h as (partition by frame_id, y order by x), k as (partition by frame_id, x order by y)),
     l as (select frame_id, coalesce(le, ri) + coalesce(ri, le) + coalesce(up, dn) + coalesce(dn, up) - 4 * v as z from n)
-    select frame_id, round(var_pop(z), 4) as variance, case when var_pop(z) >= 100 then 'green' when var_pop(z) >= 30 then 'amber' else 'red' end as band
+    select frame_id, round(var_pop(z) * 4096) / 4096 as variance, case when var_pop(z) >= 100 then 'green' when var_pop(z) >= 30 then 'amber' else 'red' end as band
     from l group by frame_id""",
 )
 def i2(spark, d):
-    return I.focus_bands(pixels(spark, d)).withColumn("variance", F.round("variance", 4))
+    # 64 whole numbers: the variance is a multiple of 1 / 4096
+    return I.focus_bands(pixels(spark, d)).withColumn(
+        "variance", F.round(F.col("variance") * 4096) / 4096
+    )
 
 
 LOST = """r as (select concat('cam', user_id) as camera, event_id as seq, event_type <> 'error' as ok from events),
@@ -442,7 +445,7 @@ def resistors(spark, d):
 
 TOLERANCE = "case {0} when 'brown' then 1 when 'red' then 2 when 'green' then 0.5 when 'blue' then 0.25 when 'violet' then 0.1 when 'grey' then 0.05 when 'gold' then 5 when 'silver' then 10 end::double"
 VALUE = (
-    "case when ohms >= 1e6 then {u6} when ohms >= 1e3 then {u3} else {u0} end"
+    "case when ohms is null then null when ohms >= 1e6 then {u6} when ohms >= 1e3 then {u3} else {u0} end"
 ).format(
     **{
         k: f"concat((round(ohms / {s} * 1000)::bigint // 1000), '{u}', rtrim(lpad((round(ohms / {s} * 1000)::bigint % 1000)::varchar, 3, '0'), '0'))"

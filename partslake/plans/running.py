@@ -45,57 +45,93 @@ def running(
     chunk: Column,
     *,
     sums: Mapping[str, Column] | None = None,
+    since: Mapping[str, tuple[Column, Column]] | None = None,
     lasts: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running sums, last non-null values and previous-row values per key.
+    """Add running values per key, each up to and including the current row.
 
-    ``keys`` must not be null and ``order`` must be a total order within a key;
-    ``chunk`` must rise with ``order``. ``lasts`` includes the current row, ``lags``
-    is the row before.
+    ``sums`` are running sums; ``since`` are sums of a value since the last row where a
+    flag holds, that row included; ``lasts`` are last non-null values; ``lags`` are values
+    of the row before. ``keys`` must not be null, ``order`` must be a total order within a
+    key, and ``chunk`` must rise with it. The input is read twice, so a costly one should
+    be written first.
     """
-    sums, lasts, lags = dict(sums or {}), dict(lasts or {}), dict(lags or {})
-    work = df.withColumn(_CHUNK, chunk)
-    for name, expr in sums.items():
-        work = work.withColumn(f"_s_{name}", F.coalesce(expr, F.lit(0)))
-    for name, expr in lasts.items():
-        work = work.withColumn(f"_l_{name}", expr)
-    for name, expr in lags.items():
-        work = work.withColumn(f"_g_{name}", F.struct(expr.alias("v")))
+    sums, since, lasts, lags = dict(sums or {}), dict(since or {}), dict(lasts or {}), dict(lags or {})
+    work = df.withColumn(_CHUNK, chunk).withColumns(
+        {f"_s_{n}": F.coalesce(e, F.lit(0)).cast("long") for n, e in sums.items()}
+        | {f"_t_{n}": F.coalesce(v, F.lit(0)).cast("long") for n, (v, _) in since.items()}
+        | {f"_r_{n}": F.coalesce(r, F.lit(False)) for n, (_, r) in since.items()}
+        | {f"_l_{n}": e for n, e in lasts.items()}
+        | {f"_g_{n}": F.struct(e.alias("v")) for n, e in lags.items()}
+    )
+    local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = work.select(
+        "*",
+        *[F.sum(f"_s_{n}").over(upto).alias(f"_ws_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(upto).alias(f"_wt_{n}") for n in since],
+        *[F.last(f"_l_{n}", ignorenulls=True).over(upto).alias(f"_wl_{n}") for n in lasts],
+        *[F.lag(f"_g_{n}").over(local).alias(f"_wg_{n}") for n in lags],
+    )
+    # what had been summed before the last reset of the chunk, null without one
+    scanned = scanned.withColumns(
+        {
+            f"_wb_{n}": F.last(
+                F.when(F.col(f"_r_{n}"), F.col(f"_wt_{n}") - F.col(f"_t_{n}")), ignorenulls=True
+            ).over(upto)
+            for n in since
+        }
+    )
 
     position = F.struct(*[F.col(c) for c in order])
+    # a chunk's totals; its rows are together already, so this does not shuffle again
     totals = [F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums]
+    totals += [F.sum(f"_t_{n}").alias(f"_t_{n}") for n in since]
+    totals += [F.max(f"_wb_{n}").alias(f"_b_{n}") for n in since]
     totals += [
         F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), position)).alias(f"_l_{n}")
         for n in lasts
     ]
     totals += [F.max_by(f"_g_{n}", position).alias(f"_g_{n}") for n in lags]
-
-    before = (
-        Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    by_chunk = Window.partitionBy(*keys).orderBy(_CHUNK)
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        work.groupBy(*keys, _CHUNK)
+        (scanned if since else work)
+        .groupBy(*keys, _CHUNK)
         .agg(*totals)
+        .withColumns(
+            {f"_a_{n}": F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)) for n in since}
+        )
         .select(
             *keys,
             _CHUNK,
             *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_cs_{n}") for n in sums],
+            *[
+                (
+                    F.col(f"_a_{n}")
+                    - F.coalesce(
+                        F.last(F.col(f"_a_{n}") + F.col(f"_b_{n}"), ignorenulls=True).over(before),
+                        F.lit(0),
+                    )
+                ).alias(f"_ct_{n}")
+                for n in since
+            ],
             *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_cl_{n}") for n in lasts],
             *[F.last(f"_g_{n}").over(before).alias(f"_cg_{n}") for n in lags],
         )
     )
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = work.select(
-        "*",
-        *[F.sum(f"_s_{n}").over(upto).alias(f"_ws_{n}") for n in sums],
-        *[F.last(f"_l_{n}", ignorenulls=True).over(upto).alias(f"_wl_{n}") for n in lasts],
-        *[F.lag(f"_g_{n}").over(local).alias(f"_wg_{n}") for n in lags],
-    ).join(carry, [*keys, _CHUNK])
-    return scanned.select(
+    joined = scanned.join(carry, [*keys, _CHUNK])
+    return joined.select(
         *df.columns,
         *[(F.col(f"_ws_{n}") + F.col(f"_cs_{n}")).alias(n) for n in sums],
+        *[
+            (
+                F.col(f"_wt_{n}")
+                + F.when(F.col(f"_wb_{n}").isNull(), F.col(f"_ct_{n}")).otherwise(-F.col(f"_wb_{n}"))
+            ).alias(n)
+            for n in since
+        ],
         *[F.coalesce(f"_wl_{n}", f"_cl_{n}").alias(n) for n in lasts],
         *[F.coalesce(f"_wg_{n}", f"_cg_{n}")["v"].alias(n) for n in lags],
     )
