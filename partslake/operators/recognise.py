@@ -120,7 +120,9 @@ def nearest(
     )
 
     def product(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "row_id": [], "label": [], "distance": []}
+        # plain object columns convert the same way whether there are rows or not
+        empty = pd.Series([], dtype=object)
+        out = {"id": empty, "row_id": empty, "label": empty, "distance": empty}
         if len(qs) and len(cs):
             cs = cs.sort_values("row_id", kind="stable")
             d = 1.0 - _unit(qs["vec"]) @ _unit(cs["vec"]).T
@@ -132,10 +134,12 @@ def nearest(
             dist = np.take_along_axis(d, best, axis=1)
             rows = np.repeat(np.arange(len(qs)), keep)
             flat, ok = best.ravel(), np.isfinite(dist.ravel())
-            out["id"] = qs["id"].to_numpy()[rows][ok]
-            out["row_id"] = cs["row_id"].to_numpy()[flat][ok]
-            out["label"] = cs["label"].to_numpy()[flat][ok]
-            out["distance"] = dist.ravel()[ok]
+            out = {
+                "id": qs["id"].to_numpy(dtype=object)[rows][ok],
+                "row_id": cs["row_id"].to_numpy()[flat][ok],
+                "label": pd.Series(cs["label"].to_numpy(dtype=object)[flat][ok], dtype=object),
+                "distance": dist.ravel()[ok],
+            }
         return pd.DataFrame(out)
 
     keys = ["cell", "qb", "cb"]

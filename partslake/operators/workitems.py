@@ -185,6 +185,7 @@ def dag_shape(items: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     edges = cut_lineage(all_edges.filter("in_epic").select("epic", "src", "dst"))
     counts = edges.groupBy("epic").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(0))
     size = edges.count()
+    last = 0
     for k in range(1, max_rounds + 1):
         if size == 0:
             break
@@ -193,11 +194,12 @@ def dag_shape(items: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         counts = counts.unionByName(
             edges.groupBy("epic").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k))
         )
-        left = edges.count()
+        left, last = edges.count(), k
         if left == size:
             break
         size = left
-    by_round = counts.alias("c").join(
+    # edges left in the last round were not dropped by it
+    by_round = counts.filter(F.col("k") < last).join(
         counts.select("epic", (F.col("k") - 1).alias("k"), F.col("n").alias("n_next")),
         ["epic", "k"],
         "left",

@@ -88,7 +88,7 @@ def running(
     # a chunk's totals; its rows are together already, so this does not shuffle again
     totals = [F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums]
     totals += [F.sum(f"_t_{n}").alias(f"_t_{n}") for n in since]
-    totals += [F.max(f"_wb_{n}").alias(f"_b_{n}") for n in since]
+    totals += [F.max_by(f"_wb_{n}", position).alias(f"_b_{n}") for n in since]
     totals += [
         F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), position)).alias(f"_l_{n}")
         for n in lasts
