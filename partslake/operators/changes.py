@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from partslake.functions import rules as R
 from partslake.functions import text as T
 from partslake.functions.arrays import exploded
-from partslake.operators.quality import any_of
+from partslake.operators.quality import any_of, can_match
 from partslake.operators.workitems import lookup
 from partslake.sources.markdown import changed_lines
 
@@ -47,14 +47,14 @@ def _first_hits(diffs: DataFrame, rules: Sequence[R.Rule], skip_comments: bool)
     added = changed_lines(F.col("diff"), "+")
     if skip_comments:
         added = F.filter(added, lambda s: ~T.strip(s).rlike(r"^(?:#|//)"))
-    lines = (
-        # the sign would hide a line start from anchored rules, so it goes first
-        diffs.filter(any_of(F.regexp_replace("diff", r"(?m)^\+", ""), rules))
-        .select("change_id", "file", added.alias("lines"))
+    lines = diffs.filter(any_of(F.col("diff"), rules)).select(
+        "change_id", "file", "diff", added.alias("lines")
     )
 
-    def first_with(pattern: str) -> Column:
-        return F.get(F.filter("lines", lambda s: s.rlike(pattern)), F.lit(0))
+    def first_with(rule: R.Rule) -> Column:
+        found = F.filter("lines", lambda s: can_match(s, rule) & s.rlike(rule.pattern))
+        # a rule whose texts the diff lacks costs no pass over its lines
+        return F.when(can_match(F.col("diff"), rule), F.get(found, F.lit(0)))
 
     hits = F.array(
         *[
@@ -62,7 +62,7 @@ def _first_hits(diffs: DataFrame, rules: Sequence[R.Rule], skip_comments: bool)
                 F.lit(r.name).alias("rule"),
                 F.lit(r.severity).alias("severity"),
                 F.lit(r.pattern).alias("pattern"),
-                first_with(r.pattern).alias("line"),
+                first_with(r).alias("line"),
             )
             for r in rules
         ]

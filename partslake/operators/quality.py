@@ -15,23 +15,28 @@ from partslake.plans.running import CHUNK_ROWS, int_chunk, running
 from partslake.sources.markdown import _marks, _stretches, _tables_in_row, inventory_rows
 
 
-def any_of(text: Column, rules: Sequence[R.Rule]) -> Column:
-    """Whether a whole text can hold a line that matches one of the rules.
+def can_match(text: Column, rule: R.Rule) -> Column:
+    """Whether a text contains what every match of the rule needs.
 
-    One pass over the text that lets most documents skip the work per line. Rare line
-    breaks become newlines first, so an anchored rule sees the same line starts.
+    A pattern without case is checked on folded text: upper, then lower case brings
+    together all characters such a pattern takes as equal.
     """
-    plain = F.translate(
-        text, "\r\x0b\x0c\x1c\x1d\x1e" + chr(0x85) + chr(0x2028) + chr(0x2029), "\n" * 9
-    )
-    return plain.rlike("(?m)" + "|".join(f"(?:{r.pattern})" for r in rules))
+    if not rule.needs:
+        return F.lit(True)
+    seen = F.lower(F.upper(text)) if rule.pattern.startswith("(?i") else text
+    return reduce(lambda a, b: a | b, [F.contains(seen, F.lit(n)) for n in rule.needs])
+
+
+def any_of(text: Column, rules: Sequence[R.Rule]) -> Column:
+    """Whether a whole text can match one of the rules; most documents stop here."""
+    return reduce(lambda a, b: a | b, [can_match(text, r) for r in rules])
 
 
 def matching(line: Column, rules: Sequence[R.Rule], extra=None) -> Column:
     """Array of the rules a line matches, as structs; patterns are literals."""
     hits = [
         F.when(
-            line.rlike(r.pattern) if extra is None else line.rlike(r.pattern) & extra(r),
+            can_match(line, r) & line.rlike(r.pattern) & (F.lit(True) if extra is None else extra(r)),
             F.struct(
                 F.lit(r.name).alias("rule"),
                 F.lit(r.message).alias("message"),
@@ -169,7 +174,7 @@ def lint_page_hedge(
     per rule and line.
     """
     lines = (
-        docs.filter(any_of(F.regexp_replace("text", "(?md)<!--.*?-->", ""), rules))
+        docs.filter(any_of(F.col("text"), rules))
         .select("bin", "path", T.split_lines(F.col("text")).alias("lines"))
     )
     cut = _stretches(

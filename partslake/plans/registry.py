@@ -29,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are costly to work on, over all cores.
+
+    A file is split by row groups, so a small table in one group would keep one core busy.
+    Where the input has a split per core already, as any large one has, nothing moves.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/partslake-{name}-{uuid.uuid4().hex}"

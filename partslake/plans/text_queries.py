@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from partslake.functions import rules as R
 from partslake.functions import text as T
 from partslake.operators import quality as Q
-from partslake.plans.registry import query, scratch, table
+from partslake.plans.registry import query, scratch, spread_table, table
 from partslake.sources import markdown as M
 from partslake.sources import stock_store as S
 
@@ -34,7 +34,7 @@ NOTES_CELL = (
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a page of the bin its source names."""
-    return table(spark, d, "documents").select(
+    return spread_table(spark, d, "documents", "doc_id").select(
         F.col("source").alias("bin"),
         F.concat_ws("/", "source", F.concat("doc_id", F.lit(".md"))).alias("path"),
         "text",
@@ -239,7 +239,7 @@ DIFF = "concat('--- a/x\n+++ b/x\n@@\n+', replace(text, '\n', '\n+'), '\n-', rep
       (row_number() over (partition by doc_id, sign order by i) - 1)::int as pos, text from k""",
 )
 def a8(spark, d):
-    diffs = table(spark, d, "documents").selectExpr(
+    diffs = spread_table(spark, d, "documents", "doc_id").selectExpr(
         "doc_id as change_id", "concat('f', doc_id) as file", f"{DIFF} as diff"
     )
     return M.diff_lines(diffs)
@@ -461,7 +461,7 @@ found as ({' union all '.join(
 
 
 def forbidden(spark, d):
-    files = table(spark, d, "documents").select(
+    files = spread_table(spark, d, "documents", "doc_id").select(
         F.expr(FILE_PATH).alias("path"), F.expr(FILE_TEXT).alias("text")
     )
     return Q.scan_forbidden(files)
@@ -478,7 +478,7 @@ def c7(spark, d):
     where doc_id % 4 < 2 and {FILE_PATH} = path and contains(finding, case when doc_id % 4 = 0 then 'home' else 'repo path' end))""",
 )
 def c8(spark, d):
-    lines = table(spark, d, "documents").selectExpr(
+    lines = spread_table(spark, d, "documents", "doc_id").selectExpr(
         f"case doc_id % 4 when 0 then concat({FILE_PATH}, ' : home') when 1 then concat({FILE_PATH}, ':repo path: why')"
         f" when 2 then concat('# ', {FILE_PATH}, ':home') else {FILE_PATH} end as text"
     )
@@ -578,5 +578,5 @@ HINT = (
     select doc_id, family, case when family is null then '{R.GENERIC_HINT}' else hint end as shown from f""",
 )
 def c12(spark, d):
-    verdicts = table(spark, d, "documents").selectExpr("doc_id", f"{HINT} as hint")
+    verdicts = spread_table(spark, d, "documents", "doc_id").selectExpr("doc_id", f"{HINT} as hint")
     return Q.hint_family(verdicts).select("doc_id", "family", "shown")

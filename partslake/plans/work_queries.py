@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from partslake.functions import rules as R
 from partslake.operators import changes as C
 from partslake.operators import workitems as W
-from partslake.plans.registry import query, table
+from partslake.plans.registry import query, spread_table, table
 from partslake.plans.text_queries import _re2
 from partslake.sources import markdown as M
 
@@ -254,7 +254,7 @@ CATEGORY = "case doc_id % 5 when 0 then 'hardware' when 1 then 'docs' when 2 the
     concat('idea-', doc_id, '-x.md') as file from documents where doc_id % 7 <> 0""",
 )
 def e16(spark, d):
-    files = table(spark, d, "documents").selectExpr(
+    files = spread_table(spark, d, "documents", "doc_id").selectExpr(
         "concat('ideas/', if(doc_id % 3 = 0, 'archived', 'open'), '/idea-', doc_id, if(doc_id % 7 = 0, '.note', '-x'), '.md') as path",
         f"concat('---\nid: IDEA-', doc_id, '\ncategory: ', coalesce({CATEGORY}, ''), '\ntitle: About ', source, '\n---\n', text) as text",
     )
@@ -299,7 +299,7 @@ GENERATED = (
     select doc_id, ltrim(regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) as text from c""",
 )
 def e18(spark, d):
-    made = table(spark, d, "documents").selectExpr("doc_id", f"{GENERATED} as text")
+    made = spread_table(spark, d, "documents", "doc_id").selectExpr("doc_id", f"{GENERATED} as text")
     return made.select("doc_id", W.strip_generated(F.col("text")).alias("text"))
 
 
@@ -320,7 +320,7 @@ OF_INTEREST = "doc_id % 7 not in (2, 6)"
     from documents where {OF_INTEREST}""",
 )
 def f1(spark, d):
-    files = table(spark, d, "documents").selectExpr(
+    files = spread_table(spark, d, "documents", "doc_id").selectExpr(
         "doc_id as change_id", f"{FILE} as file", f"{CHANGED} as status"
     )
     near, deleted = C.of_interest(files)
@@ -339,7 +339,7 @@ DIFF = f"concat('--- a\n+++ b\n@@\n+', replace(concat(text, {EXTRA}), '\n', '\n+
 
 
 def diffs(spark, d):
-    return table(spark, d, "documents").selectExpr(
+    return spread_table(spark, d, "documents", "doc_id").selectExpr(
         "doc_id as change_id", f"{FILE} as file", f"{DIFF} as diff"
     )
 
@@ -429,7 +429,7 @@ REFS_NEW = "concat(text, ' runs scripts/a', doc_id % 4, '.py, .claude/hooks/h.x/
 )
 def f5(spark, d):
     # a word boundary does not hold between a blank and a dot, so `.claude/` needs a word before it
-    changes = table(spark, d, "documents").selectExpr(
+    changes = spread_table(spark, d, "documents", "doc_id").selectExpr(
         "doc_id as change_id", "concat('s', doc_id) as file", f"{REFS_OLD} as old", f"{REFS_NEW} as new"
     )
     return C.new_script_refs(changes)
@@ -446,7 +446,7 @@ def f5(spark, d):
 )
 def f6(spark, d):
     found = C.scan_rules(diffs(spark, d)).unionByName(C.scan_secrets(diffs(spark, d)))
-    docs = table(spark, d, "documents")
+    docs = spread_table(spark, d, "documents", "doc_id")
     reviews = docs.selectExpr(
         "doc_id as change_id",
         "concat('All read.\nSEVERITY: ', case doc_id % 8 when 0 then 'critical' when 1 then 'Low' else 'unsure' end, '\n', text) as text",

@@ -406,26 +406,29 @@ def scan_closure_log(docs: DataFrame) -> DataFrame:
     )
 
 
+def _signed(lines: Column, sign: str) -> Column:
+    return F.transform(
+        F.filter(lines, lambda s: s.startswith(sign) & ~s.startswith(sign * 3)),
+        lambda s: F.substring(s, 2, 1 << 30),
+    )
+
+
 def changed_lines(diff: Column, sign: str) -> Column:
     """Array of the added (``+``) or removed (``-``) lines of a unified diff.
 
     File headers go by their three signs, so content that starts like one goes too.
     """
-    return F.transform(
-        F.filter(
-            T.split_lines(diff), lambda s: s.startswith(sign) & ~s.startswith(sign * 3)
-        ),
-        lambda s: F.substring(s, 2, 1 << 30),
-    )
+    return _signed(T.split_lines(diff), sign)
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """``(change_id, file, sign, pos, text)`` of unified diffs."""
+    split = diffs.select("change_id", "file", T.split_lines(F.col("diff")).alias("all"))
     signs = F.array(
         *[
-            F.struct(F.lit(s).alias("sign"), changed_lines(F.col("diff"), s).alias("lines"))
+            F.struct(F.lit(s).alias("sign"), _signed(F.col("all"), s).alias("lines"))
             for s in "+-"
         ]
     )
-    sides = exploded(diffs, ["change_id", "file"], signs, "s")
+    sides = exploded(split, ["change_id", "file"], signs, "s")
     return posexploded(sides, ["change_id", "file", "s.sign"], "s.lines", "pos", "text")
