@@ -61,11 +61,14 @@ def enrich(
     offline, network_unreachable, unknown_mpn (nobody knows it), fallback_missed (known,
     but no datasheet anywhere).
     """
-    found = cache_lookup(parts, cache, now).drop("lifecycle")
+    fresh = expire_stale(cache, now).select(F.col("mpn").alias("part"), "payload_json")
     answers = responses.select(
         F.col("mpn").alias("part"), "status", F.col("payload_json").alias("answer_json")
     )
-    joined = found.join(answers, "part", "left")
+    # both are unique by part, so they meet first, and the parts join once; a part with
+    # many rows can then be split over tasks
+    known = fresh.join(answers, "part", "full_outer")
+    joined = parts.join(known, "part", "left").withColumn("hit", F.col("payload_json").isNotNull())
     asked = F.lit(online) & ~F.col("hit")
     status = F.when(asked, F.coalesce("status", F.lit("unknown")))
     payload = F.from_json(

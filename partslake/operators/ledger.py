@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partslake.functions import text as T
@@ -185,30 +185,43 @@ def _headers(replayed: DataFrame, sections: DataFrame) -> DataFrame:
     return replayed.join(sections.select("bin", "section", "header"), ["bin", "section"], "left")
 
 
+def replay(
+    stock: DataFrame, deltas: DataFrame, sections: DataFrame, width: int = CHUNK_ROWS
+) -> DataFrame:
+    """Stock rows (``seq`` null) and deltas in order, with state and outcome inputs.
+
+    The common part of :func:`dispositions` and :func:`upsert_batch`, written once because
+    both read it more than once; pass it to them to get both from one run.
+    """
+    checked = check_source(deltas)
+    good = resolve_section(checked.filter(F.col("reject_reason").isNull()), sections)
+    return cut_lineage(_headers(_replay(stock, good, width), sections))
+
+
 def _cell_events(replayed: DataFrame) -> DataFrame:
     """Accepted cell values one per row: ``(bin, part, seq, col, value)``.
 
-    Columns the section's header lacks are ignored. Part is never overwritten; Qty and
-    Source are computed, and are ignored on an insert.
+    Columns the section's header lacks are ignored; Qty and Source are computed. The Part
+    cell stays as the row was born.
     """
-    kept = replayed.filter("accepted")
-    if "header" in kept.columns:
-        allowed = F.map_filter(
-            "cells", lambda c, v: F.col("header").isNull() | F.array_contains("header", c)
-        )
-    else:
-        allowed = F.col("cells")
+    known = F.col("header").isNull() | F.array_contains("header", F.col("col"))
+    birth = F.col("inserts") | F.col("seq").isNull()
     return (
-        kept.select(*KEY, "seq", "inserts", F.explode(allowed).alias("col", "value"))
-        .filter(F.col("col") != "Part")
-        .filter(~F.col("col").isin("Qty", "Source"))
-        .drop("inserts")
+        replayed.filter("accepted")
+        .select(*KEY, "seq", "inserts", "header", F.explode("cells").alias("col", "value"))
+        .filter(known & ~F.col("col").isin("Qty", "Source"))
+        .filter((F.col("col") != "Part") | birth)
+        .drop("inserts", "header")
     )
 
 
 def _changed_events(replayed: DataFrame, width: int) -> DataFrame:
     """``(bin, part, seq)`` of deltas that set a cell to another value."""
-    cells = _cell_events(replayed).withColumn("_at", F.coalesce("seq", F.lit(-1)))
+    cells = (
+        _cell_events(replayed)
+        .filter(F.col("col") != "Part")
+        .withColumn("_at", F.coalesce("seq", F.lit(-1)))
+    )
     before = running(
         cells, [*KEY, "col"], ["_at"], int_chunk("_at", width), lags={"before": F.col("value")}
     )
@@ -222,18 +235,20 @@ def _changed_events(replayed: DataFrame, width: int) -> DataFrame:
 
 
 def dispositions(
-    stock: DataFrame, deltas: DataFrame, sections: DataFrame, width: int = CHUNK_ROWS
+    stock: DataFrame,
+    deltas: DataFrame,
+    sections: DataFrame,
+    width: int = CHUNK_ROWS,
+    replayed: DataFrame | None = None,
 ) -> DataFrame:
     """Outcome per delta: inserted / bumped / metadata_updated / no_op / rejected.
 
     ``reason`` says why a delta was rejected. A supplied Qty or Source cell counts as a
     metadata change where it differs, although the computed value then replaces it.
     """
-    checked = check_source(deltas)
-    bad = checked.filter(F.col("reject_reason").isNotNull())
-    good = resolve_section(checked.filter(F.col("reject_reason").isNull()), sections)
-    # read three times below; written once instead of replayed three times
-    replayed = cut_lineage(_headers(_replay(stock, good, width), sections))
+    bad = check_source(deltas).filter(F.col("reject_reason").isNotNull())
+    if replayed is None:
+        replayed = replay(stock, deltas, sections, width)
     own = replayed.filter(F.col("seq").isNotNull())
     given_source = F.try_element_at("cells", F.lit("Source"))
     given_qty = F.try_element_at("cells", F.lit("Qty"))
@@ -274,64 +289,37 @@ def dispositions(
 
 
 def upsert_batch(
-    stock: DataFrame, deltas: DataFrame, sections: DataFrame, width: int = CHUNK_ROWS
+    stock: DataFrame,
+    deltas: DataFrame,
+    sections: DataFrame,
+    width: int = CHUNK_ROWS,
+    replayed: DataFrame | None = None,
 ) -> DataFrame:
     """Stock after the batch: ``(bin, section, part, qty, source, cells)``.
 
-    The end state needs no running values: one aggregation finds where a part begins,
-    one sums from there, one keeps the last value per cell. All combine before the
+    The last state per part and the last value per cell, both combined before the
     shuffle, so a hot part costs one small row per task.
     """
-    checked = check_source(deltas).filter(F.col("reject_reason").isNull())
-    good = resolve_section(checked, sections)
-    empty = F.create_map().cast("map<string,string>")
-    born = (
-        stock.select(*KEY, F.lit(-1).cast("long").alias("at"), "section")
-        .unionByName(
-            good.filter(F.col("insert_error").isNull()).select(
-                *KEY, F.col("seq").alias("at"), F.col("target").alias("section")
-            )
-        )
+    if replayed is None:
+        replayed = replay(stock, deltas, sections, width)
+    at = F.coalesce("seq", F.lit(-1))
+    state = F.struct("section", F.col("qty_after").alias("qty"), "source")
+    last = (
+        replayed.filter("accepted")
         .groupBy(*KEY)
-        .agg(F.min("at").alias("born_at"), F.min_by("section", "at").alias("section"))
-    )
-    events = stock.select(
-        *KEY,
-        F.lit(-1).cast("long").alias("at"),
-        F.col("qty").cast("long").alias("delta"),
-        "source",
-        F.coalesce("cells", empty).alias("cells"),
-    ).unionByName(
-        good.select(
-            *KEY,
-            F.col("seq").alias("at"),
-            F.col("qty_delta").cast("long").alias("delta"),
-            "source",
-            F.coalesce("cells", empty).alias("cells"),
-        )
-    )
-    # Events before the birth only exist where an insert failed first.
-    alive = events.join(born, KEY).filter(F.col("at") >= F.col("born_at"))
-    totals = alive.groupBy(*KEY).agg(
-        F.first("section").alias("section"),
-        F.sum("delta").alias("qty"),
-        F.max_by("source", "at").alias("source"),
+        .agg(F.max_by(state, at).alias("s"))
+        .select(*KEY, "s.*")
     )
     cells = (
-        alive.select(*KEY, "section", "at", "born_at", F.explode("cells").alias("col", "value"))
-        .filter(~F.col("col").isin("Qty", "Source"))
-        # the Part cell stays as the row was born
-        .filter((F.col("col") != "Part") | (F.col("at") == F.col("born_at")))
-        .groupBy(*KEY, "section", "col")
-        .agg(F.max_by("value", "at").alias("value"))
-        .join(sections.select("bin", "section", "header"), ["bin", "section"], "left")
-        .filter(F.col("header").isNull() | F.array_contains("header", F.col("col")))
+        _cell_events(replayed)
+        .groupBy(*KEY, "col")
+        .agg(F.max_by("value", at).alias("value"))
         .groupBy(*KEY)
         # one entry per header column, so the list is as short as a header
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "value")))).alias("cells"))
     )
-    cell_map = F.coalesce("cells", empty)
-    return totals.join(cells, KEY, "left").select(
+    cell_map = F.coalesce("cells", F.create_map().cast("map<string,string>"))
+    return last.join(cells, KEY, "left").select(
         "bin",
         "section",
         "part",

@@ -306,7 +306,7 @@ def run_captures(
     capture. Stock is written before the cache learns: a capture whose stock write was
     rejected teaches nothing.
     """
-    from partslake.operators.ledger import dispositions, upsert_batch
+    from partslake.operators.ledger import dispositions, replay, upsert_batch
 
     visible = model_gate(cache, model_hash)
     bands = classify(
@@ -325,7 +325,8 @@ def run_captures(
         F.lit(None).cast("string").alias("section"),
         F.create_map().cast("map<string,string>").alias("cells"),
     )
-    outcomes = cut_lineage(dispositions(stock, deltas, sections))
+    replayed = replay(stock, deltas, sections)
+    outcomes = cut_lineage(dispositions(stock, deltas, sections, replayed=replayed))
     written = outcomes.filter(F.col("disposition") != "rejected").select("bin", "seq")
     learned = (
         routed.filter(F.col("outcome.kind") == "Wrote")
@@ -342,7 +343,7 @@ def run_captures(
     return {
         "routed": routed,
         "dispositions": outcomes,
-        "stock": upsert_batch(stock, deltas, sections),
+        "stock": upsert_batch(stock, deltas, sections, replayed=replayed),
         "cache": cache_learn(cache, learned),
     }
 
