@@ -10,7 +10,10 @@ from partslake.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "partslake-tests")
+    session = local_session(8, "partslake-tests")
+    # tiny inputs; the code does not depend on the number
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    return session
 
 
 @pytest.fixture

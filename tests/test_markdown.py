@@ -42,31 +42,23 @@ def docs(rows):
     return rows([("b1", "b1/INVENTORY.md", INDEX)], "bin string, path string, text string")
 
 
-@pytest.mark.parametrize(
-    "text, lines",
-    [
-        ("", []), ("\n", [""]), ("a", ["a"]), ("a\n", ["a"]), ("a\n\n", ["a", ""]),
-        ("a\r\nb\rc", ["a", "b", "c"]), ("a\x0bb\x0cc\x1cd\x85e f ", list("abcdef")),
-    ],
-)
-def test_split_lines_is_splitlines(rows, text, lines):
-    got = rows([(text,)], "t string").select(T.split_lines(F.col("t")).alias("l")).first()["l"]
-    assert got == lines == text.splitlines()
-
-
-@pytest.mark.parametrize(
-    "line, cells", [("| a | b |", ["a", "b"]), ("| a ||", ["a"]), ("||x|", ["x"]), ("|a\\|b|", ["a\\", "b"])]
-)
-def test_split_cells(rows, line, cells):
-    assert rows([(line,)], "t string").select(T.split_cells(F.col("t")).alias("c")).first()["c"] == cells
-
-
-@pytest.mark.parametrize(
-    "line, is_sep",
-    [("| --- | :-: |", False), ("| --- | :---: |", True), ("| --- |  |", True), ("|  |  |", False), ("| -- |", False), ("---", False)],
-)
-def test_separator(rows, line, is_sep):
-    assert rows([(line,)], "t string").select(T.is_separator_line(F.col("t")).alias("s")).first()["s"] is is_sep
+TEXTS = ["", "\n", "a", "a\n", "a\n\n", "a\r\nb\rc", "a\x0bb\x0cc\x1cd\x85e\u2028f\u2029"]
+CELLS = [("| a | b |", ["a", "b"]), ("| a ||", ["a"]), ("||x|", ["x"]), ("|a\\|b|", ["a\\", "b"])]
+SEPARATORS = [
+    ("| --- | :-: |", False), ("| --- | :---: |", True), ("| --- |  |", True), ("|  |  |", False), ("| -- |", False), ("---", False),
+]
+
+
+def test_split_lines_is_splitlines(rows):
+    got = rows([(t,) for t in TEXTS], "t string").select(T.split_lines(F.col("t")).alias("l")).collect()
+    assert [r["l"] for r in got] == [t.splitlines() for t in TEXTS]
+
+
+def test_cells_and_separators(rows):
+    got = rows([(t,) for t, _ in CELLS], "t string").select(T.split_cells(F.col("t")).alias("c")).collect()
+    assert [r["c"] for r in got] == [c for _, c in CELLS]
+    got = rows([(t,) for t, _ in SEPARATORS], "t string").select(T.is_separator_line(F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in got] == [s for _, s in SEPARATORS]
 
 
 def test_sections(docs):

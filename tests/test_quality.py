@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from partslake.functions import rules as R
@@ -14,8 +13,7 @@ def lint(rows, *lines, pages=None):
     return tuples(Q.lint_inventory(docs, listing), "line", "rule")
 
 
-@pytest.mark.parametrize(
-    "lines, found",
+ROW_CASES = (
     [
         (["| LM358N | 1 | manual | |"], []),
         (["| LM358N | 1 |  | x |"], [(4, "source-shape")]),
@@ -31,10 +29,18 @@ def lint(rows, *lines, pages=None):
         (["| A | 1 | manual | LM358 family |"], []),
         (["| A | 1 | camera |  |"], []),
         (["| | | | |"], []),
-    ],
+    ]
 )
-def test_row_rules(rows, lines, found):
-    assert lint(rows, *lines) == found
+
+
+def test_row_rules(rows):
+    """One document per case, all in one job."""
+    docs = rows(
+        [(f"b{i}", "p", HEAD + "\n".join(lines)) for i, (lines, _) in enumerate(ROW_CASES)],
+        "bin string, path string, text string",
+    )
+    got = tuples(Q.lint_inventory(docs), "bin", "line", "rule")
+    assert got == sorted(((f"b{i}", *f) for i, (_, fs) in enumerate(ROW_CASES) for f in fs), key=repr)
 
 
 def test_link_rule_needs_the_page_list(rows):
@@ -43,8 +49,7 @@ def test_link_rule_needs_the_page_list(rows):
     assert lint(rows, *line, pages=["a.md"]) == [(5, "parts-link")]
 
 
-@pytest.mark.parametrize(
-    "text, found",
+CLAIM_CASES = (
     [
         ("this is the LM358 family chip", [(1, "is-the")]),
         ("All resistors must be 1%-tolerance", [(1, "must")]),
@@ -59,11 +64,14 @@ def test_link_rule_needs_the_page_list(rows):
         ("a <!-- must --> b", []),
         ("a <!-- x --> must", [(1, "must")]),
         ("", []),
-    ],
+    ]
 )
-def test_page_claims(rows, text, found):
-    docs = rows([("b", "p", text)], "bin string, path string, text string")
-    assert tuples(Q.lint_page_hedge(docs), "line", "rule") == found
+
+
+def test_page_claims(rows):
+    docs = rows([("b", f"p{i}", t) for i, (t, _) in enumerate(CLAIM_CASES)], "bin string, path string, text string")
+    got = tuples(Q.lint_page_hedge(docs), "path", "line", "rule")
+    assert got == sorted(((f"p{i}", *f) for i, (_, fs) in enumerate(CLAIM_CASES) for f in fs), key=repr)
 
 
 def test_forbidden_text(rows):
@@ -143,8 +151,7 @@ def test_verdicts(rows):
     ]
 
 
-@pytest.mark.parametrize(
-    "hint, family",
+HINTS = (
     [
         ("rotate 90°", "angle"), ("show more from the left", "angle"), ("tilt up so the marking is visible", "angle"),
         ("too dark", "lighting"), ("too bright", "lighting"), ("glare on the marking", "lighting"), ("shadow on the body", "lighting"),
@@ -152,8 +159,11 @@ def test_verdicts(rows):
         ("part is cut off", "framing"), ("two parts in shot — show one", "framing"),
         ("reflective surface — try a matte mat", "surface"), ("too close", "distance"), ("too far away", "distance"),
         ("marking worn — try a different side", "marking"), ("marking unreadable from this angle", "marking"), ("hm", None),
-    ],
+    ]
 )
-def test_hints(rows, hint, family):
-    got = Q.hint_family(rows([(hint,)], "hint string")).first()
-    assert got["family"] == family and got["shown"] == (hint if family else R.GENERIC_HINT)
+
+
+def test_hints(rows):
+    got = Q.hint_family(rows([(h,) for h, _ in HINTS], "hint string")).collect()
+    assert [(r["hint"], r["family"]) for r in got] == HINTS
+    assert {r["shown"] for r in got if not r["family"]} == {R.GENERIC_HINT}

@@ -45,8 +45,7 @@ def test_camera_lost(rows):
         assert set(tuples(got, "seq")) == {(5,), (16,)}
 
 
-@pytest.mark.parametrize(
-    "bands, value, tolerance, confidence, resolved",
+DECODED = (
     [
         (["brown", "black", "red", "gold"], "1k", 5.0, 1.0, True),
         (["yellow", "violet", "red", "gold"], "4k7", 5.0, 1.0, True),
@@ -59,16 +58,21 @@ def test_camera_lost(rows):
         (["white", "white", "red", "gold"], None, None, 0.0, False),
         (["pink", "red", "red", "gold"], None, None, 0.0, False),
         (["red"], None, None, 0.0, False),
-    ],
+    ]
 )
-def test_decode(rows, bands, value, tolerance, confidence, resolved):
-    got = I.decode_bands(rows([(bands,)], "bands array<string>")).first()
-    assert (got["value"], got["tolerance"], got["confidence"], got["orientation_resolved"]) == (value, tolerance, confidence, resolved)
 
 
-@pytest.mark.parametrize("ohms, text", [(4700.0, "4k7"), (100.0, "100R"), (1e6, "1M"), (2.2, "2R2"), (0.47, "0R47"), (2210.0, "2k21"), (10500.0, "10k5")])
-def test_format(rows, ohms, text):
-    assert rows([(ohms,)], "o double").select(I.format_ohms(F.col("o"))).first()[0] == text
+def test_decode(rows):
+    got = I.decode_bands(rows([(b,) for b, *_ in DECODED], "bands array<string>")).collect()
+    assert [(r["bands"], r["value"], r["tolerance"], r["confidence"], r["orientation_resolved"]) for r in got] == DECODED
+
+
+OHMS = [(4700.0, "4k7"), (100.0, "100R"), (1e6, "1M"), (2.2, "2R2"), (0.47, "0R47"), (2210.0, "2k21"), (10500.0, "10k5")]
+
+
+def test_format(rows):
+    got = rows([(o,) for o, _ in OHMS], "o double").select(I.format_ohms(F.col("o"))).collect()
+    assert [r[0] for r in got] == [t for _, t in OHMS]
 
 
 def test_uniformity(rows):

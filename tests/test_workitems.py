@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from partslake.operators import workitems as W
@@ -12,16 +11,19 @@ def item(n, status="open", epic="E", order="1", folder=None, pre=()):
     return (f"TASK-{n}", status, folder, f"t/{folder}/task-{n}.md", epic, order, [f"TASK-{p}" for p in pre])
 
 
-@pytest.mark.parametrize(
-    "statuses, want",
+STATUS_CASES = (
     [
         (["closed", "closed"], "closed"), (["open"], "open"), (["open", "closed"], "active"), (["paused"], "active"),
         (["open", "paused"], "active"), ([None], None), ([None, "closed"], "closed"),
-    ],
+    ]
 )
-def test_epic_status(rows, statuses, want):
-    items = rows([item(i, s, folder="open") for i, s in enumerate(statuses)], ITEM)
-    assert tuples(W.epic_status(items)) == [("E", want)]
+
+
+def test_epic_status(rows):
+    items = rows(
+        [item(f"{e}{i}", s, folder="open", epic=f"E{e}") for e, (ss, _) in enumerate(STATUS_CASES) for i, s in enumerate(ss)], ITEM
+    )
+    assert tuples(W.epic_status(items)) == [(f"E{e}", want) for e, (_, want) in enumerate(STATUS_CASES)]
 
 
 def test_misplaced(rows):
