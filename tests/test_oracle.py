@@ -18,6 +18,9 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # no pair-by-pair join, no Python per row
+    assert not [x for x in ("NestedLoop", "CartesianProduct", "BatchEvalPython") if x in plan]
     if name in entry.oracle_sql():
         found = compare(df, con, entry.oracle_sql()[name])
         # a rule may find nothing in the smallest tables
