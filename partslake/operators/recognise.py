@@ -84,10 +84,12 @@ def nearest(
     cache = cache.select("row_id", "label", "vec")
     id_type = dict(queries.dtypes)["id"]
     label_type = dict(cache.dtypes)["label"]
+    n = F.count(F.lit(1)).alias("n")
     if within is None:
         tagged_c = cache.withColumn("cell", F.lit(0))
         tagged_q = queries.withColumn("cell", F.lit(0))
-        cells = {0: 0.0}
+        # one row each
+        cn, qn = ({r["cell"]: r["n"] for r in t.groupBy("cell").agg(n).collect()} for t in (tagged_c, tagged_q))
     else:
         # any choice of pivots gives the same result; a hash order is a repeatable one
         sample = cache.orderBy(F.xxhash64("row_id"), "row_id").limit(pivots).toPandas()
@@ -96,21 +98,24 @@ def nearest(
                 [], f"id {id_type}, rank int, row_id bigint, label {label_type}, distance double"
             )
         points = np.unique(_unit(sample["vec"]), axis=0)
-        tagged_c = _assign(cache, points, None)
-        # at most one row per pivot
+        tagged_c = cut_lineage(_assign(cache, points, None))
+        # one row per pivot at most
+        stats = tagged_c.groupBy("cell").agg(F.max("pivot_d").alias("r"), n).collect()
         radius = np.full(len(points), -np.inf)
-        for r in tagged_c.groupBy("cell").agg(F.max("pivot_d").alias("r")).collect():
+        for r in stats:
             radius[r["cell"]] = r["r"]
-        tagged_q = _assign(queries, points, radius + np.sqrt(2.0 * within))
+        cn = {r["cell"]: r["n"] for r in stats}
+        tagged_q = cut_lineage(_assign(queries, points, radius + np.sqrt(2.0 * within)))
+        qn = {r["cell"]: r["n"] for r in tagged_q.groupBy("cell").agg(n).collect()}
         tagged_c, tagged_q = tagged_c.drop("pivot_d"), tagged_q.drop("pivot_d")
 
-    def blocks_of(df: DataFrame) -> Column:
-        # one count per cell, so a short literal map
-        counts = {r["cell"]: r["n"] for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        pairs = [F.lit(x) for c, n in counts.items() for x in (int(c), max(1, ceil(n / block_rows)))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("cell")), F.lit(1)) if pairs else F.lit(1)
+    def blocks(counts: dict[int, int]) -> Column:
+        # a short literal map: the number of blocks of each cell
+        pairs = [F.lit(x) for c, rows in counts.items() for x in (int(c), ceil(rows / block_rows))]
+        known = F.try_element_at(F.create_map(*pairs), F.col("cell")) if pairs else F.lit(None)
+        return F.coalesce(known, F.lit(1)).cast("int")
 
-    qn, cn = blocks_of(tagged_q), blocks_of(tagged_c)
+    qn, cn = blocks(qn), blocks(cn)
     q = tagged_q.select(
         "cell", _block("id", qn).alias("qb"), F.explode(F.sequence(F.lit(0), cn - 1)).alias("cb"), "id", "vec"
     )

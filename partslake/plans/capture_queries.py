@@ -9,7 +9,8 @@ from partslake.functions import rules as R
 from partslake.operators import enrich as H
 from partslake.operators import recognise as G
 from partslake.operators import signals as I  # noqa: E741
-from partslake.plans.registry import query, scratch, table
+from partslake.plans.registry import query, table
+from partslake.session import scratch
 from partslake.sources import stock_store as S
 from partslake.streaming import streams as J
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partslake.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,8 +36,3 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataF
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/partslake-{name}-{uuid.uuid4().hex}"

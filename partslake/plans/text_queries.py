@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from partslake.functions import rules as R
 from partslake.functions import text as T
 from partslake.operators import quality as Q
-from partslake.plans.registry import query, scratch, spread_table, table
+from partslake.plans.registry import query, spread_table, table
+from partslake.session import scratch
 from partslake.sources import markdown as M
 from partslake.sources import stock_store as S
 

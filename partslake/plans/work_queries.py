@@ -411,7 +411,7 @@ NEW = (
     select event_id as change_id, '.claude/settings.json' as file, rule, severity, detail, '' as snippet from f""",
 )
 def f4(spark, d):
-    changes = table(spark, d, "events").selectExpr(
+    changes = spread_table(spark, d, "events", "event_id").selectExpr(
         "event_id as change_id", "'.claude/settings.json' as file", f"{OLD} as old", f"{NEW} as new"
     )
     return C.settings_diff(changes)
