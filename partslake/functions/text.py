@@ -19,13 +19,29 @@ BLANKS = "".join(
     )
 )
 
+BLANK_CLASS = (
+    r"[ \t\n\r\x0B\x0C\x1C-\x1F\x{85}\xA0\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+OUTER_BLANK = rf"^{BLANK_CLASS}|{BLANK_CLASS}\z"
+
 PARTS_LINK = r"\[([^\]]+)\]\(parts/([^)]+\.md)\)"
 SOURCE_TOKEN = r"^[a-z][a-z0-9_-]*\z"
 SEPARATOR_CELL = r"^:?-{3,}:?\z"
 
 
+def has_outer_blanks(text: Column) -> Column:
+    return text.rlike(OUTER_BLANK)
+
+
 def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(BLANKS))
+    """Text without outer blanks of any kind.
+
+    Trimming plain spaces is cheap and nearly always enough; trimming a set of
+    characters is not, and runs only where another blank is left.
+    """
+    plain = F.trim(text)
+    return F.when(has_outer_blanks(plain), F.btrim(plain, F.lit(BLANKS))).otherwise(plain)
 
 
 def split_lines(text: Column) -> Column:

@@ -61,7 +61,7 @@ def check_source(deltas: DataFrame) -> DataFrame:
     return deltas.withColumn(
         "reject_reason",
         F.when(src == "", "source is empty")
-        .when(src != T.strip(src), "source has outer blanks")
+        .when(T.has_outer_blanks(src), "source has outer blanks")
         .when(~src.rlike(T.SOURCE_TOKEN), "source is not a lowercase token"),
     )
 

@@ -72,7 +72,7 @@ def lint_source_shape(rows: DataFrame) -> DataFrame:
         )
         .when(src == "", "Source cell is empty")
         .when(
-            src != T.strip(src),
+            T.has_outer_blanks(src),
             F.concat(F.lit("Source cell has leading or trailing whitespace: "), _quoted(src)),
         )
         .when(
