@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the words, neighbouring pairs and pairs with one word between,
-each hashed to one of ``2**BITS`` coordinates and counted once. Every coordinate has its
-own learning rate, and L1 leaves most weights at exactly zero, so a model is a short list
+each hashed to one of ``2**BITS`` coordinates and counted once; the upper half belongs to
+the pairs, which weigh less. Every coordinate has its own learning rate, and L1 leaves most weights at exactly zero, so a model is a short list
 of (coordinate, weight) that is broadcast. Scoring reads each text once and moves nothing.
 """
 
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from partslake.llm.common import Hashes, lowered, mix, only, remainder, scans, smallest, table_of, text_bytes, words
 
-BITS = 20
+BITS = 21
 # Labelled rows learnt from, at most.
 SAMPLE_ROWS = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 2.0, 0.0
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 2.0, 0.0
+# Value of a pair; a word has 1.
+PAIR = 0.4
 THRESHOLD = 0.7
 
 # Everything below 0x80 that is no letter or digit separates words.
@@ -34,16 +36,20 @@ def features(data: np.ndarray, offsets: np.ndarray, hashes: Hashes) -> tuple[np.
     hashes.load(data)
     start, end, text = words(data, offsets, _SEPARATOR)
     h = hashes.of(start, end)
-    shift = np.uint64(64 - BITS)
+    shift, upper = np.uint64(65 - BITS), np.uint64(1 << (BITS - 1))
     found, owner = [h >> shift], [text]
     for gap, salt in ((1, 0x2545F4914F6CDD1D), (2, 0xD1342543DE82EF95)):
         same = text[:-gap] == text[gap:] if len(text) > gap else np.zeros(0, bool)
         pair = mix(h[:-gap] * np.uint64(salt) + h[gap:]) if len(text) > gap else h[:0]
-        found.append(pair[same] >> shift)
+        found.append((pair[same] >> shift) | upper)
         owner.append(text[gap:][same] if len(text) > gap else text[:0])
     return np.concatenate(found).astype(np.int64), np.concatenate(owner)
 
 
+def values(feature: np.ndarray) -> np.ndarray:
+    return np.where((feature >> (BITS - 1)) == 1, PAIR, 1.0)
+
+
 def descend(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates and weights that are not zero, and the bias, after ``EPOCHS`` passes."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
@@ -56,8 +62,8 @@ def descend(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray,
 
     for _ in range(EPOCHS):
         for i, label in rows:
-            w = weight(i)
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35.0, 35.0))) - label
+            w, x = weight(i), values(i)
+            g = (1.0 / (1.0 + np.exp(-np.clip((w * x).sum(), -35.0, 35.0))) - label) * x
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA * w
             n[i] += g * g
     w = weight(np.arange((1 << BITS) + 1))
@@ -120,7 +126,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, weights, bias = shared.value
         dense, hashes = np.zeros(1 << BITS), Hashes()
-        dense[index] = weights
+        dense[index] = weights * values(index)
         for batch in batches:
             sums = np.full(batch.num_rows, bias)
             for first, end, data, offsets in scans(batch, "_text"):
