@@ -86,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] | None =
         docs.select("doc_id", text_bytes())
         .join(F.broadcast(known), "doc_id")
         .select("text", "toxic", F.xxhash64("doc_id").alias("at"))
-        .coalesce(1)
+        .repartition(1)
     )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
