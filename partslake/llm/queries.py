@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from partslake.llm.language import language
+from partslake.llm.mixing import mixing
+from partslake.llm.packing import packing
+from partslake.llm.secrets import secrets
 from partslake.llm.simhash import near_duplicates
 from partslake.llm.toxicity import toxicity
 from partslake.plans.registry import query, table
@@ -23,3 +27,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_simhash")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_secrets")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing(table(spark, sf_dir, "documents"))
