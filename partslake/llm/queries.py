@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from partslake.llm.language import language
 from partslake.llm.mixing import mixing
 from partslake.llm.packing import packing
+from partslake.llm.ppm import lm_score
+from partslake.llm.quality import quality
+from partslake.llm.repeats import remove_repeats
 from partslake.llm.secrets import secrets
 from partslake.llm.simhash import near_duplicates
+from partslake.llm.topk import top_k
 from partslake.llm.toxicity import toxicity
 from partslake.plans.registry import query, table
 
@@ -42,3 +47,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op6_topk",
+    """
+    with v as (
+        select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x
+        from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), s as (
+        select q.vec_id as query_id, c.vec_id,
+            cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
+        from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
+    ), r as (
+        select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+    )
+    select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_ppm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
+@query("op4_repeats")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
