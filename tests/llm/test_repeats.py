@@ -24,7 +24,7 @@ def brute(texts, length):
 
 def texts(seed):
     rng = np.random.default_rng(seed)
-    word = lambda: bytes(rng.choice(list(b"abcdefgh"), rng.integers(1, 8)))
+    word = lambda: bytes(rng.choice(list(b"abcdefgh"), rng.integers(1, 8)).tolist())
     prose = lambda n: b" ".join(word() for _ in range(n))
     shared = [prose(n) for n in (8, 10, 14, 30)]
     out = []
@@ -40,6 +40,7 @@ def texts(seed):
                 if b:
                     b[rng.integers(len(b))] = 120
             out.append(bytes(b))
+    out += [prose(12) for _ in range(6)]
     return out + [b"a" * 150, b"ab" * 60, b"a" * 41, b"a" * 40, b"", "é".encode() * 50, b"xyz" * 30 + b"q" + b"xyz" * 30]
 
 
