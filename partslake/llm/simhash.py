@@ -32,8 +32,9 @@ MAX_BITS = 2
 PAIR_ROWS = 1 << 18
 # Bits walked in one round by Spark.
 STEP_BITS = 4
-# Node pairs held at once inside a task, and the size below which two nodes are compared.
-CHUNK, LEAF = 1 << 18, 64
+# Node pairs held at once inside a task, the size below which two nodes are compared one by
+# one, and the pairs of such nodes compared at once.
+CHUNK, LEAF, LEAVES = 1 << 18, 32, 1 << 12
 # Shingles whose bits are counted at once.
 _SLICE = 1 << 14
 
@@ -71,45 +72,71 @@ def fingerprints(docs: DataFrame, keep: list[str], *, shingle: int = SHINGLE_WOR
     return docs.select(*keep, text_bytes().alias("_text")).mapInArrow(run, schema)
 
 
+class Trie:
+    """Nodes of a binary trie over sorted fingerprints, level by level as they are asked for."""
+
+    def __init__(self, values: np.ndarray, depth: int):
+        """All of ``values`` share their first ``depth`` bits."""
+        self.values, self.depth = values, depth
+        self.levels = [(np.zeros(1, np.int32), np.array([len(values)], np.int32))]
+        self.below: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def ranges(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and end position of each node of a level."""
+        return self.levels[depth - self.depth]
+
+    def children(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Child under bit 0 and under bit 1 of each node of a level, -1 for none."""
+        while len(self.below) <= depth - self.depth:
+            lo, hi = self.levels[-1]
+            bit = np.uint64(1) << np.uint64(63 - self.depth - len(self.below))
+            head = ~(bit | (bit - np.uint64(1)))
+            mid = np.searchsorted(self.values, (self.values[lo] & head) | bit).astype(np.int32)
+            there = np.stack([mid > lo, hi > mid], axis=1)
+            number = np.where(there, np.cumsum(there).reshape(there.shape) - 1, -1).astype(np.int32)
+            self.levels.append((np.stack([lo, mid], axis=1)[there], np.stack([mid, hi], axis=1)[there]))
+            self.below.append((number[:, 0].copy(), number[:, 1].copy()))
+        return self.below[depth - self.depth]
+
+
 def walk(a: np.ndarray, b: np.ndarray, depth: int, err: int, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions in sorted ``a`` and ``b`` of fingerprints at ``max_bits`` bits or fewer.
 
     All of ``a`` share their first ``depth`` bits, all of ``b`` too; these differ in ``err``.
     With ``a`` itself as ``b``, each unordered pair comes once.
     """
-    start = tuple(np.array([x], np.int64) for x in (0, len(a), 0, len(b), err))
-    stack = [(depth, start)]
+    left = Trie(a, depth)
+    right = left if a is b else Trie(b, depth)
+    span = np.arange(LEAF, dtype=np.int32)
+    stack = [(depth, np.zeros(1, np.int32), np.zeros(1, np.int32), np.array([err], np.int8))]
     while stack:
-        depth, (alo, ahi, blo, bhi, err_) = stack.pop()
-        if len(alo) > CHUNK:
-            half = len(alo) // 2
-            stack.append((depth, tuple(x[:half] for x in (alo, ahi, blo, bhi, err_))))
-            stack.append((depth, tuple(x[half:] for x in (alo, ahi, blo, bhi, err_))))
+        depth, x, y, err = stack.pop()
+        if len(x) > CHUNK:
+            half = len(x) // 2
+            stack += [(depth, x[:half], y[:half], err[:half]), (depth, x[half:], y[half:], err[half:])]
             continue
-        size = (ahi - alo) * (bhi - blo)
-        leaf = (size <= LEAF) | (depth == 64)
-        if leaf.any():
-            n = size[leaf]
-            at = np.repeat(np.arange(len(n)), n)
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            wide = (bhi - blo)[leaf][at]
-            i, j = alo[leaf][at] + k // wide, blo[leaf][at] + k % wide
-            near = np.bitwise_count(a[i] ^ b[j]) <= max_bits
-            yield i[near], j[near]
-        alo, ahi, blo, bhi, err_ = (x[~leaf] for x in (alo, ahi, blo, bhi, err_))
-        if not len(alo):
+        (alo, ahi), (blo, bhi) = left.ranges(depth), right.ranges(depth)
+        leaf = (np.maximum((ahi - alo)[x], (bhi - blo)[y]) <= LEAF) | (depth == 64)
+        p, q = x[leaf], y[leaf]
+        for first in range(0, len(p), LEAVES):
+            some = slice(first, first + LEAVES)
+            i, j = alo[p[some], None] + span, blo[q[some], None] + span
+            near = np.bitwise_count(a[np.minimum(i, len(a) - 1)][:, :, None] ^ b[np.minimum(j, len(b) - 1)][:, None, :]) <= max_bits
+            pair, m, n = np.nonzero(near)
+            i, j = i[pair, m], j[pair, n]
+            real = (i < ahi[p[some]][pair]) & (j < bhi[q[some]][pair])
+            yield i[real], j[real]
+        x, y, err = x[~leaf], y[~leaf], err[~leaf]
+        if not len(x):
             continue
-        bit = np.uint64(1) << np.uint64(63 - depth)
-        below = ~(bit | (bit - np.uint64(1)))
-        amid = np.searchsorted(a, (a[alo] & below) | bit)
-        bmid = np.searchsorted(b, (b[blo] & below) | bit)
-        children = [(alo, amid, blo, bmid, err_), (amid, ahi, bmid, bhi, err_), (alo, amid, bmid, bhi, err_ + 1), (amid, ahi, blo, bmid, err_ + 1)]
-        for k, child in enumerate(children):
-            alive = (child[0] < child[1]) & (child[2] < child[3]) & (child[4] <= max_bits)
-            if k == 3 and a is b:
-                alive &= alo != blo  # a node with itself: its mixed pair is there already
-            if alive.any():
-                stack.append((depth + 1, tuple(x[alive] for x in child)))
+        (a0, a1), (b0, b1) = left.children(depth), right.children(depth)
+        a0, a1, b0, b1 = a0[x], a1[x], b0[y], b1[y]
+        spare = err < max_bits
+        # a node paired with itself has its mixed pair of children only once
+        for p, q, may, bits in ((a0, b0, True, 0), (a1, b1, True, 0), (a0, b1, spare, 1), (a1, b0, spare & (x != y) if left is right else spare, 1)):
+            alive = np.flatnonzero((p >= 0) & (q >= 0) & may)
+            if len(alive):
+                stack.append((depth + 1, p[alive], q[alive], err[alive] + np.int8(bits)))
 
 
 def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
