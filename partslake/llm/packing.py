@@ -9,6 +9,7 @@ counts then give every piece its sequence by the rank of the piece among those o
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -24,8 +25,8 @@ from partslake.llm.common import only, scans, text_bytes
 from partslake.session import cut_lineage
 
 LENGTH, END_ID = 2048, 1
-# Words whose ids a task remembers.
-REMEMBERED = 400_000
+# Words whose ids a Python worker remembers, and unknown words encoded as one text.
+REMEMBERED, JOINED = 600_000, 256
 
 
 class Encoder:
@@ -58,9 +59,10 @@ class Encoder:
         """Ids of each part with a space before it; empty for a part that ends in white space."""
         out = {p: b"" for p in parts if p[-1].isspace()}
         parts = [p for p in parts if not p[-1].isspace()]
-        for first in range(0, len(parts), 4096):
-            some = parts[first : first + 4096]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+        groups = [parts[first : first + JOINED] for first in range(0, len(parts), JOINED)]
+        encoded = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        for some, found in zip(groups, encoded):
+            ids = np.array(found.ids, "<u4")
             cut = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4
             data, cut = ids.tobytes(), cut.tolist()
             out.update((p, data[a:b]) for p, a, b in zip(some, cut, cut[1:]))
@@ -97,6 +99,15 @@ class Encoder:
         return b"".join(self.whole([units[0], *[" " + u for u in units[1:]]]))
 
 
+def encoder_of(definition: str) -> Encoder:
+    """The encoder of this Python worker, which keeps its words from task to task."""
+    kept = sys.__dict__.setdefault("_partslake_encoders", {})
+    if definition not in kept:
+        kept.clear()
+        kept[definition] = Encoder(definition)
+    return kept[definition]
+
+
 def cut(docs: DataFrame, tokenizer: str, keep: list[str], *, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``length`` ids of each text followed by ``end_id``.
 
@@ -115,7 +126,7 @@ def cut(docs: DataFrame, tokenizer: str, keep: list[str], *, length: int = LENGT
     names, width = schema.names, length * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(definition.value), TaskContext.get().partitionId()
+        encoder, part = encoder_of(definition.value), TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
