@@ -6,6 +6,8 @@ none of them shuffles.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,13 +37,8 @@ def has_outer_blanks(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Text without outer blanks of any kind.
-
-    Trimming plain spaces is cheap and nearly always enough; trimming a set of
-    characters is not, and runs only where another blank is left.
-    """
-    plain = F.trim(text)
-    return F.when(has_outer_blanks(plain), F.btrim(plain, F.lit(BLANKS))).otherwise(plain)
+    """Text without outer blanks of any kind. Names its input once, so nesting stays small."""
+    return F.regexp_replace(text, rf"^{BLANK_CLASS}++|{BLANK_CLASS}++\z", "")
 
 
 def split_lines(text: Column) -> Column:
@@ -92,9 +89,20 @@ def part_link(cell: Column) -> Column:
     )
 
 
+@cache
+def _unlike_lower() -> dict[str, str]:
+    """Letters whose case folding is not their lower case, with it."""
+    letters = map(chr, (*range(0xD800), *range(0xE000, 0x110000)))
+    return {c: c.casefold() for c in letters if c.casefold() != c.lower()}
+
+
 def fold(text: Column) -> Column:
-    """Case-folded sort key."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Case-folded sort key. Texts with a letter that folds otherwise go letter by letter."""
+    odd = _unlike_lower()
+    lower = F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))  # at the end of a word
+    pairs = F.create_map(*[F.lit(x) for pair in odd.items() for x in pair])
+    letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), F.lower(c)))
+    return F.when(text.rlike("[" + "".join(odd) + "]"), F.array_join(letters, "")).otherwise(lower)
 
 
 def basename(path: Column) -> Column:

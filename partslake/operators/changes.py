@@ -126,16 +126,34 @@ def grade_allow(entry: Column) -> Column:
     return F.when(broad & ~audited, "CRITICAL").otherwise("HIGH")
 
 
+def _is_json(text: str) -> Column:
+    """One whole JSON value and nothing behind it.
+
+    The parser lets text behind a value pass. As the one element of a list and as the one
+    value of an object, whatever stands behind it breaks the one or the other.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), F.col(text), F.lit("}")))
+    whole = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & named.isNotNull()
+    return F.coalesce(whole, F.lit(False))
+
+
+def _quoted(value: Column) -> Column:
+    """A text as the reports show it: in single quotes, in double ones if it holds a single one."""
+    bare = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    single = F.contains(value, F.lit("'")) & ~F.contains(value, F.lit('"'))
+    inner = F.when(single, bare).otherwise(F.replace(bare, F.lit("'"), F.lit("\\'")))
+    mark = F.when(single, F.lit('"')).otherwise(F.lit("'"))
+    return F.coalesce(F.concat(mark, inner, mark), F.lit("None"))
+
+
 def settings_diff(changes: DataFrame) -> DataFrame:
     """Findings between ``old`` and ``new`` settings JSON of ``(change_id, file, old, new)``."""
     none = F.array().cast("array<string>")
     text = lambda c: F.when(F.coalesce(T.strip(F.col(c)), F.lit("")) == "", "{}").otherwise(F.col(c))
     parsed = (
         changes.select("change_id", "file", text("old").alias("old"), text("new").alias("new"))
-        .withColumn(
-            "broken",
-            F.get_json_object("old", "$").isNull() | F.get_json_object("new", "$").isNull(),
-        )
+        .withColumn("broken", ~_is_json("old") | ~_is_json("new"))
         .withColumn("o", F.from_json("old", SETTINGS_SCHEMA))
         .withColumn("n", F.from_json("new", SETTINGS_SCHEMA))
     )
@@ -187,9 +205,9 @@ def settings_diff(changes: DataFrame) -> DataFrame:
         lambda k: F.concat(
             k,
             F.lit(": "),
-            F.coalesce(F.try_element_at(env_old, k), F.lit("null")),
+            _quoted(F.try_element_at(env_old, k)),
             F.lit(" -> "),
-            F.coalesce(F.try_element_at(env_new, k), F.lit("null")),
+            _quoted(F.try_element_at(env_new, k)),
         ),
     )
     found = F.when(

@@ -347,18 +347,21 @@ def undo_last(
     """Reverse the newest ``depth`` writes of each bin.
 
     Returns stock, cache, journal and outcomes. A write whose part is not in stock with
-    the quantity the journal left behind cannot be reversed: its cache row and entry stay.
+    the quantity the journal left behind, or whose cache row is gone, cannot be reversed:
+    stock, cache row and entry stay.
     """
+    cached = cache.select(F.col("row_id").alias("cache_row_id")).distinct().withColumn("_cached", F.lit(True))
     newest = top_rows(
         journal, ["bin"], [F.col("ts").desc(), F.col("entry_id").desc()], depth
-    )
+    ).join(cached, "cache_row_id", "left")
     planned = newest.groupBy("bin", "part").agg(
         F.sum(F.col("qty_after") - F.col("qty_before")).alias("step"),
         F.max_by("qty_after", F.struct("ts", "entry_id")).alias("qty_now"),
+        F.bool_and(F.coalesce("_cached", F.lit(False))).alias("_cached"),
     )
     able = planned.join(
         stock.select("bin", "part", "qty"), KEY, "left"
-    ).withColumn("reverted", F.coalesce(F.col("qty") == F.col("qty_now"), F.lit(False)))
+    ).withColumn("reverted", F.coalesce((F.col("qty") == F.col("qty_now")) & F.col("_cached"), F.lit(False)))
     done = newest.join(able.select(*KEY, "reverted"), KEY)
     new_stock = (
         stock.join(able.filter("reverted").select(*KEY, "step"), KEY, "left")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partslake.functions import rules as R
 from partslake.functions import text as T
 from partslake.plans.running import numbered
-from partslake.session import cut_lineage
+from partslake.session import scratch
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -173,46 +175,41 @@ def prerequisite_edges(items: DataFrame) -> DataFrame:
     )
 
 
-def dag_shape(items: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+T_EDGES = "epic string, src string, dst string, before long, n long"
+
+
+def dag_shape(items: DataFrame) -> DataFrame:
     """Roots, depth, direction per epic; ``cyclic`` where prerequisites run in a circle.
 
     Each round drops the edges whose source has no edge left into it. A round is one
-    join over the edges that remain; the number of rounds is the depth of the deepest
-    epic. Edges that no round can drop are cycles and what depends on them.
+    write of the edges that remain, with their number per epic before and after; an epic
+    without edges, or that a round leaves as it was, is out of the next. The number of
+    rounds is the depth of the deepest epic, without a bound. Edges that no round can
+    drop are cycles and what depends on them.
     """
     tasks = _tasks(items).withColumn("epic", _epic(items)).filter(F.col("epic").isNotNull())
     all_edges = prerequisite_edges(items).filter(F.col("epic").isNotNull())
-    edges = cut_lineage(all_edges.filter("in_epic").select("epic", "src", "dst"))
-    counts = edges.groupBy("epic").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(0))
-    size = edges.count()
-    last = 0
-    for k in range(1, max_rounds + 1):
-        if size == 0:
-            break
-        entered = edges.select("epic", F.col("dst").alias("src")).distinct()
-        edges = cut_lineage(edges.join(entered, ["epic", "src"], "left_semi"))
-        counts = counts.unionByName(
-            edges.groupBy("epic").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k))
+    spark, root = items.sparkSession, scratch(items.sparkSession, "rounds")
+    edges = all_edges.filter("in_epic").select("epic", "src", "dst", F.lit(None).cast("long").alias("before"))
+    schema = T_EDGES
+    for k in count():
+        left = edges.groupBy("epic").agg(F.count(F.lit(1)).alias("n"))
+        edges.join(left, "epic").select("epic", "src", "dst", "before", "n").write.mode("overwrite").parquet(f"{root}/round={k}")
+        round_k = spark.read.schema(schema).parquet(f"{root}/round={k}")
+        edges = round_k.filter(F.col("before").isNull() | (F.col("n") < F.col("before"))).select(
+            "epic", "src", "dst", F.col("n").alias("before")
         )
-        left, last = edges.count(), k
-        if left == size:
+        if edges.isEmpty():
             break
-        size = left
-    # edges left in the last round were not dropped by it
-    by_round = counts.filter(F.col("k") < last).join(
-        counts.select("epic", (F.col("k") - 1).alias("k"), F.col("n").alias("n_next")),
-        ["epic", "k"],
-        "left",
-    )
-    depths = by_round.groupBy("epic").agg(
-        (
-            F.coalesce(
-                F.max(F.when(F.col("n") > F.coalesce("n_next", F.lit(0)), F.col("k") + 1)), F.lit(0)
-            )
-            + 1
-        ).alias("depth")
+        entered = edges.select("epic", F.col("dst").alias("src")).distinct()
+        edges = edges.join(entered, ["epic", "src"], "left_semi")
+    # the last round an epic was in: stuck there, or its edges all went in it
+    last = F.max_by(F.struct(F.col("round").alias("k"), (F.col("n") == F.col("before")).alias("stuck")), "round")
+    shapes = (
+        spark.read.schema(schema + ", round int").parquet(root).groupBy("epic").agg(last.alias("r"))
+        .select("epic", F.coalesce("r.stuck", F.lit(False)).alias("cyclic"), F.col("r.k").alias("k"))
+        .select("epic", "cyclic", F.when(F.col("cyclic"), F.col("k")).otherwise(F.col("k") + 2).alias("depth"))
     )
-    cyclic = edges.select("epic").distinct().withColumn("cyclic", F.lit(True))
     entered = all_edges.filter("in_epic").select("epic", F.col("dst").alias("id")).distinct()
     roots = (
         tasks.join(entered, ["epic", "id"], "left_anti")
@@ -224,8 +221,7 @@ def dag_shape(items: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     shaped = (
         nodes.join(roots, "epic", "left")
         .join(n_edges, "epic", "left")
-        .join(depths, "epic", "left")
-        .join(cyclic, "epic", "left")
+        .join(shapes, "epic", "left")
         .select(
             "epic",
             "nodes",

@@ -609,9 +609,11 @@ def j1(spark, d):
 
 @query("j2_stream_dedup", "select distinct concat('h', user_id, '-', event_type) as image_hash from events")
 def j2(spark, d):
-    stream = stream_of(spark, d, "events").selectExpr(
-        "ts", "concat('h', user_id, '-', event_type) as image_hash"
-    )
+    # four files, one per batch, so that hashes return in later batches
+    hashes = table(spark, d, "events").selectExpr("ts", "concat('h', user_id, '-', event_type) as image_hash")
+    folder = scratch(spark, "captures")
+    hashes.repartition(4).write.parquet(folder)
+    stream = spark.readStream.schema(hashes.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return drained(J.stream_dedup(stream), "dedup").select("image_hash")
 
 

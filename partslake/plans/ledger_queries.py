@@ -209,7 +209,8 @@ def _undo(spark, d):
             + F.when(F.max("entry_id") % 7 == 0, 1).otherwise(0)
         ).alias("qty")
     )
-    cache = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label")
+    # some writes have lost their cache row
+    cache = table(spark, d, "events").filter("event_id % 11 <> 0").selectExpr("event_id as row_id", "event_type as label")
     return L.undo_last(on_hand, cache, journal, depth=2)
 
 
@@ -219,8 +220,9 @@ journal as (select concat('u', user_id) as bin, event_type as part, event_id as
 stock as (select bin, part, max_by(qty_after, (ts, entry_id)) + case when max(entry_id) % 7 = 0 then 1 else 0 end as qty
   from journal group by all),
 newest as (select * from journal qualify row_number() over (partition by bin order by ts desc, entry_id desc) <= 2),
-plan as (select bin, part, sum(qty_after - qty_before) as step, max_by(qty_after, (ts, entry_id)) as qty_now from newest group by all),
-able as (select plan.*, coalesce(stock.qty = qty_now, false) as reverted from plan left join stock using (bin, part))
+plan as (select bin, part, sum(qty_after - qty_before) as step, max_by(qty_after, (ts, entry_id)) as qty_now,
+  bool_and(entry_id % 11 <> 0) as cached from newest group by all),
+able as (select plan.*, coalesce(stock.qty = qty_now, false) and cached as reverted from plan left join stock using (bin, part))
 """
 
 
@@ -242,6 +244,24 @@ def b8_stock(spark, d):
     return _undo(spark, d)[0]
 
 
+@query(
+    "b8_undo_cache",
+    f"""with {UNDO} select event_id as row_id, event_type as label from events
+    where event_id % 11 <> 0 and event_id not in (select entry_id from newest join able using (bin, part) where reverted)""",
+)
+def b8_cache(spark, d):
+    return _undo(spark, d)[1]
+
+
+@query(
+    "b8_undo_journal",
+    f"""with {UNDO} select bin, part, entry_id, qty_before, qty_after from journal
+    where entry_id not in (select entry_id from newest join able using (bin, part) where reverted)""",
+)
+def b8_journal(spark, d):
+    return _undo(spark, d)[2].select("bin", "part", "entry_id", "qty_before", "qty_after")
+
+
 PAGED = (
     "p_brand as bin, concat('P', p_partkey) as part, p_size as qty,"
     " case when p_partkey % 5 <> 0 then concat(replace(p_name, ' ', '-'), '.md') end as page"

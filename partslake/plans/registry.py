@@ -30,9 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """A table whose rows are costly to work on, over all cores.
 
-    A file is split by row groups, so a small table in one group would keep one core busy.
-    Where the input has a split per core already, as any large one has, nothing moves.
+    A file is split by row groups, so a table in one group would keep one core busy. A local
+    session asks for the spread by a setting (see ``partslake.session``); without it, as on a
+    cluster that reads many files, nothing moves.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    parts = spark.conf.get("spark.partslake.spread", None)
+    return df.repartition(int(parts), key) if parts else df

@@ -146,12 +146,10 @@ def numbered(
     a row's number is its place in its partition plus the rows of the key in earlier
     partitions. The partitioning samples, so it is checkpointed before it is read twice.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = cut_lineage(
         df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order_cols)])
-        .repartitionByRange(parts, *keys, *[f"_o{i}" for i in range(len(order_cols))])
+        .repartitionByRange(*keys, *[f"_o{i}" for i in range(len(order_cols))])
         .withColumn(_CHUNK, F.spark_partition_id())
     )
     sort = [f"_o{i}" for i in range(len(order_cols))]

@@ -407,7 +407,7 @@ NEW = (
     union all select event_id, 'permissions-deny-removed', 'HIGH', 'deny entry removed: E' from e where not broken
     union all select event_id, 'hook-added', 'HIGH', concat('new hook command: Stop: run', event_id % 6) from e where not broken
     union all select event_id, 'env-var-added', 'MEDIUM', concat('new env var: M=', replace(props, ' ', '')) from e where not broken
-    union all select event_id, 'env-var-changed', 'MEDIUM', concat('env var changed: K: ', user_id % 5, ' -> ', event_id % 5) from e where not broken and event_id % 5 <> user_id % 5)
+    union all select event_id, 'env-var-changed', 'MEDIUM', concat('env var changed: K: ''', user_id % 5, ''' -> ''', event_id % 5, '''') from e where not broken and event_id % 5 <> user_id % 5)
     select event_id as change_id, '.claude/settings.json' as file, rule, severity, detail, '' as snippet from f""",
 )
 def f4(spark, d):

@@ -26,6 +26,7 @@ def local_session(cores: str | int = "*", name: str = "partslake") -> SparkSessi
         builder.config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.partslake.spread", "8")  # single-file tables over all cores
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -41,8 +41,14 @@ def _in_order(
     )
 
 
-def stream_dedup(captures: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """First capture of each image hash; state goes once the watermark passes."""
+def stream_dedup(captures: DataFrame, delay: str | None = None) -> DataFrame:
+    """First capture of each image hash, however late or far apart its captures are.
+
+    Every hash stays in the state, one key each. With ``delay`` a hash is forgotten once the
+    watermark passes it: then late captures are dropped, and a hash can come out again.
+    """
+    if delay is None:
+        return captures.dropDuplicates(["image_hash"])
     timed = captures.withColumn("ts", F.col("ts").cast("timestamp"))
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["image_hash"])
 

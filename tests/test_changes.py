@@ -69,7 +69,7 @@ def test_settings(rows):
                    "change_id int, file string, old string, new string")
     assert tuples(C.settings_diff(changes), "change_id", "rule", "severity", "detail") == [
         (1, "env-var-added", "MEDIUM", "new env var: C=3"),
-        (1, "env-var-changed", "MEDIUM", "env var changed: A: 1 -> 9"),
+        (1, "env-var-changed", "MEDIUM", "env var changed: A: '1' -> '9'"),
         (1, "hook-added", "HIGH", "new hook command: Stop: y"),
         (1, "permissions-allow-added", "CRITICAL", "new allow entry: Bash(rm:*)"),
         (1, "permissions-allow-added", "HIGH", "new allow entry: Bash(a/b*c)"),
@@ -80,6 +80,13 @@ def test_settings(rows):
     ]
 
 
+def test_broken_settings(rows):
+    broken = ['{"a": 1} x', '{"a": 1}}', "{'a': 1}", '{"a": 1}, {}', '{"a": 1', "[1, 2", '{"a": 1}]', "nope"]
+    good = ['{"a": [1, {"b": "]"}]}', ' {"a": 1}\n', "{}", "", None]
+    changes = rows([(i, "s", "{}", t) for i, t in enumerate(broken + good)], "change_id int, file string, old string, new string")
+    assert tuples(C.settings_diff(changes), "change_id", "rule") == sorted(((i, "settings-json-parse") for i in range(len(broken))), key=repr)
+
+
 def test_of_interest(rows):
     files = rows(
         [(1, "M", "a.py"), (1, "D", "b.sh"), (1, "M", "c.md"), (1, "M", "Makefile"), (1, "A", "scripts/git-hooks/x"), (1, "D", "d.md"), (1, "M", "x/.py")],

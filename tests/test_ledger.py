@@ -197,6 +197,18 @@ def test_undo(rows):
     assert tuples(outcomes, "bin", "outcome") == [("b", "reverted"), ("c", "undo failed"), ("d", "nothing to undo")]
 
 
+def test_undo_needs_the_cache_row(rows):
+    stock = rows([("b", "p", 4), ("c", "q", 3)], "bin string, part string, qty int")
+    cache = rows([(2, "y")], "row_id long, label string")
+    journal = rows(
+        [("b", "p", 10, 1, 3, 4, 1), ("c", "q", 11, 1, 2, 3, 2)],
+        "bin string, part string, entry_id long, ts int, qty_before int, qty_after int, cache_row_id long",
+    )
+    new_stock, new_cache, new_journal, outcomes = L.undo_last(stock, cache, journal)
+    assert tuples(new_stock) == [("b", "p", 4), ("c", "q", 2)] and tuples(new_journal, "entry_id") == [(10,)]
+    assert not new_cache.count() and tuples(outcomes, "bin", "outcome") == [("b", "undo failed"), ("c", "reverted")]
+
+
 def test_family_and_bom(rows):
     stock = rows(
         [("b", "PIC16F628", 2, "pic.md", False), ("b", "PIC16F628A", 2, "pic.md", False), ("b", "LM358N", 1, None, False), ("b", "kit", 0, None, True)],

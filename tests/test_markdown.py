@@ -181,6 +181,17 @@ def test_write_stock_switches_versions(spark, rows, tmp_path):
     assert tuples(S.read_stock(spark, root)) == [("a", 2)]
 
 
+def test_write_stock_after_a_failed_attempt(spark, rows, tmp_path):
+    root = str(tmp_path / "stock")
+    S.write_stock(rows([("a", 1)], "part string, qty int"), root, 1)
+    broken = rows([("a", 2)], "part string, qty int").withColumn("qty", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        S.write_stock(broken, root, 2)
+    assert tuples(S.read_stock(spark, root)) == [("a", 1)]
+    S.write_stock(rows([("a", 2)], "part string, qty int"), root, 2)
+    assert tuples(S.read_stock(spark, root)) == [("a", 2)]
+
+
 def test_changes_read_latest(spark, rows, tmp_path):
     root = str(tmp_path / "c")
     S.put_changes(rows([("a", 1), ("b", 1)], "part string, qty int"), root, 0)
@@ -198,6 +209,14 @@ def test_append_log(spark, rows, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_append_log_bounds_files_per_day(spark, rows, tmp_path):
+    path = tmp_path / "log"
+    log = rows([(f"2026-01-0{1 + i % 2}", str(i)) for i in range(400)], "day string, kind string").repartition(16)
+    S.append_log(log, str(path), files_per_day=3)
+    assert all(len(list(day.glob("*.parquet"))) <= 3 for day in path.glob("day=*"))
+    assert spark.read.parquet(str(path)).count() == 400
+
+
 def test_release_and_ideas(rows):
     front = "---\nid: {}\ncategory: {}\ntitle: T\n---\n"
     files = rows(
@@ -217,3 +236,11 @@ def test_release_and_ideas(rows):
         ("archived", "IDEA-2", "new"), ("open", "IDEA-1", "\U0001f4d6 docs"),
     ]
     assert tuples(W.idea_counts(ideas)) == [("archived", 1), ("open", 1)]
+
+
+def test_fold_is_case_folding_of_every_letter(spark, rows):
+    letters = [(chr(c),) for c in (*range(0xD800), *range(0xE000, 0x110000)) if chr(c).isalpha() or chr(c).casefold() != chr(c)]
+    words = [("ΑΣ ΣΑΣ",), ("Straße",), ("ﬁn İı",), ("plain ABC",), ("",), (None,)]
+    df = rows(letters + words, "c string").repartition(8)
+    wrong = [(r.c, r.f) for r in df.select("c", T.fold(F.col("c")).alias("f")).collect() if r.f != (r.c and r.c.casefold())]
+    assert not wrong

@@ -74,6 +74,21 @@ def test_dedup(rows, feed):
     assert tuples(feed(events, "ts", J.stream_dedup), "image_hash") == [(f"h{i}",) for i in range(7)]
 
 
+def test_dedup_keeps_late_hashes_and_never_repeats_one(spark, rows, tmp_path):
+    """Hours apart, out of order, one file a batch."""
+    rng = random.Random(3)
+    data = [(3600 * i, f"h{rng.randrange(60)}") for i in range(200)]
+    rng.shuffle(data)
+    src = str(tmp_path / "in")
+    for k in range(8):
+        part = rows(data[25 * k : 25 * (k + 1)], "t long, image_hash string")
+        part.withColumn("ts", F.timestamp_seconds("t")).drop("t").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("ts timestamp, image_hash string").option("maxFilesPerTrigger", 1).parquet(src)
+    run = J.stream_dedup(stream).writeStream.format("memory").queryName("late").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert tuples(spark.table("late"), "image_hash") == [(h,) for h in sorted({h for _, h in data}, key=lambda h: repr((h,)))]
+
+
 def test_captures_over_batches(spark, rows, tmp_path):
     """A part learnt in one batch is recognised in the next; a replayed version changes nothing."""
     root = str(tmp_path / "db")

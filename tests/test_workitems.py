@@ -96,6 +96,18 @@ def test_dag_shape(rows):
     }
 
 
+def test_dag_shape_of_deep_chains_and_cycles_behind_them(rows):
+    chain = [item(100 + i, epic="deep", pre=[99 + i] if i else []) for i in range(40)]
+    behind = [item(200, epic="behind")] + [item(201 + i, epic="behind", pre=[200 + i]) for i in range(5)]
+    behind += [item(210, epic="behind", pre=[205, 211]), item(211, epic="behind", pre=[210])]
+    shaped = W.dag_shape(rows(chain + behind, ITEM))
+    got = {r["epic"]: (r["depth"], r["cyclic"]) for r in shaped.collect()}
+    assert got == {"deep": (40, False), "behind": (6, True)}
+    shallow = W.dag_shape(rows(chain[:3], ITEM))
+    size = lambda df: len(df._jdf.queryExecution().analyzed().toString().splitlines())
+    assert size(shaped) == size(shallow)
+
+
 def test_effort(rows):
     df = rows([("Small (2-4h)",), ("XXL (>40h)",), ("Extra-Large (x)",), ("weird",), (None,)], "e string")
     got = [tuple(r) for r in df.select(W.effort_hours(F.col("e")), W.effort_days(F.col("e"))).collect()]
