@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partslake.session import scratch
+
 # The separators of words, 0x20 and 0x09-0x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 # Bytes of text worked on at once in a task; one longer text is taken whole.
@@ -120,3 +122,36 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+class Tables:
+    """Intermediate tables in the shared folder, each with a last use.
+
+    The shuffle files of a job go once its table is written, and a table goes when it is
+    dropped; nothing is recomputed from either afterwards.
+    """
+
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path, before = scratch(self.spark, "table"), self.spark.conf.get(self._CLEANUP, None)
+        self.spark.conf.set(self._CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(self._CLEANUP)
+            else:
+                self.spark.conf.set(self._CLEANUP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[1])
+            path.getFileSystem(conf).delete(path, True)

@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partslake.llm.common import Hashes, mix, only, scans, text_bytes
-from partslake.session import cut_lineage
+from partslake.llm.common import Hashes, Tables, mix, only, scans, text_bytes
 
 LENGTH = 400
 WINDOW, GRAM, RUN = 256, 24, 16
+# Keys of texts, 16 bytes each, that are broadcast at most.
+BROADCAST_KEYS = 1 << 20
 _KEY = ["_id", "_hash"]
 
 
@@ -60,9 +61,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, hashes: Hashes, length: int,
 
 
 def _positions(docs: DataFrame, length: int, window: int, gram: int, cuts: list[int]) -> DataFrame:
-    """A row per anchor: key, place, names of its prefix piece by piece, and the whole stretch."""
+    """A row per anchor: key, place, names of its prefix piece by piece, and of the whole stretch.
+
+    ``place`` has the anchor's offset and, in its low bytes, how far before it the first and
+    the last position lie that chose it.
+    """
     names = [f"_n{k}" for k in range(len(cuts))]
-    schema = "_id long, _hash long, first int, last int, place int, whole long, " + ", ".join(f"{n} long" for n in names)
+    schema = "_id long, _hash long, place long, whole long, " + ", ".join(f"{n} long" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, other = Hashes(), Hashes(1)
@@ -75,11 +80,12 @@ def _positions(docs: DataFrame, length: int, window: int, gram: int, cuts: list[
                 other.load(data)
                 a, i, j = anchors(data, offsets, hashes, length, window, gram)
                 text = np.searchsorted(offsets, a, side="right") - 1
+                place = (a - offsets[text]) << 16 | (a - i) << 8 | (a - j)
                 # where in the stretch the anchor lies is part of what must be equal
-                whole = other.of(i, j + length) ^ mix(((a - i) * (1 << 20) + (j - i)).astype(np.uint64))
+                whole = other.of(i, j + length) ^ mix((place & 0xFFFF).astype(np.uint64))
                 pieces = [hashes.of(a + p, a + q).view(np.int64) for p, q in zip([0, *cuts], cuts)]
-                columns = [ids[top + text], keys[top + text], *((x - offsets[text]).astype(np.int32) for x in (i, j, a)), whole.view(np.int64), *pieces]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[*_KEY, "first", "last", "place", "whole", *names])
+                columns = [ids[top + text], keys[top + text], place, whole.view(np.int64), *pieces]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[*_KEY, "place", "whole", *names])
 
     return docs.select(*_KEY, "text").mapInArrow(run, schema)
 
@@ -91,73 +97,106 @@ def _repeated(rows: DataFrame, rank: Column) -> DataFrame:
     return ranked.join(twice.select("_rank"), "_rank", "left_semi")
 
 
-def _settle(rows: DataFrame, group: list[str], content: list[str], keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def _settle(tables: Tables, rows: DataFrame, group: str, content: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose content is repeated within their group; and for each group with several contents one row of each."""
-    kinds = rows.groupBy(*group, *content).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*keep)).alias("_one"))
-    several = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 1)
-    settled = rows.join(kinds.filter(F.col("_n") > 1).select(*group, *content), [*group, *content], "left_semi")
-    return settled, kinds.join(several.select(*group), group, "left_semi").select(*group, "_one.*")
+    kinds = tables.keep(rows.groupBy(group, content).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*keep)).alias("_one")))
+    several = kinds.groupBy(group).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 1).select(group)
+    settled = tables.keep(rows.select(*keep, group, content).join(kinds.filter(F.col("_n") > 1).select(group, content), [group, content], "left_semi").select(*keep))
+    open_ = tables.keep(kinds.join(several, group, "left_semi").select(group, "_one.*"))
+    tables.drop(kinds)
+    return settled, open_
+
 
+def _with_texts(keyed: DataFrame, rows: DataFrame, what: list[str]) -> DataFrame:
+    """Key, text and ``at``, the rows of each text that has any. A text comes once, however often it is repeated."""
+    at = rows.groupBy(*_KEY).agg(F.collect_list(F.struct(*what)).alias("at"))
+    return _asked(keyed, rows).select(*_KEY, "text").dropDuplicates(_KEY).join(at, _KEY)
 
-def _runs(texts: DataFrame, length: int, run_size: int) -> DataFrame:
-    """Runs of positions of the anchors in ``at`` (place, first, last, rank): names of what they share, of all, and of each string."""
-    schema = "_id long, _hash long, rank long, run int, shared long, span long, low int, high int, singles array<long>"
+
+def _asked(keyed: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Texts that have rows (or have none, for ``left_anti``), before any text moves.
+
+    The keys are broadcast up to ``BROADCAST_KEYS``, counted first; more are joined by a shuffle.
+    """
+    keys = rows.select(*_KEY).distinct()
+    return keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, _KEY, how)
+
+
+def _runs(texts: DataFrame, length: int, size: int) -> DataFrame:
+    """Runs of positions of each anchor: ``group`` (rank, run and what the run's strings share), ``span`` (all its bytes), ``low`` (first position and number behind it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, other = Hashes(2), Hashes(3)
         for batch in batches:
-            for k, (i, h, text, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
-                data = np.frombuffer(text, np.uint8)
+            for i, h, text, at in zip(*(batch.column(c) for c in range(4))):
+                data = np.frombuffer(text.as_py(), np.uint8)
                 hashes.load(data)
                 other.load(data)
-                place, first, last, rank = (np.array([x[n] for x in at], np.int64) for n in ("place", "first", "last", "rank"))
+                packed, rank = (at.values.field(n).to_numpy() for n in range(2))
+                place = packed >> 16
+                first, last = place - ((packed >> 8) & 0xFF), place - (packed & 0xFF)
                 # run t holds the positions place - t*size down to place - t*size - size + 1
-                low_run, high_run = (place - last) // run_size, (place - first) // run_size
+                low_run, high_run = (place - last) // size, (place - first) // size
                 n = high_run - low_run + 1
                 of = np.repeat(np.arange(len(n)), n)
                 t = np.repeat(low_run - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                top = place[of] - t * run_size
-                low, high = np.maximum(top - run_size + 1, first[of]), np.minimum(top, last[of])
-                shared = hashes.of(top, top - run_size + 1 + length)
-                span = other.of(low, high + length) ^ mix(((top - low) * run_size + (top - high)).astype(np.uint64))
-                sizes = high - low + 1
-                each = np.repeat(high + (np.cumsum(sizes) - sizes), sizes) - np.arange(sizes.sum())
-                singles = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(other.of(each, each + length).view(np.int64)))
-                many = len(of)
-                columns = [np.full(many, i), np.full(many, h), rank[of], t.astype(np.int32), shared.view(np.int64), span.view(np.int64), low.astype(np.int32), high.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), singles], names=[*_KEY, "rank", "run", "shared", "span", "low", "high", "singles"])
-
-    return texts.mapInArrow(run, schema)
-
-
-def repeated_stretches(keyed: DataFrame, *, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, run_size: int = RUN) -> DataFrame:
-    """Distinct (key, begin, end): stretches of bytes covered by repeated strings of ``length`` bytes."""
-    if window & (window - 1) or window + gram - 1 > length:
-        raise ValueError("window must be a power of two and fit into length with gram")
+                top = place[of] - t * size
+                low, high = np.maximum(top - size + 1, first[of]), np.minimum(top, last[of])
+                group = mix(hashes.of(top, top - size + 1 + length) ^ mix(rank[of].view(np.uint64) + t.astype(np.uint64)))
+                span = other.of(low, high + length) ^ mix(((top - low) << 8 | (top - high)).astype(np.uint64))
+                columns = [np.full(len(of), i.as_py()), np.full(len(of), h.as_py()), group.view(np.int64), span.view(np.int64), low << 8 | (high - low)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*_KEY, "group", "span", "low"])
+
+    return texts.mapInArrow(run, "_id long, _hash long, group long, span long, low long")
+
+
+def _singles(texts: DataFrame, length: int) -> DataFrame:
+    """Each position of the runs in ``at`` (low, group) with the name of its string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes(3)
+        for batch in batches:
+            for i, h, text, at in zip(*(batch.column(c) for c in range(4))):
+                hashes.load(np.frombuffer(text.as_py(), np.uint8))
+                packed, group = (at.values.field(n).to_numpy() for n in range(2))
+                n = (packed & 0xFF) + 1
+                start = np.repeat((packed >> 8) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                columns = [np.full(len(start), i.as_py()), np.full(len(start), h.as_py()), start, np.repeat(group, n), hashes.of(start, start + length).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*_KEY, "start", "group", "single"])
+
+    return texts.mapInArrow(run, "_id long, _hash long, start long, group long, single long")
+
+
+def repeated_stretches(tables: Tables, keyed: DataFrame, *, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, run_size: int = RUN) -> list[DataFrame]:
+    """Tables of (key, begin, end): stretches of bytes covered by repeated strings of ``length`` bytes."""
+    if window & (window - 1) or window > 256 or run_size > window or window + gram - 1 > length:
+        raise ValueError("window must be a power of two up to 256 and fit into length with gram")
     prefix = length + 1 - window  # what every string of an anchor holds
-    cuts = sorted({max(1, prefix // 4), max(1, prefix // 2), prefix})
-    rows = cut_lineage(_positions(keyed, length, window, gram, cuts))
-    alive, rank = rows, None
+    cuts = sorted({max(1, prefix // 2), prefix})
+    alive = tables.keep(_positions(keyed, length, window, gram, cuts))
     for k in range(len(cuts)):
         # rank of the doubled prefix: the rank so far and the name of the bytes behind it
-        pair = F.col("_n0") if rank is None else F.xxhash64("_rank", f"_n{k}")
-        alive = cut_lineage(_repeated(alive, pair))
-        rank = "_rank"
-    settled, open_ = _settle(alive, ["_rank"], ["whole"], [*_KEY, "place", "first", "last"])
-    found = [settled.select(*_KEY, F.col("first").alias("begin"), (F.col("last") + length).alias("end"))]
-
-    at = open_.groupBy(*_KEY).agg(F.collect_list(F.struct("place", "first", "last", F.col("_rank").alias("rank"))).alias("at"))
-    texts = keyed.select(*_KEY, "text").join(at, _KEY).dropDuplicates(_KEY)
-    runs = cut_lineage(_runs(texts.select(*_KEY, "text", "at"), length, run_size))
-    settled, open_ = _settle(runs, ["rank", "run", "shared"], ["span"], [*_KEY, "low", "high", "singles"])
-    found.append(settled.select(*_KEY, F.col("low").alias("begin"), (F.col("high") + length).alias("end")))
-
-    one = open_.select(*_KEY, "rank", "run", "high", F.posexplode("singles").alias("back", "single"))
-    one = one.withColumn("start", F.col("high") - F.col("back"))
-    twice = one.groupBy("rank", "run", "single").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
-    one = one.join(twice, ["rank", "run", "single"], "left_semi")
-    found.append(one.select(*_KEY, F.col("start").alias("begin"), (F.col("start") + length).alias("end")))
-    return found[0].union(found[1]).union(found[2]).distinct()
+        left = _repeated(alive, F.xxhash64("_rank", f"_n{k}") if k else F.col("_n0"))
+        left = tables.keep(left.select(*_KEY, "place", "whole", "_rank", *[f"_n{j}" for j in range(k + 1, len(cuts))]))
+        tables.drop(alive)
+        alive = left
+    whole, open_ = _settle(tables, alive, "_rank", "whole", [*_KEY, "place"])
+    tables.drop(alive)
+    runs = tables.keep(_runs(_with_texts(keyed, open_, ["place", "_rank"]), length, run_size))
+    tables.drop(open_)
+    parts, open_ = _settle(tables, runs, "group", "span", [*_KEY, "low"])
+    tables.drop(runs)
+    one = tables.keep(_singles(_with_texts(keyed, open_, ["low", "group"]), length))
+    tables.drop(open_)
+    twice = one.groupBy("group", "single").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
+    single = tables.keep(one.join(twice, ["group", "single"], "left_semi").select(*_KEY, "start"))
+    tables.drop(one)
+    at = F.shiftright("place", 16)
+    return [
+        whole.select(*_KEY, (at - F.shiftright("place", 8).bitwiseAND(255)).alias("begin"), (at - F.col("place").bitwiseAND(F.lit(255)) + length).alias("end")),
+        parts.select(*_KEY, F.shiftright("low", 8).alias("begin"), (F.shiftright("low", 8) + F.col("low").bitwiseAND(F.lit(255)) + length).alias("end")),
+        single.select(*_KEY, F.col("start").alias("begin"), (F.col("start") + length).alias("end")),
+    ]
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, run_size: int = RUN) -> DataFrame:
@@ -167,10 +206,13 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, window: int = WINDO
     same text or another. A null text is empty. Rows equal in id and text are texts of their
     own, so each is a copy of the other. Texts are read whole, however long.
     """
-    keyed = _keyed(docs)
-    stretches = cut_lineage(repeated_stretches(keyed, length=length, window=window, gram=gram, run_size=run_size))
-    spans = stretches.groupBy(*_KEY).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = keyed.join(spans, _KEY, "left").select("doc_id", "spans", "text")
+    keyed, tables = _keyed(docs), Tables(docs.sparkSession)
+    found = repeated_stretches(tables, keyed, length=length, window=window, gram=gram, run_size=run_size)
+    # a set, as rows that share their key have each stretch several times
+    spans = tables.keep(found[0].union(found[1]).union(found[2]).groupBy(*_KEY).agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
+    touched = _asked(keyed, spans).join(spans, _KEY).select("doc_id", "spans", "text")
+    intact = _asked(keyed, spans, "left_anti").select("doc_id", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "text")
+    joined = touched.union(intact)
     schema = keyed.select("doc_id").schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary")):
         schema = schema.add(name, kind)
