@@ -188,14 +188,18 @@ def _headers(replayed: DataFrame, sections: DataFrame) -> DataFrame:
 def replay(
     stock: DataFrame, deltas: DataFrame, sections: DataFrame, width: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Stock rows (``seq`` null) and deltas in order, with state and outcome inputs.
+    """Deltas and the stock rows they touch (``seq`` null) in order, with state and outcome inputs.
 
     The common part of :func:`dispositions` and :func:`upsert_batch`, written once because
     both read it more than once; pass it to them to get both from one run.
     """
-    checked = check_source(deltas)
-    good = resolve_section(checked.filter(F.col("reject_reason").isNull()), sections)
-    return cut_lineage(_headers(_replay(stock, good, width), sections))
+    touched = stock.join(_touched(deltas), KEY, "left_semi")
+    good = resolve_section(check_source(deltas).filter(F.col("reject_reason").isNull()), sections)
+    return cut_lineage(_headers(_replay(touched, good, width), sections))
+
+
+def _touched(deltas: DataFrame) -> DataFrame:
+    return check_source(deltas).filter(F.col("reject_reason").isNull()).select(*KEY).distinct()
 
 
 def _cell_events(replayed: DataFrame) -> DataFrame:
@@ -298,7 +302,7 @@ def upsert_batch(
     """Stock after the batch: ``(bin, section, part, qty, source, cells)``.
 
     The last state per part and the last value per cell, both combined before the
-    shuffle, so a hot part costs one small row per task.
+    shuffle, so a hot part costs one small row per task. Stock without a delta passes by.
     """
     if replayed is None:
         replayed = replay(stock, deltas, sections, width)
@@ -319,7 +323,15 @@ def upsert_batch(
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "value")))).alias("cells"))
     )
     cell_map = F.coalesce("cells", F.create_map().cast("map<string,string>"))
-    return last.join(cells, KEY, "left").select(
+    known = lambda e: (F.col("header").isNull() | F.array_contains("header", e["key"])) & ~e["key"].isin("Qty", "Source")
+    untouched = _headers(stock.join(_touched(deltas), KEY, "left_anti"), sections).select(
+        *KEY,
+        "section",
+        F.col("qty").cast("long").alias("qty"),
+        "source",
+        F.map_from_entries(F.array_sort(F.filter(F.map_entries("cells"), known))).alias("cells"),
+    )
+    return last.join(cells, KEY, "left").unionByName(untouched).select(
         "bin",
         "section",
         "part",

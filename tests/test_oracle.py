@@ -10,6 +10,10 @@ from tests.oracle import compare, duck
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
+# Rules that may find nothing in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def con():
     return duck(SF)
@@ -23,8 +27,7 @@ def test_query_matches_sql(spark, con, name):
     assert not [x for x in ("NestedLoop", "CartesianProduct", "BatchEvalPython") if x in plan]
     if name in entry.oracle_sql():
         found = compare(df, con, entry.oracle_sql()[name])
-        # a rule may find nothing in the smallest tables
-        assert found in (None, "no rows"), found
+        assert found is None or found == "no rows" and name in MAY_BE_EMPTY, found
     else:
         assert df.count() >= 0
 
