@@ -268,3 +268,8 @@ E12 = (10, 12, 15, 18, 22, 27, 33, 39, 47, 56, 68, 82)
 E24 = (10, 11, 12, 13, 15, 16, 18, 20, 22, 24, 27, 30, 33, 36, 39, 43, 47, 51, 56, 62, 68, 75, 82, 91)
 # The three-digit series follows from its rule: 100 * 10 ** (i / 96), rounded.
 E96 = tuple(round(100 * 10 ** (i / 96)) for i in range(96))
+
+
+# Settings files, and where skill texts lie and what they are called.
+SETTINGS_FILES = (".claude/settings.json", ".claude/settings.local.json")
+SKILL_FOLDER, SKILL_FILE = ".claude/skills/", "SKILL.md"

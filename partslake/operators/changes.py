@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -274,6 +275,30 @@ def trusted_changed(files: DataFrame, allow: DataFrame, pattern: str = ALLOWED_S
     )
 
 
+def scan_changes(files: DataFrame, allow: DataFrame) -> DataFrame:
+    """All findings of a change set, each check on the files it is for.
+
+    ``files`` is ``(change_id, status, file, diff, old, new)``, ``allow`` is ``(entry)``. Secrets
+    are looked for in every file that is still there. Of the files of interest, settings go
+    to their own diff alone, skill texts to script references and the rules, all others
+    to the rules and the allow list; a deleted one is a finding.
+    """
+    there = files.filter(F.col("status") != "D")
+    near, deleted = of_interest(files)
+    settings = F.col("file").isin(*R.SETTINGS_FILES)
+    skill = F.col("file").startswith(R.SKILL_FOLDER) & F.col("file").endswith(R.SKILL_FILE)
+    scanned = near.filter(~settings)
+    found = [
+        scan_secrets(there),
+        settings_diff(near.filter(settings)),
+        new_script_refs(near.filter(skill)),
+        scan_rules(scanned),
+        trusted_changed(scanned.filter(~skill), allow),
+        deleted,
+    ]
+    return reduce(DataFrame.unionByName, [f.select("change_id", "file", "rule", "severity", "detail", "snippet") for f in found])
+
+
 def severity_rollup(
     changes: DataFrame, findings: DataFrame, reviews: DataFrame | None = None
 ) -> DataFrame:

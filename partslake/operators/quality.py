@@ -62,8 +62,7 @@ def _quoted(value: Column) -> Column:
     return F.concat(F.lit("'"), value, F.lit("'"))
 
 
-def lint_source_shape(rows: DataFrame) -> DataFrame:
-    """Source missing from a short row, empty, or no lowercase token."""
+def _source_message() -> Column:
     src = F.coalesce(F.col("source"), F.lit(""))
     message = (
         F.when(
@@ -80,7 +79,12 @@ def lint_source_shape(rows: DataFrame) -> DataFrame:
             F.concat(F.lit("Source must be a lowercase token (got "), _quoted(src), F.lit(")")),
         )
     )
-    found = rows.filter(~F.col("is_empty")).withColumn("_m", message).filter("_m is not null")
+    return F.when(~F.col("is_empty"), message)
+
+
+def lint_source_shape(rows: DataFrame) -> DataFrame:
+    """Source missing from a short row, empty, or no lowercase token."""
+    found = rows.withColumn("_m", _source_message()).filter("_m is not null")
     return _diagnostics(found, "source-shape", F.col("_m"))
 
 
@@ -99,18 +103,14 @@ def with_previous(rows: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
     )
 
 
-def lint_alphabetical(rows: DataFrame) -> DataFrame:
-    """Row whose key sorts below the row above; the message names that row's line."""
-    if "prev_key" not in rows.columns:
-        rows = with_previous(rows)
-    found = rows.filter(
+def _order_message() -> Column:
+    wrong = (
         ~F.col("is_empty")
         & (F.coalesce("part_cell", F.lit("")) != "")
         & (T.fold(F.col("part")) < F.col("prev_key"))
     )
-    return _diagnostics(
-        found,
-        "alphabetical-order",
+    return F.when(
+        wrong,
         F.concat(
             F.lit("Part "),
             _quoted(F.col("part_cell")),
@@ -120,23 +120,34 @@ def lint_alphabetical(rows: DataFrame) -> DataFrame:
     )
 
 
+def lint_alphabetical(rows: DataFrame) -> DataFrame:
+    """Row whose key sorts below the row above; the message names that row's line."""
+    if "prev_key" not in rows.columns:
+        rows = with_previous(rows)
+    found = rows.withColumn("_m", _order_message()).filter("_m is not null")
+    return _diagnostics(found, "alphabetical-order", F.col("_m"))
+
+
 def is_hedged(text: Column, phrases: Sequence[str] = R.HEDGE_PHRASES) -> Column:
     low = T.fold(text)
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in phrases])
 
 
-def lint_row_hedge(rows: DataFrame, phrases: Sequence[str] = R.HEDGE_PHRASES) -> DataFrame:
-    """Camera row whose Notes say something without a hedge phrase."""
+def _hedge_message(phrases: Sequence[str]) -> Column:
     notes = T.strip(F.coalesce("notes", F.lit("")))
-    found = rows.filter(
+    bare = (
         ~F.col("is_empty")
         & (F.col("source") == "camera")
         & (notes != "")
         & ~is_hedged(notes, phrases)
     )
-    return _diagnostics(
-        found, "hedge-language", F.lit("camera-sourced row has a Notes cell with no hedge phrase")
-    )
+    return F.when(bare, "camera-sourced row has a Notes cell with no hedge phrase")
+
+
+def lint_row_hedge(rows: DataFrame, phrases: Sequence[str] = R.HEDGE_PHRASES) -> DataFrame:
+    """Camera row whose Notes say something without a hedge phrase."""
+    found = rows.withColumn("_m", _hedge_message(phrases)).filter("_m is not null")
+    return _diagnostics(found, "hedge-language", F.col("_m"))
 
 
 def lint_parts_link(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -150,14 +161,47 @@ def lint_parts_link(rows: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def lint_rows(rows: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """All row rules; the link rule needs the page listing."""
-    found = (
-        lint_source_shape(rows)
-        .unionByName(lint_alphabetical(rows))
-        .unionByName(lint_row_hedge(rows))
+def lint_rows(
+    rows: DataFrame, pages: DataFrame | None = None, phrases: Sequence[str] = R.HEDGE_PHRASES
+) -> DataFrame:
+    """All row rules; the link rule needs the page listing. Reads the rows once.
+
+    A row's findings are an array; a link to a page is one of them, and stays if the
+    listing lacks the page.
+    """
+    if "prev_key" not in rows.columns:
+        found = lint_source_shape(rows).unionByName(lint_alphabetical(rows)).unionByName(lint_row_hedge(rows, phrases))
+        return found if pages is None else found.unionByName(lint_parts_link(rows, pages))
+    link = F.when(~F.col("is_empty"), F.col("target"))
+    messages = {
+        "source-shape": _source_message(),
+        "alphabetical-order": _order_message(),
+        "hedge-language": _hedge_message(phrases),
+        "parts-link": F.concat(F.lit("link target does not exist: parts/"), link),
+    }
+    if pages is None:
+        del messages["parts-link"]
+    all_found = F.array(
+        *[
+            F.struct(F.lit(rule).alias("rule"), m.alias("message"), (link if rule == "parts-link" else F.lit(None)).alias("target"))
+            for rule, m in messages.items()
+        ]
+    )
+    found = rows.select(
+        "bin", "path", F.col("line_no").alias("line"),
+        F.explode(F.filter(all_found, lambda d: d["message"].isNotNull())).alias("d"),
+    ).select("bin", "path", "line", "d.*")
+    if pages is None:
+        return found.drop("target")
+    known = pages.select("bin", F.col("page").alias("_key"), F.lit(True).alias("_known")).distinct()
+    # findings without a target spread over the join by their place
+    key = F.coalesce("target", F.concat_ws("\0", F.lit(""), "path", F.col("line").cast("string")))
+    return (
+        found.withColumn("_key", key)
+        .join(known, ["bin", "_key"], "left")
+        .filter(F.col("target").isNull() | F.col("_known").isNull())
+        .select("bin", "path", "line", "rule", "message")
     )
-    return found if pages is None else found.unionByName(lint_parts_link(rows, pages))
 
 
 def lint_inventory(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:

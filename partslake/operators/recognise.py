@@ -134,16 +134,18 @@ def nearest(
             if within is not None:
                 d = np.where(d < within, d, np.inf)
             keep = min(k, d.shape[1])
-            # stable order puts the smaller row id first on a tie
-            best = np.argsort(d, axis=1, kind="stable")[:, :keep]
-            dist = np.take_along_axis(d, best, axis=1)
-            rows = np.repeat(np.arange(len(qs)), keep)
-            flat, ok = best.ravel(), np.isfinite(dist.ravel())
+            # all as near as the k-th, so ties are settled by row id: columns are in its order
+            last = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
+            row, col = np.nonzero((d <= last) & np.isfinite(d))
+            order = np.lexsort((col, d[row, col], row))
+            row, col = row[order], col[order]
+            ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[ok], col[ok]
             out = {
-                "id": qs["id"].to_numpy(dtype=object)[rows][ok],
-                "row_id": cs["row_id"].to_numpy()[flat][ok],
-                "label": pd.Series(cs["label"].to_numpy(dtype=object)[flat][ok], dtype=object),
-                "distance": dist.ravel()[ok],
+                "id": qs["id"].to_numpy(dtype=object)[row],
+                "row_id": cs["row_id"].to_numpy()[col],
+                "label": pd.Series(cs["label"].to_numpy(dtype=object)[col], dtype=object),
+                "distance": d[row, col],
             }
         return pd.DataFrame(out)
 

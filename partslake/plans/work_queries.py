@@ -452,3 +452,40 @@ def f6(spark, d):
         "concat('All read.\nSEVERITY: ', case doc_id % 8 when 0 then 'critical' when 1 then 'Low' else 'unsure' end, '\n', text) as text",
     )
     return C.severity_rollup(docs.select(F.col("doc_id").alias("change_id")), found, reviews)
+
+
+# One change set with every kind of file in it.
+SET_FILE = (
+    "case when doc_id % 11 = 3 then '.claude/settings.json' when doc_id % 7 = 0 then concat('scripts/h', doc_id, '.py') else "
+    + FILE
+    + " end"
+)
+SET_OLD = "case when doc_id % 11 = 3 then '{\"env\":{\"K\":\"1\"}}' else 'scripts/a.py' end"
+SET_NEW = (
+    "case when doc_id % 11 = 3 then concat('{\"env\":{\"K\":\"', doc_id % 3, '\"}}')"
+    " else concat('scripts/a.py scripts/b', doc_id % 4, '.sh') end"
+)
+
+
+@query(
+    "f7_scan_changes",
+    f"""with {ADDED.replace(FILE, SET_FILE)}, {RULE_SQL}, {SECRET_SQL},
+    d as (select doc_id as change_id, doc_id, {SET_FILE} as file, {CHANGED} as status from documents),
+    there as (select * from d where status <> 'D'), near as (select * from d where {OF_INTEREST} or doc_id % 11 = 3)
+    select h.* from secret_hits h join there using (change_id)
+    union all select h.* from rule_hits h join near n using (change_id) where n.status <> 'D' and n.doc_id % 11 <> 3
+    union all select change_id, file, 'env-var-changed', 'MEDIUM', concat('env var changed: K: ''1'' -> ''', change_id % 3, ''''), ''
+      from there where change_id % 11 = 3 and change_id % 3 <> 1
+    union all select change_id, file, 'skill-new-script-ref', 'HIGH', concat('skill now references: scripts/b', change_id % 4, '.sh'), ''
+      from there where file like '.claude/skills/%'
+    union all select change_id, file, 'trusted-script-modified', 'HIGH', 'named by an allow entry', ''
+      from there where change_id % 14 = 0 and change_id % 11 <> 3
+    union all select change_id, file, 'file-deleted', 'LOW', 'file removed by incoming change', '' from near where status = 'D'""",
+)
+def f7(spark, d):
+    docs = spread_table(spark, d, "documents", "doc_id")
+    files = docs.selectExpr(
+        "doc_id as change_id", f"{CHANGED} as status", f"{SET_FILE} as file", f"{DIFF} as diff", f"{SET_OLD} as old", f"{SET_NEW} as new"
+    )
+    allow = docs.filter("doc_id % 14 = 0").selectExpr("concat('Bash(scripts/h', doc_id, '.py:*)') as entry")
+    return C.scan_changes(files, allow)
