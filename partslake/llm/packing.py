@@ -9,6 +9,7 @@ counts then give every piece its sequence by the rank of the piece among those o
 from __future__ import annotations
 
 import json
+import os
 import sys
 from collections.abc import Iterator
 from zlib import crc32
@@ -25,8 +26,9 @@ from partslake.llm.common import only, scans, text_bytes
 from partslake.session import cut_lineage
 
 LENGTH, END_ID = 2048, 1
-# Words whose ids a Python worker remembers, and unknown words encoded as one text.
-REMEMBERED, JOINED = 600_000, 256
+# Words whose ids a Python worker remembers, bits to tell words met before from new ones,
+# and unknown words encoded as one text.
+REMEMBERED, MET, JOINED = 400_000, 1 << 22, 256
 
 
 class Encoder:
@@ -39,6 +41,7 @@ class Encoder:
     """
 
     def __init__(self, definition: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(definition)
         # kinds of the parts that this cut is exact for
         parts = json.loads(definition)
@@ -51,6 +54,7 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
+        self.met = bytearray(MET)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,7 +79,11 @@ class Encoder:
         known = self.known
         new = self.learn(list({p for parts in split for p in parts[1:] if p not in known}))
         if len(known) < REMEMBERED:
-            known.update(new)
+            # most words are met once only; the second time one is remembered
+            met, places = self.met, {p: hash(p) % MET for p in new}
+            known.update((p, new[p]) for p, at in places.items() if met[at])
+            for at in places.values():
+                met[at] = 1
         heads = self.whole([parts[0] for parts in split])
         out = []
         for parts, head in zip(split, heads):
