@@ -35,6 +35,27 @@ def expire_stale(cache: DataFrame, now: Column, ttl_days: int = TTL_DAYS) -> Dat
     return cache.filter(~F.coalesce(is_stale(now, ttl_days), F.lit(False)))
 
 
+def cache_put(cache: DataFrame, responses: DataFrame, now: Column) -> DataFrame:
+    """Cache with the answers fetched: the payload as it came, its lifecycle, and ``now``.
+
+    ``responses`` as for :func:`enrich`; only status ok is kept. A part that is cached gets
+    the new answer in place of the old; of several answers for a part one stays.
+    """
+    fetched = (
+        responses.filter((F.col("status") == "ok") & F.col("mpn").isNotNull())
+        .groupBy("mpn")
+        .agg(F.max("payload_json").alias("payload_json"))
+        .select(
+            "mpn",
+            "payload_json",
+            F.from_json("payload_json", PAYLOAD)["lifecycle"].alias("lifecycle"),
+            F.unix_seconds(now).alias("cached_at"),
+        )
+    )
+    kept = cache.join(fetched.select("mpn"), "mpn", "left_anti")
+    return kept.select(*fetched.columns).unionByName(fetched)
+
+
 def family_datasheet(
     part: Column, prefixes: Sequence[tuple[str, str]] = R.DATASHEET_PREFIXES
 ) -> Column:

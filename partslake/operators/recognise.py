@@ -311,7 +311,8 @@ def run_captures(
 
     ``captures`` is ``(capture_id, seq, bin, image_hash, vec)``, ``verdicts`` the model's answers per
     capture. Stock is written before the cache learns: a capture whose stock write was
-    rejected teaches nothing.
+    rejected teaches nothing. ``journal`` has what :func:`~partslake.operators.ledger.undo_last`
+    needs of each write: quantities before and after, and the cache row of its image.
     """
     from partslake.operators.ledger import dispositions, replay, upsert_batch
 
@@ -339,6 +340,7 @@ def run_captures(
         routed.filter(F.col("outcome.kind") == "Wrote")
         .join(written, ["bin", "seq"], "left_semi")
         .select(
+            "bin",
             "seq",
             F.lit(model_hash).alias("model_hash"),
             "image_hash",
@@ -347,11 +349,23 @@ def run_captures(
             "vec",
         )
     )
+    new_cache = cut_lineage(cache_learn(cache, learned))
+    rows_of = new_cache.groupBy("image_hash").agg(F.min("row_id").alias("cache_row_id"))
+    journal = (
+        outcomes.filter(F.col("disposition") != "rejected")
+        .join(learned.select("bin", "seq", "image_hash"), ["bin", "seq"])
+        .join(rows_of, "image_hash", "left")
+        .select(
+            "bin", "part", F.col("seq").alias("entry_id"), F.col("seq").alias("ts"),
+            (F.col("qty") - 1).alias("qty_before"), F.col("qty").alias("qty_after"), "cache_row_id",
+        )
+    )
     return {
         "routed": routed,
         "dispositions": outcomes,
         "stock": upsert_batch(stock, deltas, sections, replayed=replayed),
-        "cache": cache_learn(cache, learned),
+        "cache": new_cache,
+        "journal": journal,
     }
 
 

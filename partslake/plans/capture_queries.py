@@ -221,6 +221,21 @@ def g7_cache(spark, d):
     return done["cache"].select("row_id", "image_hash", "label")
 
 
+@query(
+    "g7_run_captures_journal",
+    f"""with {WRITES}, l as (select bin, seq, concat('img', seq // 4) as image_hash, part, qty from d where disposition <> 'rejected'),
+    f as (select image_hash, min(seq) as seq from l group by image_hash),
+    c as (select image_hash, (select max(vec_id) from embeddings where vec_id % 2 = 0) + row_number() over (order by seq) as row_id from f)
+    select bin, part, seq as entry_id, qty - 1 as qty_before, qty as qty_after, row_id as cache_row_id from l join c using (image_hash)""",
+)
+def g7_journal(spark, d):
+    done = G.run_captures(
+        captures(spark, d), answers(spark, d), capture_stock(spark, d),
+        capture_sections(spark, d), cache(spark, d), "m1", TIGHT, MEDIUM,
+    )
+    return done["journal"].drop("ts")
+
+
 @query(
     "g8_band_report",
     f"""with {NEAR}, u as (select distinct doc_id from labels where toxic = 1),
@@ -321,15 +336,29 @@ def h4(spark, d):
     return enriched(spark, d).drop("payload")
 
 
-def enriched(spark, d):
-    responses = table(spark, d, "orders").filter("o_orderkey % 6 <> 0").selectExpr(
+def responses_of(spark, d):
+    return table(spark, d, "orders").filter("o_orderkey % 6 <> 0").selectExpr(
         f"{MPN.format('o_orderkey')} as mpn",
         f"{ANSWERED} as status",
         "concat('{\"category_path\":\"resp/a/b\",\"datasheet\":\"', " + SHEET.format("o_orderkey")
         + ", '\",\"package\":\"', case when o_orderkey % 4 = 0 then '' else 'DIP-8' end, '\",\"lifecycle\":\"',"
         " case when o_orderkey % 2 = 0 then 'Active' else 'EOL' end, '\"}') as payload_json",
     )
-    return H.enrich(wanted_parts(spark, d), response_cache(spark, d), responses, F.expr(NOW))
+
+
+def enriched(spark, d):
+    return H.enrich(wanted_parts(spark, d), response_cache(spark, d), responses_of(spark, d), F.expr(NOW))
+
+
+@query(
+    "h7_cache_put",
+    f"""with {CACHE}, f as (select distinct {MPN.format('o_orderkey')} as mpn, case when o_orderkey % 2 = 0 then 'Active' else 'EOL' end as lifecycle
+      from orders where o_orderkey % 6 <> 0 and {ANSWERED} = 'ok')
+    select mpn, lifecycle, epoch({NOW})::bigint as cached_at from f
+    union all select mpn, lifecycle, cached_at from cache where mpn not in (select mpn from f)""",
+)
+def h7(spark, d):
+    return H.cache_put(response_cache(spark, d), responses_of(spark, d), F.expr(NOW)).select("mpn", "lifecycle", "cached_at")
 
 
 @query(

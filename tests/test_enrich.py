@@ -56,3 +56,14 @@ def test_chain_and_reasons(rows):
     assert offline.pop("hit") is None and set(offline.values()) == {"offline"}
     cells = {r["part"]: (r["description"], r["notes"]) for r in H.enrichment_cells(H.enrich(parts, cache, responses, now())).collect()}
     assert cells == {"hit": ("Op-amps", "DIP-8; NRND"), "resp": ("Op-amps", "DIP-8"), "LM358X": ("Op-amps", "DIP-8"), "LM358Y": (None, None)}
+
+
+def test_cache_put_round_trip(rows):
+    cache = rows([("A", "{}", "Active", 5), ("B", "{}", "Obsolete", 5)], "mpn string, payload_json string, lifecycle string, cached_at long")
+    payload = '{"lifecycle": "NRND",  "datasheet":"d"}'
+    answers = rows([("A", "ok", payload), ("C", "ok", payload), ("B", "unknown", None), ("D", "unreachable", payload), (None, "ok", payload)],
+                   "mpn string, status string, payload_json string")
+    put = H.cache_put(cache, answers, F.timestamp_seconds(F.lit(99)))
+    assert tuples(put) == [("A", payload, "NRND", 99), ("B", "{}", "Obsolete", 5), ("C", payload, "NRND", 99)]
+    got = H.cache_lookup(rows([("C",)], "part string"), put, F.timestamp_seconds(F.lit(9_999_999))).first()
+    assert got["hit"] and got["payload_json"] == payload
