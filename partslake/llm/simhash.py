@@ -198,8 +198,9 @@ def links(distinct: DataFrame, *, max_bits: int = MAX_BITS, pair_rows: int = PAI
     """Edges (a, b) of a spanning forest of the links between the values of ``fp``."""
     rows = distinct.select("fp", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(0).alias("side"), F.lit(0).alias("err"))
     n, depth, found = distinct.count(), 0, []
-    # even prefixes would leave this many rows in a pair; uneven ones are found by counting
-    while n >> depth > pair_rows // 2 and depth < 64 - STEP_BITS:
+    # one step at least, so that there are pairs for many tasks; then as even prefixes would
+    # need, while uneven ones are found by counting
+    while depth < STEP_BITS or n >> depth > pair_rows // 2 and depth < 64 - STEP_BITS:
         rows, depth = _expand(rows, depth, STEP_BITS, max_bits), depth + STEP_BITS
 
     def finish(done: DataFrame, depth: int) -> DataFrame:
