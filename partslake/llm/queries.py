@@ -44,9 +44,53 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
-@query("op10_mixing")
+# The limit on passes in closed form: (largest share / smallest share) ** (1 - t) = 2.
+MIXING_SQL = r"""
+with d as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n_tokens,
+        cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 3) as int) as block
+    from documents
+), s as (
+    select source, cast(sum(n_tokens) as double) as tokens from d group by source
+), p as (
+    select source, tokens, tokens / sum(tokens) over () as p from s where tokens > 0
+), t as (
+    select case when max(p) <= 2 * min(p) then 0 else 1 - ln(2) / ln(max(p) / min(p)) end as t from p
+), w as (
+    select source, tokens, p, pow(p, t) / sum(pow(p, t)) over () as weight from p, t
+), r as (
+    select source, tokens, weight, weight / p / min(weight / p) over () as passes from w
+    union all select source, tokens, 0, 1 from s where tokens <= 0
+), plan as (
+    select *, cast(floor(passes + 1e-9) as int) as whole, greatest(0, passes - floor(passes + 1e-9)) * tokens as rest from r
+), b as (
+    select d.source, block, whole, rest, sum(n_tokens) as tokens,
+        md5(concat_ws('|', '0', cast(whole as varchar), coalesce(d.source, ''), cast(block as varchar))) as ord
+    from d join plan on d.source is not distinct from plan.source group by d.source, block, whole, rest
+), u as (
+    select *, sum(tokens) over (partition by source order by ord, block rows unbounded preceding) as upto from b
+), e as (
+    select d.*, plan.weight, plan.passes, plan.whole, u.upto <= u.rest + 1e-6 and u.rest > 0 as taken,
+        u.upto > u.rest + 1e-6 and u.upto - u.tokens < u.rest + 1e-6 as cut, u.rest - (u.upto - u.tokens) as left_over
+    from d join plan on d.source is not distinct from plan.source
+    join u on u.source is not distinct from d.source and u.block = d.block
+), l as (
+    select *, sum(n_tokens) over (
+        partition by source order by md5(concat_ws('|', '0', cast(whole as varchar), coalesce(cast(doc_id as varchar), ''))), n_tokens
+        rows unbounded preceding) as sum_tokens
+    from e where cut
+), x as (
+    select doc_id, source, n_tokens, unnest(range(whole + cast(taken as int))) as pass, block, weight, passes from e
+    union all select doc_id, source, n_tokens, whole, block, weight, passes from l where sum_tokens <= left_over + 1e-6
+)
+select doc_id, source, n_tokens, cast(pass as int) as pass, block, round(weight, 6) as weight, round(passes, 6) as passes from x
+"""
+
+
+@query("op10_mixing", MIXING_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing(table(spark, sf_dir, "documents"))
+    out = mixing(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("weight", "passes")})
 
 
 @query("op5_quality")
