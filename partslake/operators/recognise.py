@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partslake.plans.running import numbered, running, seconds_of, time_chunk
+from partslake.plans.running import CHUNK_ROWS, int_chunk, numbered, running, seconds_of
 from partslake.session import cut_lineage
 
 TIGHT, MEDIUM = 0.10, 0.25
@@ -265,17 +265,17 @@ def retry_cap(
     cap: int = 2,
     gap_seconds: float = 10.0,
     distinct: float = MEDIUM,
-    chunk: Column | None = None,
+    width: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Attempts per part at a camera; after ``cap`` retries the maker takes over.
 
     ``events`` is ``(camera, ts, capture_id, reframing, vec)``. The next part begins after a time
-    gap with a distinctly different vector; ``distinct`` is our choice of threshold.
+    gap with a distinctly different vector; ``distinct`` is our choice of threshold. A camera's
+    rows are numbered in order and cut every ``width`` rows, however dense they are in time.
     """
-    chunk = time_chunk("ts") if chunk is None else chunk
-    order = ["ts", "capture_id"]
+    order, chunk = ["_n"], int_chunk("_n", width)
     paired = running(
-        events, ["camera"], order, chunk, lags={"_ts": F.col("ts"), "_vec": F.col("vec")}
+        numbered(events, ["camera"], ["ts", "capture_id"], "_n"), ["camera"], order, chunk, lags={"_ts": F.col("ts"), "_vec": F.col("vec")}
     )
     gap = seconds_of("ts") - seconds_of("_ts")
     starts = F.col("_ts").isNull() | (
@@ -288,7 +288,7 @@ def retry_cap(
         chunk,
         sums={"part_no": F.col("_start").cast("int")},
         since={"attempts": (F.col("reframing").cast("int"), F.col("_start"))},
-    ).drop("_start")
+    ).drop("_start", "_n")
     return tried.withColumn(
         "outcome",
         F.when(~F.col("reframing"), "ok")

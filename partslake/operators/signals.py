@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from partslake.functions import rules as R
 from partslake.operators.workitems import lookup
-from partslake.plans.running import CHUNK_ROWS, int_chunk, running, seconds_of, time_chunk
+from partslake.plans.running import CHUNK_ROWS, int_chunk, numbered, running, seconds_of
 
 
 def lighting_bands(pixels: DataFrame) -> DataFrame:
@@ -208,18 +208,18 @@ def stable_value(
     )
 
 
-def undo_window(events: DataFrame, seconds: float = 5.0, chunk: Column | None = None) -> DataFrame:
+def undo_window(events: DataFrame, seconds: float = 5.0, width: int = CHUNK_ROWS) -> DataFrame:
     """Undos ``(bin, ts, event_id, kind)`` that are legal.
 
     An undo takes back the write just before it, within the time, and only once: after
-    another undo there is nothing left to take back.
+    another undo there is nothing left to take back. A bin's rows are numbered in order
+    and cut every ``width`` rows.
     """
-    chunk = time_chunk("ts") if chunk is None else chunk
     before = running(
-        events,
+        numbered(events, ["bin"], ["ts", "event_id"], "_n"),
         ["bin"],
-        ["ts", "event_id"],
-        chunk,
+        ["_n"],
+        int_chunk("_n", width),
         lags={"_kind": F.col("kind"), "_ts": F.col("ts"), "write_id": F.col("event_id")},
     )
     age = seconds_of("ts") - seconds_of("_ts")

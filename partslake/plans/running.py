@@ -27,12 +27,6 @@ def int_chunk(order: str | Column, width: int = CHUNK_ROWS) -> Column:
     return F.floor(order / F.lit(width)).cast("long")
 
 
-def time_chunk(ts: str | Column, seconds: int = 3600) -> Column:
-    """Chunk of an event time: the rows one key can have within ``seconds``."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds)).cast("long")
-
-
 def seconds_of(ts: str) -> Column:
     """Seconds of a time with or without zone, to the microsecond."""
     return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)

@@ -116,7 +116,7 @@ def test_retry_cap(rows):
     ]
     df = rows([("c", i, r, v, t) for i, (t, r, v) in enumerate(events)], "camera string, capture_id long, reframing boolean, vec array<double>, t long")
     df = df.withColumn("ts", F.timestamp_seconds("t")).drop("t")
-    got = G.retry_cap(df, chunk=F.floor(F.unix_seconds("ts") / 2)).orderBy("capture_id").collect()
+    got = G.retry_cap(df, width=3).orderBy("capture_id").collect()
     assert [(r["part_no"], r["attempts"]) for r in got] == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (2, 1), (2, 1), (2, 2)]
     assert [r["outcome"] for r in got] == ["Reframing"] * 2 + ["EscalatedToManual"] * 3 + ["Reframing", "ok", "Reframing"]
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from partslake.plans.running import int_chunk, numbered, running, time_chunk, top_rows
+from partslake.plans.running import int_chunk, numbered, running, top_rows
 from tests.conftest import tuples
 
 
@@ -63,12 +63,6 @@ def test_hot_key_is_spread(events):
     assert spread > 20
 
 
-def test_time_chunk_rises(spark):
-    df = spark.sql("select timestamp_seconds(id * 1000) as ts from range(20)")
-    chunks = [r[0] for r in df.orderBy("ts").select(time_chunk("ts")).collect()]
-    assert chunks == sorted(chunks) and len(set(chunks)) > 3
-
-
 def test_top_rows(events):
     got = top_rows(events, ["k"], [F.col("seq").desc()], 2)
     assert max(r["count"] for r in got.groupBy("k").count().collect()) == 2

@@ -99,5 +99,5 @@ def test_stable_value(rows, width):
 def test_undo_window(rows):
     events = [(0, "write"), (4, "undo"), (5, "undo"), (10, "write"), (16, "undo"), (20, "write"), (21, "write"), (22, "undo")]
     df = rows([("b", i, t, k) for i, (t, k) in enumerate(events)], "bin string, event_id long, t long, kind string")
-    got = I.undo_window(df.withColumn("ts", F.timestamp_seconds("t")).drop("t"), chunk=F.floor(F.unix_seconds("ts") / 3))
+    got = I.undo_window(df.withColumn("ts", F.timestamp_seconds("t")).drop("t"), width=3)
     assert tuples(got, "event_id", "legal", "write_id") == [(1, True, 0), (2, False, None), (4, False, None), (7, True, 6)]
