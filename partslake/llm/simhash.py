@@ -34,7 +34,7 @@ PAIR_ROWS = 1 << 18
 STEP_BITS = 4
 # Node pairs held at once inside a task, the size below which two nodes are compared one by
 # one, and the pairs of such nodes compared at once.
-CHUNK, LEAF, LEAVES = 1 << 18, 32, 1 << 12
+CHUNK, LEAF, LEAVES = 1 << 18, 32, 1 << 6
 # Shingles whose bits are counted at once.
 _SLICE = 1 << 14
 
