@@ -38,7 +38,8 @@ def has_outer_blanks(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Text without outer blanks of any kind. Names its input once, so nesting stays small."""
-    return F.regexp_replace(text, rf"^{BLANK_CLASS}++|{BLANK_CLASS}++\z", "")
+    # a run of blanks is looked at from its first one only, so long runs stay linear
+    return F.regexp_replace(text, rf"^{BLANK_CLASS}++|(?<!{BLANK_CLASS}){BLANK_CLASS}++\z", "")
 
 
 def split_lines(text: Column) -> Column:

@@ -244,3 +244,9 @@ def test_fold_is_case_folding_of_every_letter(spark, rows):
     df = rows(letters + words, "c string").repartition(8)
     wrong = [(r.c, r.f) for r in df.select("c", T.fold(F.col("c")).alias("f")).collect() if r.f != (r.c and r.c.casefold())]
     assert not wrong
+
+
+def test_strip_is_that_of_plain_text_also_on_long_runs(rows):
+    texts = ["", " ", " a ", " a b ", "a\n", "\x1c\x1d x \x1f", "a" + " " * 200_000 + "b", " " * 100_000, "x　 \t", None]
+    got = [r[0] for r in rows([(t,) for t in texts], "t string").select(T.strip(F.col("t"))).collect()]
+    assert got == [t and t.strip() for t in texts]
