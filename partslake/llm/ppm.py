@@ -7,9 +7,10 @@ and d different bytes, it costs (2c - 1) / 2n, or the escape d / 2n and the next
 context, from which all bytes of the longer one are excluded. What no context knows is
 uniform over the bytes left. Codes of known nodes are computed once per task.
 
-The trie that is broadcast has at most ``MAX_NODES`` nodes of full order: the least count of
-a node rises until they fit. Counts of words, for the base score, have no such bound; frequent
-words are looked up in the task, all others by a join.
+No count is left out. A trie of up to ``HEAD_NODES`` nodes of full order is broadcast whole. Of
+a larger one the codes of the most frequent grams are; the grams of a text that are not among
+them are coded by joins with the counts of their contexts, order by order. Words, for the
+base score, likewise: frequent ones are looked up in the task, all others by a join.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partslake.llm.common import SPACES, lowered, only, remainder, scans, table_of, text_bytes
 from partslake.session import cut_lineage
 
 ORDER = 5
-MAX_NODES = 1 << 20
+# Nodes of full order, or codes of such, that are broadcast.
+HEAD_NODES = 1 << 20
 # Closes a text and fills the contexts before it; no UTF-8 text holds this byte.
 END = 0xFF
 # Words looked up within the task, and entries of a count table held before it is emitted.
@@ -96,25 +98,81 @@ def count_nodes(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, *, max_nodes: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Nodes and counts of each order from 0 to ``ORDER``, sorted by node."""
-    nodes = cut_lineage(count_nodes(docs))
+def least_count(nodes: DataFrame, max_nodes: int) -> int:
+    """The least count of a node if no more than ``max_nodes`` of full order are wanted."""
     spread = nodes.groupBy(F.least("n", F.lit(1_000)).alias("n")).agg(F.count(F.lit(1)).alias("nodes")).collect()
     least, kept = 1_001, 0
     for n, count in sorted(((r["n"], r["nodes"]) for r in spread), reverse=True):
         if kept + count > max_nodes:
             break
         least, kept = n, kept + count
+    return least
+
+
+def _last(gram: Column, order: int) -> Column:
+    """The last byte of a gram and the ``order`` bytes before it."""
+    return gram.bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+
+
+def levels_of(nodes: DataFrame, least: int = 1) -> list[DataFrame]:
+    """``gram`` and ``n`` of the nodes of each order from 0 to ``ORDER``."""
+    counted = [nodes.groupBy(_last(F.col("gram"), order).alias("gram")).agg(F.sum("n").alias("n")) for order in range(ORDER + 1)]
+    return [level.filter(F.col("n") >= least) for level in counted]
+
+
+def train(levels: list[DataFrame]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and counts of each order, sorted by node."""
     model = []
-    for order in range(ORDER + 1):
-        of = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
-        level = nodes.groupBy(of.alias("gram")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    for level in levels:
+        level = level.toArrow()
         g, n = level["gram"].to_numpy().view(np.uint64), level["n"].to_numpy()
         rank = np.argsort(g)
         model.append((g[rank], n[rank].astype(np.float64)))
     return model
 
 
+def contexts_of(levels: list[DataFrame]) -> list[DataFrame]:
+    """``context``, ``total``, ``kinds`` and ``hidden`` of each order, as in ``Trie``."""
+    out = []
+    for order, level in enumerate(levels):
+        hidden = F.lit(0).cast("long")
+        if order:
+            shorter = levels[order - 1].select(F.col("gram").alias("_short"), F.col("n").alias("_n"))
+            level = level.join(shorter, _last(F.col("gram"), order - 1) == F.col("_short"), "left")
+            hidden = F.coalesce("_n", F.lit(0))
+        grouped = level.groupBy(F.shiftright("gram", 8).alias("context"))
+        out.append(grouped.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum(hidden).alias("hidden")))
+    return out
+
+
+def coded(asked: DataFrame, levels: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """``gram`` and ``code`` of the distinct grams ``asked``: what ``Trie.code`` gives, by joins.
+
+    A level has 256 ** (order + 1) nodes at most, so the lowest are broadcast.
+    """
+    zero = F.lit(0).cast("long")
+    rows = asked.select("gram", F.lit(0.0).alias("code"), zero.alias("hn"), zero.alias("hd"), F.lit(True).alias("open"))
+    for order in range(ORDER, -1, -1):
+        node = levels[order].select(F.col("gram").alias("_g"), F.col("n").alias("_c"))
+        context = contexts[order]
+        own = F.when(F.col("open"), _last(F.col("gram"), order))
+        rows = rows.join(F.broadcast(context) if order <= 2 else context, F.shiftright(own, 8) == F.col("context"), "left")
+        rows = rows.join(F.broadcast(node) if order <= 1 else node, own == F.col("_g"), "left")
+        known, seen = F.col("context").isNotNull(), F.col("_g").isNotNull()
+        d = F.col("kinds") - F.col("hd")
+        top = F.when(seen, 2 * F.col("_c") - 1).otherwise(d)
+        cost = F.when(F.col("open") & known & (d > 0), F.log10(top / (2 * (F.col("total") - F.col("hn"))))).otherwise(0.0)
+        rows = rows.select(
+            "gram",
+            (F.col("code") + cost).alias("code"),
+            F.coalesce("hidden", "hn").alias("hn"),
+            F.coalesce("kinds", "hd").alias("hd"),
+            (F.col("open") & ~seen).alias("open"),
+        )
+    left = F.log10(F.greatest(256 - F.col("hd"), F.lit(1)).cast("double"))
+    return rows.select("gram", F.when(F.col("open"), F.col("code") - left).otherwise(F.col("code")).alias("code"))
+
+
 class Trie:
     """Codes bytes, in log10, with the counts of ``train``."""
 
@@ -187,6 +245,24 @@ class Trie:
             out[rest] = self.code(unique)[where]
         return out
 
+    def split(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, and which grams have none here: no gram."""
+        return self.logs(grams), np.zeros(0, np.int64)
+
+
+class Head:
+    """Codes of some grams."""
+
+    def __init__(self, table: tuple[np.ndarray, np.ndarray]):
+        self.grams, self.codes = table
+
+    def split(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, 0 where there is none; and the positions where there is none."""
+        unique, where = np.unique(grams, return_inverse=True)
+        at, hit = Trie._find(self.grams, unique)
+        codes = np.where(hit, self.codes[at] if len(self.codes) else 0.0, 0.0)
+        return codes[where], np.flatnonzero(~hit[where])
+
 
 def count_words(docs: DataFrame) -> DataFrame:
     """``word`` (bytes, lower-cased A-Z) and ``n`` over all of ``docs``."""
@@ -210,26 +286,35 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def scored(docs: DataFrame, keep: list[str], model: list, head: dict[bytes, int]) -> DataFrame:
+def scored(docs: DataFrame, keep: list[str], model: list | tuple, head: dict[bytes, int]) -> DataFrame:
     """The columns ``keep`` with n_tokens, score, the counts of head words and the other words.
 
     ``_head`` has (count in training, how often in the text); ``_tail`` (word, how often).
-    ``_row`` numbers the rows.
+    ``model`` is what ``train`` gives, or the grams and codes of a ``Head``; then ``_grams`` has
+    (gram, how often) of those whose codes are still to be added to the score. ``_row`` numbers
+    the rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model, head))
-    schema = spark.createDataFrame([], "n_tokens long, score double, _row long, _head array<struct<c:long,times:long>>, _tail array<struct<word:binary,times:long>>").schema
+    schema = spark.createDataFrame([], "n_tokens long, score double, _row long, _head array<struct<c:long,times:long>>, _tail array<struct<word:binary,times:long>>, _grams array<struct<gram:long,times:long>>").schema
     schema = type(schema)([*docs.select(*keep).schema.fields, *schema.fields])
     kinds = [pa.list_(pa.struct([("c", pa.int64()), ("times", pa.int64())])), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = Trie(shared.value[0]), shared.value[1]
+        (model, known) = shared.value
+        trie = Trie(model) if isinstance(model, list) else Head(model)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for first, end, data, offsets in scans(batch, "_text"):
                 packed, at = grams(data, offsets)
-                score = np.bincount(at, trie.logs(packed), minlength=end - first)
+                codes, rest = trie.split(packed)
+                score = np.bincount(at, codes, minlength=end - first)
+                open_ = np.stack([at[rest], packed[rest].astype(np.int64)], axis=1)
+                open_, times = np.unique(open_, axis=0, return_counts=True) if len(rest) else (open_, rest)
+                size = np.append(0, np.cumsum(np.bincount(open_[:, 0], minlength=end - first)))
+                grams_ = pa.StructArray.from_arrays([pa.array(open_[:, 1]), pa.array(times.astype(np.int64))], names=["gram", "times"])
+                grams_ = pa.ListArray.from_arrays(pa.array(size, pa.int32()), grams_)
                 tokens, sizes = [], ([0], [0])
                 heads, tails = ([], []), ([], [])
                 for value in texts.slice(first, end - first):
@@ -248,18 +333,20 @@ def scored(docs: DataFrame, keep: list[str], model: list, head: dict[bytes, int]
                 ]
                 n = end - first
                 kept = [c.slice(first, n) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(tokens, pa.int64()), pa.array(score), pa.array(np.arange(row, row + n)), *lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(tokens, pa.int64()), pa.array(score), pa.array(np.arange(row, row + n)), *lists, grams_], names=schema.names)
                 row += n
 
     return docs.select(*keep, text_bytes().alias("_text")).mapInArrow(run, schema)
 
 
-def lm_score(docs: DataFrame, *, fold: tuple[int, int] | None = (5, 1), max_nodes: int = MAX_NODES, head_words: int = HEAD_WORDS) -> DataFrame:
+def lm_score(docs: DataFrame, *, fold: tuple[int, int] | None = (5, 1), max_nodes: int | None = None, head_nodes: int = HEAD_NODES, head_words: int = HEAD_WORDS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Rows with the remainder ``fold[1]`` are held out: scored but not learnt from. A null text
     is empty and has its end token alone. Without any training text every token is unknown
-    and every byte uniform. Repeated rows count and are scored each on its own.
+    and every byte uniform. Repeated rows count and are scored each on its own. All nodes
+    count, unless ``max_nodes`` asks for a smaller model: the most frequent nodes of full order,
+    and those of lower order that are as frequent. ``head_nodes`` is only what is broadcast.
     """
     docs = only(docs, "doc_id", "text")
     held = remainder("doc_id", fold[0]) == fold[1] if fold else F.lit(False)
@@ -269,7 +356,23 @@ def lm_score(docs: DataFrame, *, fold: tuple[int, int] | None = (5, 1), max_node
     ends = learnt.count()
     n, v = totals["n"] + ends, totals["v"] + (ends > 0)
     head = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(head_words).toArrow().to_pylist()}
-    out = cut_lineage(scored(docs, ["doc_id"], train(learnt, max_nodes=max_nodes), head))
+    nodes = cut_lineage(count_nodes(learnt))
+    levels = levels_of(nodes, 1 if max_nodes is None else least_count(nodes, max_nodes))
+    whole = levels[ORDER].count() <= head_nodes
+    if whole:
+        model = train(levels)
+    else:
+        levels = [cut_lineage(level) for level in levels]
+        contexts = [cut_lineage(context) for context in contexts_of(levels)]
+        frequent = cut_lineage(levels[ORDER].orderBy(F.desc("n"), "gram").limit(head_nodes).select("gram"))
+        table = coded(frequent, levels, contexts).orderBy("gram").toArrow()
+        model = (table["gram"].to_numpy().view(np.uint64), table["code"].to_numpy())
+    out = cut_lineage(scored(docs, ["doc_id"], model, head))
+    if not whole:
+        rest = out.select("_row", F.explode("_grams").alias("g")).select("_row", "g.gram", "g.times")
+        codes = cut_lineage(coded(rest.select("gram").distinct(), levels, contexts))
+        rest = rest.join(codes, "gram").groupBy("_row").agg(F.sum(F.col("times") * F.col("code")).alias("_more"))
+        score = out.select("_row", "score").join(rest, "_row", "left").select("_row", (F.col("score") + F.coalesce("_more", F.lit(0.0))).alias("score"))
 
     log = lambda c: F.log10((c + 0.5) / (F.lit(float(n)) + 0.5 * (F.lit(float(v)) + 1)))
     tail = out.select("_row", F.explode("_tail").alias("t")).select("_row", "t.word", "t.times")
@@ -277,7 +380,9 @@ def lm_score(docs: DataFrame, *, fold: tuple[int, int] | None = (5, 1), max_node
     tail = tail.groupBy("_row").agg(F.sum(F.col("times") * log(F.col("c"))).alias("_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("_known"))
     head_sum = F.aggregate("_head", F.lit(0.0), lambda a, x: a + x["times"] * log(x["c"]))
     head_known = F.aggregate("_head", F.lit(0).cast("long"), lambda a, x: a + x["times"])
-    joined = out.drop("_tail").join(tail, "_row", "left")
+    joined = out.drop("_tail", "_grams").join(tail, "_row", "left")
+    if not whole:
+        joined = joined.drop("score").join(score, "_row")
     return joined.select(
         "doc_id",
         (remainder("doc_id", fold[0]) == fold[1] if fold else F.lit(False)).alias("held_out"),

@@ -95,3 +95,16 @@ def test_empty(spark, rows):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     (r,) = M.lm_score(rows([(held, "abc d")], "doc_id long, text string")).collect()
     assert r.n_known == 0 and r.train_tokens == 0 and r.score == pytest.approx(-6 * math.log10(256))
+
+
+@pytest.mark.parametrize("head_nodes", [0, 12])
+def test_nodes_outside_the_broadcast_head_count(spark, rows, head_nodes):
+    docs = rows_of(rows, TEXTS * 2).union(rows([(None, "quite new wörds")], "doc_id long, text string")).repartition(3)
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
+    low = lambda t: b" ".join((t or "").encode().lower().split())
+    data = [(i, low(t)) for i, t in enumerate(TEXTS * 2)] + [(None, low("quite new wörds"))]
+    model = plain_model([t for i, t in data if not held(i)])
+    got = {r.doc_id: r for r in M.lm_score(docs, head_nodes=head_nodes, head_words=2).collect()}
+    for i, t in data:
+        b = bytes([M.END]) * M.ORDER + t + bytes([M.END])
+        assert got[i].score == pytest.approx(sum(plain_code(model, b[j - M.ORDER : j], b[j]) for j in range(M.ORDER, len(b))), rel=1e-9)
