@@ -14,12 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partslake.llm.common import SPACES, Hashes, mix, only, scans, smallest, table_of, text_bytes, words
+from partslake.llm.common import SPACES, Hashes, mix, only, scans, table_of, text_bytes, words
 
 # Buckets of one n-gram length.
 BITS = 16
-# Trusted labels learnt from, at most; raw counts take in every document.
-TRUSTED_ROWS = 20_000
 THRESHOLD = -0.3
 MIN_WORDS, MAX_REPEAT = 50, 50
 
@@ -47,11 +45,11 @@ def _sums(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame, trusted: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per bucket over all of ``docs`` and over those with an id in ``trusted`` (bounded)."""
+    """Counts per bucket over all of ``docs`` and over those with an id in ``trusted``, which has each once."""
     flagged = docs.select("doc_id", text_bytes())
     flag = F.lit(False)
     if trusted is not None:
-        flagged = flagged.join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("_trusted"))), "doc_id", "left")
+        flagged = flagged.join(trusted.select("doc_id", F.lit(True).alias("_trusted")), "doc_id", "left")
         flag = F.coalesce("_trusted", F.lit(False))
     size = len(_GRAMS) << BITS
 
@@ -129,16 +127,15 @@ def measures(data: np.ndarray, offsets: np.ndarray, hashes: Hashes) -> dict[str,
     }
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """Base measures, ``base_failed``, ``kept`` and ``llr`` of every row of ``docs``.
 
-    Trusted are documents labelled with quality 1, ``trusted_rows`` of them at most, by
-    smallest hash of the id. A null text is empty; a text without n-grams, or a corpus
+    Trusted are all documents labelled with quality 1. A null text is empty; a text without n-grams, or a corpus
     without trusted texts, has the ratio 0. Repeated rows each give a row and count each.
     """
     docs = only(docs, "doc_id", "text")
     good = only(labels, "doc_id", "quality").filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    weights = docs.sparkSession.sparkContext.broadcast(ratios(*count_grams(docs, smallest(good, "doc_id", trusted_rows))))
+    weights = docs.sparkSession.sparkContext.broadcast(ratios(*count_grams(docs, good)))
     schema = docs.select("doc_id").schema
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     for name in names:

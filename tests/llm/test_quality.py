@@ -76,3 +76,10 @@ def test_verdicts_on_labels(spark):
 
 def test_empty(spark, rows):
     assert Q.quality(rows([], "doc_id long, text string"), rows([], "doc_id long, quality int")).count() == 0
+
+
+def test_all_trusted_rows_count(spark):
+    """With every document trusted both sides are the same counts, however many there are."""
+    docs = spark.range(20_500).selectExpr("id as doc_id", "md5(string(id)) as text")
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    assert Q.quality(docs, labels).filter("llr <> 0").count() == 0
