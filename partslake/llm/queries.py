@@ -12,6 +12,7 @@ from partslake.llm.packing import packing
 from partslake.llm.ppm import lm_score
 from partslake.llm.quality import quality
 from partslake.llm.repeats import remove_repeats
+from partslake.llm.resample import importance_resample
 from partslake.llm.secrets import secrets
 from partslake.llm.simhash import near_duplicates
 from partslake.llm.topk import top_k
@@ -127,3 +128,54 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_repeats")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+# The 256 sums of single bytes that a CRC-32 is made of, and the sum of a text ``{x}``.
+CRC_BYTES_SQL = """
+    select list_transform(range(256), lambda n: list_reduce(
+        list_concat([n], range(8)), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as sums
+"""
+CRC_SQL = """xor(list_reduce(list_concat([4294967295], list_transform(
+        range(1, octet_length(encode({x})) + 1), lambda i: cast('0x' || substr(hex(encode({x})), 2 * i - 1, 2) as bigint))),
+        lambda a, b: xor(a >> 8, sums[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+RESAMPLE_SQL = f"""
+with crc as ({CRC_BYTES_SQL}), w as (
+    select 0 as side, doc_id, row_number() over () as id, text from documents
+    union all select 1, null, row_number() over (), text from benchmark
+), words as (
+    select side, doc_id, id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words
+    from w
+), runs as (
+    select side, id, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) as run
+    from words, range(1, 4) r(n)
+), distinct_runs as (
+    select run, {CRC_SQL.format(x="run")} % 10000 as bucket from (select distinct run from runs), crc
+), f as (
+    select side, id, bucket from runs join distinct_runs using (run)
+), c as (
+    select bucket, count(*) filter (side = 0) as s, count(*) filter (side = 1) as t from f group by bucket
+), g as (
+    select bucket, cast(floor(1000 * ln(cast(t + 1 as double) * (sum(s) over () + 10000) / (cast(s + 1 as double) * (sum(t) over () + 10000)))) as bigint) as gain
+    from c
+), d as (
+    select id, count(*) as n_features, sum(gain) as weight from f join g using (bucket) where side = 0 group by id
+), scored as (
+    select doc_id, len(words) as n_words, coalesce(n_features, 0) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+        cast(coalesce(weight, 0) + floor(-1000 * ln(-ln(
+            (cast('0x' || substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5) / 4294967296.0))) as bigint) as score
+    from words left join d using (id) where side = 0
+), r as (
+    select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place,
+        count(*) filter (n_words >= 20) over () as able
+    from scored
+)
+select doc_id, n_words, n_features, weight, score, case when n_words >= 20 and place <= 5 * able // 100 then place end as rank from r
+"""
+
+
+@query("op12_resample", RESAMPLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
