@@ -10,6 +10,7 @@ from partslake.llm.language import language
 from partslake.llm.mixing import mixing
 from partslake.llm.packing import packing
 from partslake.llm.ppm import lm_score
+from partslake.llm.prefixes import prefix_trie
 from partslake.llm.quality import quality
 from partslake.llm.repeats import remove_repeats
 from partslake.llm.resample import importance_resample
@@ -179,3 +180,39 @@ select doc_id, n_words, n_features, weight, score, case when n_words >= 20 and p
 @query("op12_resample", RESAMPLE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+PREFIXES_SQL = f"""
+with crc as ({CRC_BYTES_SQL}), t as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null
+), own as (
+    select conv_id, list({{'role': role, 'text': text}} order by turn nulls first, sha256(length(role) || ':' || role || length(text) || ':' || text)) as turns
+    from t group by conv_id
+), heads as (
+    select conv_id, {CRC_SQL.format(x="cast(conv_id as varchar)")} % 6 as h, turns from own, crc
+), built as (
+    select c.conv_id, list_concat(coalesce(b.turns[1:h], []), c.turns[h + 1:]) as turns
+    from heads c left join own b on b.conv_id = c.conv_id - c.conv_id % 100
+), members as (
+    select conv_id, d, turns[1:d] as path, d = len(turns) as ending from built, lateral (select unnest(range(0, len(turns) + 1)) as d)
+), nodes as (
+    select d, path, min(conv_id) as conv_id, count(*) as n_convs,
+        sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ending), '')) as ends_sha256
+    from members group by d, path
+), child as (
+    select d - 1 as d, path[1:d - 1] as path, count(*) as n_children from nodes where d > 0 group by all
+), under as (
+    select up as d, path[1:up] as path, count(*) filter (n_children is null) as n_leaves,
+        sum(case when d > 0 then (n_convs - 1) * length(path[d].text) else 0 end) as saved_tokens
+    from (select n.*, n_children from nodes n left join child using (d, path)), lateral (select unnest(range(0, d + 1)) as up) group by all
+)
+select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves,
+    cast(saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from nodes n left join child c using (d, path) join under u using (d, path)
+left join nodes p on p.d = n.d - 1 and p.path = n.path[1:n.d - 1]
+"""
+
+
+@query("op11_prefixes", PREFIXES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
