@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partslake.llm import forest
 from partslake.llm.language import language
 from partslake.llm.mixing import mixing
 from partslake.llm.packing import packing
@@ -216,3 +217,8 @@ left join nodes p on p.d = n.d - 1 and p.path = n.path[1:n.d - 1]
 @query("op11_prefixes", PREFIXES_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_forest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"))
