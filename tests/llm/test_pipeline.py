@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage and whole, against what each stage promises."""
 
+import random
 from collections import Counter, defaultdict
 
 import public_tokenizers as P
@@ -7,7 +8,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from partslake.llm import simhash, toxicity
+from partslake.llm import toxicity
+from tests.llm.test_forest import plain, shingles
 from tests.llm.test_secrets import brute as secret_spans
 
 SF = "/root/testdata/sf0.001"
@@ -34,23 +36,46 @@ def test_toxic_documents_go(spark, stages):
     assert len(clean - set(kept)) <= 0.01 * len(clean) and len(kept) < len(scores)
 
 
+def kept_of(rows):
+    """Ids of the texts that stay: the smallest id of each group, all texts without words being one."""
+    data = [(r.doc_id, r.text) for r in rows]
+    blank = [i for i, t in data if not (t or "").encode().split()]
+    return sorted(i for i, n, low in plain(data, 5, (4, 5))[0] if (i == low if n else i == min(blank)))
+
+
 def test_one_of_each_group_stays(stages):
     before = stages[1].collect()
-    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode(), 3) for r in before}
-    ids = sorted(fps)
-    root = {i: i for i in ids}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a in ids:
-        for b in ids:
-            if a < b and bin(fps[a] ^ fps[b]).count("1") <= C.NEAR_BITS:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    assert sorted(r.doc_id for r in stages[2].collect()) == [i for i in ids if find(i) == i]
+    assert sorted(r.doc_id for r in stages[2].collect()) == kept_of(before)
+
+
+def test_one_of_each_group_stays_on_a_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert sorted(r.doc_id for r in C.drop_near_duplicates(spark, docs, SF).collect()) == kept_of(docs.collect())
+
+
+@pytest.mark.parametrize("changed, kept", [(9, 1), (12, 2)])
+def test_near_duplicates_by_similarity(spark, rows, changed, kept):
+    """Texts of 0.8 to 0.85 similarity are one, those below 0.8 are two."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(500)]
+    copy = list(base)
+    for k in range(changed):
+        copy[20 * k + 10] = "changed"
+    data = [(1, " ".join(base), "en", "web", 1), (2, " ".join(copy), "en", "web", 1), (3, " ".join(copy), "en", "web", 1)]
+    docs = rows(data, "doc_id long, text string, lang string, source string, n_chars long")
+    x, y = shingles(data[0][1], 5), shingles(data[1][1], 5)
+    share = len(x & y) / len(x | y)
+    assert 0.8 <= share < 0.85 if kept == 1 else 0.75 < share < 0.8
+    assert [r.doc_id for r in C.drop_near_duplicates(spark, docs, SF).orderBy("doc_id").collect()] == [1, 2][:kept]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in C.STAGES], ids=[n for n, _ in C.STAGES])
+def test_stages_on_nulls_and_an_empty_table(spark, rows, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, node int, source_ string"
+    assert stage(spark, rows([], schema), SF).collect() == []
+    data = [(None, None, None, None, None, 1, 1, "x"), (1, "", "en", None, 0, 2, 1, None), (2, "a few clean words", None, "web", 17, 3, 1, "")]
+    out = stage(spark, rows(data, schema), SF).collect()
+    assert 2 in {r.doc_id for r in out} and len(out) >= 2
 
 
 def test_secrets_are_masked_and_nothing_else(stages):
