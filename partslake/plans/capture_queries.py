@@ -608,6 +608,32 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+def in_batches(rows: DataFrame, op, name: str, jitter: int, batches: int = 4) -> DataFrame:
+    """What ``op`` finds on a stream of ``rows``, none of them late.
+
+    Each row arrives up to ``jitter`` seconds after its time, in one of several files that are
+    read one by one, so that batches overlap. A last row far ahead in time, read by a second
+    run on the same checkpoint, brings out what still waits.
+    """
+    spark = rows.sparkSession
+    rows, folder = rows.withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark, name)
+    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("array")]), F.lit(jitter))
+    ends = rows.select(arrival.cast("double").alias("at")).approxQuantile("at", [k / batches for k in range(1, batches)], 0.01)
+    for low, high in zip([float("-inf"), *ends], [*ends, float("inf")]):
+        rows.filter((arrival > low) & (arrival <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    closing = spark.range(1).select(
+        *[(F.lit("9000-01-01") if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes]
+    )
+    for more in (None, closing):
+        if more is not None:
+            more.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        result = op(stream, f"{jitter + 1} seconds")
+        run = result.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        run.trigger(availableNow=True).start().awaitTermination()
+    return J.on_time(spark.read.schema(result.schema).parquet(f"{folder}/out"))
+
+
 STOCK_SQL = f"""with {WRITES}, n as (select bin, part, max(qty) as qty from d where disposition <> 'rejected' group by bin, part),
 s as (select distinct concat('b', label) as bin, concat('L', label) as part, label::bigint as qty from embeddings)
 select coalesce(n.bin, s.bin) as bin, coalesce(n.part, s.part) as part, coalesce(n.qty, s.qty) as qty from s full outer join n on n.bin = s.bin and n.part = s.part"""
@@ -648,22 +674,17 @@ def j2(spark, d):
 
 @query("j3_stream_camera_lost", f"with {LOST.format(3)}")
 def j3(spark, d):
-    stream = stream_of(spark, d, "events").selectExpr(
-        f"{CAMERA} as camera", "event_id as seq", "event_type <> 'error' as ok"
+    # reads are ordered by number, so that stands for their time
+    return in_batches(
+        reads(spark, d).withColumn("ts", F.timestamp_seconds("seq")), lambda s, delay: J.stream_camera_lost(s, limit=3, delay=delay), "lost", 500
     )
-    return drained(J.stream_camera_lost(stream, limit=3), "lost")
 
 
 @query("j4_stream_retry_cap", f"with {RETRY}")
 def j4(spark, d):
-    stream = stream_of(spark, d, "events").selectExpr(
-        f"{CAMERA} as camera",
-        "ts",
-        "event_id as capture_id",
-        "event_type <> 'purchase' as reframing",
-        "array(cos(value), sin(value)) as vec",
+    return in_batches(
+        camera_events(spark, d), lambda s, delay: J.stream_retry_cap(s, gap_seconds=36000, delay=delay), "retry", 3600
     )
-    return drained(J.stream_retry_cap(stream, gap_seconds=36000), "retry")
 
 
 @query(
@@ -671,5 +692,5 @@ def j4(spark, d):
     f"with {UNDO} select bin, event_id, legal, case when legal then pid end as write_id from l",
 )
 def j5_stream(spark, d):
-    stream = stream_of(spark, d, "events").selectExpr(*UNDO_EVENTS)
-    return drained(J.stream_undo_window(stream, seconds=7200), "undo")
+    events = table(spark, d, "events").selectExpr(*UNDO_EVENTS)
+    return in_batches(events, lambda s, delay: J.stream_undo_window(s, seconds=7200, delay=delay), "undo", 3600)

@@ -1,7 +1,8 @@
 """Structured Streaming forms of the capture operators.
 
-State is one small record per camera or bin. Rows of a key must arrive in order over
-micro-batches; within one they are sorted.
+Rows of a camera or bin are put in order by event time: they wait in the state until the
+watermark has passed them, and a timer of the key then takes them on. Rows may so arrive in
+any order within the allowed delay; what comes later still is marked and not looked at.
 """
 
 from __future__ import annotations
@@ -12,33 +13,128 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from partslake.operators.recognise import MEDIUM, TIGHT, run_captures
 from partslake.sources.stock_store import latest, put_changes
 
+# How far rows may be out of order, unless the caller says otherwise.
+DELAY = "10 seconds"
+
+Step = Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]]
+
+
+class InOrder(StatefulProcessor):
+    """Rows of one key, each handed to ``step`` once the watermark is past it, in order.
+
+    State: the rows that wait, what ``step`` returned last, and the time of the key's one
+    timer, which is that of the earliest waiting row. A row behind the watermark comes out
+    at once with ``late`` set: rows after it may have been handed on.
+    """
+
+    def __init__(self, rows: str, order: list[str], state: str, start: tuple, output: StructType, step: Step):
+        self.rows, self.order, self.state = rows, order, state
+        self.start, self.output, self.step = start, output, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.rows)
+        self.last = handle.getValueState("last", self.state)
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
+        earliest = None
+        for frame in rows:
+            late = frame["us"] < passed
+            if passed and late.any():
+                yield self._out(frame[late], True)
+                frame = frame[~late]
+            if len(frame):
+                held = {c: [list(v) for v in frame[c]] if isinstance(frame[c].iloc[0], np.ndarray) else frame[c].tolist() for c in frame}
+                self.waiting.appendList(list(zip(*held.values())))
+                us = int(frame["us"].min())
+                earliest = us if earliest is None else min(earliest, us)
+        if earliest is not None:
+            self._wake(earliest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = pd.DataFrame(list(self.waiting.get()), columns=self._columns())
+        ready = held["us"] < passed
+        rest = held[~ready]
+        self.waiting.clear()
+        self.timer.clear()
+        if len(rest):
+            self.waiting.put([tuple(r) for r in rest.itertuples(index=False, name=None)])
+            self._wake(int(rest["us"].min()))
+        if ready.any():
+            rows = held[ready].sort_values(self.order, kind="stable").reset_index(drop=True)
+            new, out = self.step(self.last.get() if self.last.exists() else self.start, rows)
+            self.last.update(new)
+            if len(out):
+                yield self._out(out, False)
+
+    def close(self) -> None:
+        pass
+
+    def _columns(self) -> list[str]:
+        return [c.split()[0] for c in self.rows.split(", ")]
+
+    def _wake(self, us: int) -> None:
+        """Let the key's timer go off once the watermark is past ``us``."""
+        due = us // 1000 + 1
+        if self.timer.exists():
+            (set_to,) = self.timer.get()
+            if set_to <= due:
+                return
+            self.handle.deleteTimer(set_to)
+        self.handle.registerTimer(due)
+        self.timer.update((due,))
+
+    def _out(self, frame: pd.DataFrame, late: bool) -> pd.DataFrame:
+        return frame.reindex(columns=[f.name for f in self.output.fields[:-1]]).assign(late=late).reset_index(drop=True)
+
 
 def _in_order(
-    events: DataFrame,
-    key: str,
-    order: list[str],
-    state_schema: str,
-    start: tuple,
-    output_schema: str,
-    step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]],
+    events: DataFrame, key: str, columns: str, order: list[str], state: str, start: tuple, output: str, step: Step, delay: str
 ) -> DataFrame:
-    """Run ``step(state, rows)`` over the rows of each key in order, keeping its state."""
+    """Run ``step(state, rows)`` over the rows of each key by event time, keeping its state.
 
-    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable").reset_index(drop=True)
-        new, out = step(state.get if state.exists else start, rows)
-        state.update(new)
-        yield out
+    ``columns`` are those of ``events`` that ``step`` reads, as a schema; it gets the event
+    time ``ts`` as ``us``, microseconds. The result has ``output`` and ``late``.
+    """
+    spark = events.sparkSession
+    # state with lists and timers needs this store
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    named = [c.split()[0] for c in columns.split(", ")]
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    # without the time column itself Spark leaves late rows to us
+    plain = timed.select(*[F.col(n).cast(c.split(" ", 1)[1]).alias(n) for n, c in zip(named, columns.split(", "))], F.unix_micros("ts").alias("us"))
+    result = StructType.fromDDL(f"{output}, late boolean")
+    processor = InOrder(f"{columns}, us long", ["us", *order], state, start, result, step)
+    return plain.groupBy(key).transformWithStateInPandas(processor, result, "append", "eventTime")
 
-    return events.groupBy(key).applyInPandasWithState(
-        run, output_schema, state_schema, "append", GroupStateTimeout.NoTimeout
-    )
+
+def on_time(result: DataFrame) -> DataFrame:
+    """What an operator found, without the rows that came too late."""
+    return result.filter(~F.col("late")).drop("late")
+
+
+def to_two(result: DataFrame, path: str, late_path: str, checkpoint: str) -> DataStreamWriter:
+    """Write results to ``path`` and rows that came too late to ``late_path``, a folder per batch.
+
+    A batch that is run again replaces its own folders.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        on_time(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.filter("late").drop("late").write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
+        batch.unpersist()
+
+    return result.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def stream_dedup(captures: DataFrame, delay: str | None = None) -> DataFrame:
@@ -53,8 +149,8 @@ def stream_dedup(captures: DataFrame, delay: str | None = None) -> DataFrame:
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["image_hash"])
 
 
-def stream_camera_lost(reads: DataFrame, limit: int = 5) -> DataFrame:
-    """First point of each run of ``limit`` failures per camera of ``(camera, seq, ok)``."""
+def stream_camera_lost(reads: DataFrame, limit: int = 5, delay: str = DELAY) -> DataFrame:
+    """First point of each run of ``limit`` failures per camera of ``(camera, ts, seq, ok)``."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         bad = (~rows["ok"].astype(bool)).to_numpy()
@@ -65,11 +161,13 @@ def stream_camera_lost(reads: DataFrame, limit: int = 5) -> DataFrame:
         lost = rows.loc[bad & (run == limit), ["camera", "seq"]]
         return (int(run[-1]),), lost
 
-    return _in_order(reads, "camera", ["seq"], "fails long", (0,), "camera string, seq long", step)
+    return _in_order(
+        reads, "camera", "camera string, seq long, ok boolean", ["seq"], "fails long", (0,), "camera string, seq long", step, delay
+    )
 
 
 def stream_retry_cap(
-    events: DataFrame, cap: int = 2, gap_seconds: float = 10.0, distinct: float = MEDIUM
+    events: DataFrame, cap: int = 2, gap_seconds: float = 10.0, distinct: float = MEDIUM, delay: str = DELAY
 ) -> DataFrame:
     """Attempts per part at a camera of ``(camera, ts, capture_id, reframing, vec)``."""
 
@@ -77,7 +175,7 @@ def stream_retry_cap(
         last_ts, last_vec, part_no, attempts = state
         vecs = np.stack(rows["vec"].to_numpy()).astype(np.float64)
         vecs /= np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
-        secs = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
+        secs = rows["us"].to_numpy() / 1e6
         prev_vec = np.vstack([last_vec if last_vec else vecs[0], vecs[:-1]])
         prev_ts = np.concatenate([[last_ts if last_vec else secs[0]], secs[:-1]])
         new = (secs - prev_ts > gap_seconds) & (1 - (vecs * prev_vec).sum(axis=1) >= distinct)
@@ -102,20 +200,22 @@ def stream_retry_cap(
     return _in_order(
         events,
         "camera",
-        ["ts", "capture_id"],
+        "camera string, capture_id long, reframing boolean, vec array<double>",
+        ["capture_id"],
         "ts double, vec array<double>, part_no long, attempts long",
         (0.0, [], 0, 0),
         "camera string, capture_id long, part_no long, attempts long, outcome string",
         step,
+        delay,
     )
 
 
-def stream_undo_window(events: DataFrame, seconds: float = 5.0) -> DataFrame:
+def stream_undo_window(events: DataFrame, seconds: float = 5.0, delay: str = DELAY) -> DataFrame:
     """Undos of ``(bin, ts, event_id, kind)`` with the write each takes back, if legal."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         kind, ts, event_id = state
-        secs = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
+        secs = rows["us"].to_numpy() / 1e6
         kinds = np.concatenate([[kind], rows["kind"].to_numpy()[:-1]])
         times = np.concatenate([[ts], secs[:-1]])
         ids = np.concatenate([[event_id], rows["event_id"].to_numpy()[:-1]])
@@ -130,11 +230,13 @@ def stream_undo_window(events: DataFrame, seconds: float = 5.0) -> DataFrame:
     return _in_order(
         events,
         "bin",
-        ["ts", "event_id"],
+        "bin string, event_id long, kind string",
+        ["event_id"],
         "kind string, ts double, event_id long",
         ("", 0.0, 0),
         "bin string, event_id long, legal boolean, write_id long",
         step,
+        delay,
     )
 
 

@@ -32,40 +32,89 @@ def feed(spark, tmp_path):
     return run
 
 
-def test_camera_lost(rows, feed):
-    rng = random.Random(4)
-    reads = rows([(rng.choice(["a", "b"]), i, rng.random() < 0.3) for i in range(200)], "camera string, seq long, ok boolean")
-    got = feed(reads, "seq", lambda s: J.stream_camera_lost(s, limit=3))
-    want = I.camera_lost(reads, limit=3).select("camera", "seq")
-    assert tuples(got) == tuples(want) and want.count() > 5
+@pytest.fixture
+def arrive(spark, tmp_path):
+    """Feed batches of rows one after the other, then a row far ahead in time so that all that waits comes out."""
+
+    def run(op, batches, schema):
+        src, out, late, state = (str(tmp_path / n) for n in ("src", "out", "late", "state"))
+        closing = [tuple(4_000_000_000 if f.split()[0] == "t" else None for f in schema.split(", "))]
+        for part in (batches, [closing]):
+            for batch in part:
+                df = spark.createDataFrame(batch, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+                df.coalesce(1).write.mode("append").parquet(src)
+            # a second run takes the state up from where the first left it
+            stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+            result = op(stream)
+            J.to_two(result, out, late, state).trigger(availableNow=True).start().awaitTermination()
+        kind = J.on_time(result).schema
+        return spark.read.schema(kind).parquet(out).drop("batch"), spark.read.schema(kind).parquet(late).drop("batch")
+
+    return run
+
+
+def shuffled(data, batches=8, seed=1):
+    rng = random.Random(seed)
+    data = list(data)
+    rng.shuffle(data)
+    return [data[i::batches] for i in range(batches)]
+
+
+def table_of(rows, data, schema):
+    return rows(data, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t")
 
 
-def test_retry_cap(rows, feed):
+CAMERA = "camera string, seq long, t long, ok boolean"
+
+
+def test_camera_lost(rows, arrive):
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "b"]), i, i // 3, rng.random() < 0.3) for i in range(200)]
+    got, late = arrive(lambda s: J.stream_camera_lost(s, limit=3, delay="1 hour"), shuffled(data), CAMERA)
+    want = I.camera_lost(table_of(rows, data, CAMERA), limit=3).select("camera", "seq")
+    assert tuples(got) == tuples(want) and want.count() > 5 and late.isEmpty()
+
+
+def test_rows_within_the_delay_are_ordered_and_later_ones_marked(rows, arrive):
+    """Neighbouring batches overlap by less than the delay; one row comes far too late."""
+    rng = random.Random(5)
+    data = [("a", i, i, rng.random() < 0.4) for i in range(120)]
+    arriving = sorted(data, key=lambda r: (r[2] + rng.randrange(8), r[1]))
+    batches = [arriving[i : i + 15] for i in range(0, 120, 15)]
+    stray = ("a", 1000, 3, False)
+    batches[6] = [*batches[6], stray]
+    got, late = arrive(lambda s: J.stream_camera_lost(s, limit=3, delay="10 seconds"), batches, CAMERA)
+    want = I.camera_lost(table_of(rows, data, CAMERA), limit=3).select("camera", "seq")
+    assert tuples(got) == tuples(want) and want.count() > 2
+    assert tuples(late) == [("a", 1000)]
+
+
+def test_retry_cap(rows, arrive):
     rng = random.Random(6)
     t = 0
     data = []
     for i in range(80):
         t += rng.choice([1, 5, 30])
         data.append((rng.choice(["a", "b"]), i, t, rng.random() < 0.8, rng.choice([[1.0, 0.0], [0.0, 1.0], [0.9, 0.1]])))
-    events = rows(data, "camera string, capture_id long, t long, reframing boolean, vec array<double>").withColumn("ts", F.timestamp_seconds("t")).drop("t")
-    got = feed(events, "ts", J.stream_retry_cap)
+    schema = "camera string, capture_id long, t long, reframing boolean, vec array<double>"
+    got, late = arrive(lambda s: J.stream_retry_cap(s, delay="1 hour"), shuffled(data), schema)
     cols = ("camera", "capture_id", "part_no", "attempts", "outcome")
-    want = G.retry_cap(events)
-    assert tuples(got, *cols) == tuples(want, *cols) and want.filter("part_no > 3").count()
+    want = G.retry_cap(table_of(rows, data, schema))
+    assert tuples(got, *cols) == tuples(want, *cols) and want.filter("part_no > 3").count() and late.isEmpty()
 
 
-def test_undo_window(rows, feed):
+def test_undo_window(rows, arrive):
     rng = random.Random(8)
     t = 0
     data = []
     for i in range(100):
         t += rng.choice([1, 4, 9])
         data.append((rng.choice(["a", "b"]), i, t, rng.choice(["write", "undo"])))
-    events = rows(data, "bin string, event_id long, t long, kind string").withColumn("ts", F.timestamp_seconds("t")).drop("t")
-    got = feed(events, "ts", J.stream_undo_window)
+    schema = "bin string, event_id long, t long, kind string"
+    got, late = arrive(J.stream_undo_window, [data[i : i + 25] for i in range(0, 100, 25)], schema)
     cols = ("bin", "event_id", "legal", "write_id")
-    want = I.undo_window(events)
-    assert tuples(got, *cols) == tuples(want, *cols) and want.filter("legal").count()
+    want = I.undo_window(table_of(rows, data, schema))
+    assert tuples(got, *cols) == tuples(want, *cols) and want.filter("legal").count() and late.isEmpty()
 
 
 def test_dedup(rows, feed):
