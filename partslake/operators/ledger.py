@@ -388,7 +388,7 @@ def undo_last(
     new_journal = journal.join(gone.select("entry_id"), "entry_id", "left_anti").select(
         *journal.columns
     )
-    bins = stock.select("bin").distinct()
+    bins = stock.select("bin").union(journal.select("bin")).distinct()
     outcomes = bins.join(
         done.select(
             "bin",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -297,6 +297,60 @@ def retry_cap(
     )
 
 
+def recognised(
+    captures: DataFrame,
+    verdicts: DataFrame,
+    cache: DataFrame,
+    model_hash: str,
+    tight: float = TIGHT,
+    medium: float = MEDIUM,
+) -> DataFrame:
+    """Captures with band and ``outcome``, written once as the search is costly."""
+    visible = model_gate(cache, model_hash)
+    bands = classify(
+        captures.select(F.col("capture_id").alias("id"), "vec"), visible, tight, medium
+    ).withColumnRenamed("id", "capture_id")
+    return cut_lineage(
+        route(captures.join(bands, "capture_id").join(verdicts, "capture_id", "left"))
+    )
+
+
+def capped(
+    routed: DataFrame,
+    earlier: DataFrame | None = None,
+    cap: int = 2,
+    gap_seconds: float = 10.0,
+    distinct: float = MEDIUM,
+) -> tuple[DataFrame, DataFrame]:
+    """Reframings beyond the cap go to the maker; and what is to be remembered of each camera.
+
+    ``routed`` also has ``camera`` and ``ts``. ``earlier`` is the second result of the batch
+    before: ``(camera, ts, vec, attempts)``, the last capture of each camera and the retries of
+    its part so far.
+    """
+    columns = ["camera", "ts", "capture_id", "reframing", "vec"]
+    events = routed.withColumn("reframing", F.col("outcome.kind") == "Reframing").select(*columns)
+    if earlier is not None:
+        # as many retries as still matter, all at the time of the last
+        many = F.greatest(F.lit(1), F.least(F.col("attempts"), F.lit(cap + 1))).cast("int")
+        before = earlier.withColumn("_n", F.explode(F.sequence(F.lit(1), many)))
+        before = before.withColumn("capture_id", (F.col("_n") - cap - 2).cast("long")).withColumn("reframing", F.col("attempts") > 0)
+        at, vec = (routed.schema[c].dataType for c in ("ts", "vec"))
+        before = before.withColumn("ts", F.col("ts").cast(at)).withColumn("vec", F.col("vec").cast(vec))
+        # below all ids of this batch, should the times be equal
+        low = F.least(F.lit(0).cast("long"), events.agg(F.min("capture_id")).scalar())
+        events = events.unionByName(before.withColumn("capture_id", F.col("capture_id") + low).select(*columns))
+    tried = cut_lineage(retry_cap(events, cap, gap_seconds, distinct))
+    over = tried.filter(F.col("outcome") == "EscalatedToManual").select("capture_id", F.lit(True).alias("_over"))
+    text = F.lit(None).cast("string")
+    to_maker = F.struct(F.lit("EscalatedToManual").alias("kind"), text.alias("label"), text.alias("source"), text.alias("hint"))
+    out = routed.join(over, "capture_id", "left").withColumn("outcome", F.when(F.col("_over"), to_maker).otherwise(F.col("outcome")))
+    last = tried.groupBy("camera").agg(
+        F.max_by(F.struct("ts", "vec", "attempts"), F.struct("ts", "capture_id")).alias("r")
+    )
+    return out.drop("_over"), last.select("camera", "r.*")
+
+
 def run_captures(
     captures: DataFrame,
     verdicts: DataFrame,
@@ -306,35 +360,40 @@ def run_captures(
     model_hash: str,
     tight: float = TIGHT,
     medium: float = MEDIUM,
+    *,
+    routed: DataFrame | None = None,
+    check: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """One batch of captures through recognition, stock and cache.
 
     ``captures`` is ``(capture_id, seq, bin, image_hash, vec)``, ``verdicts`` the model's answers per
-    capture. Stock is written before the cache learns: a capture whose stock write was
-    rejected teaches nothing. ``journal`` has what :func:`~partslake.operators.ledger.undo_last`
-    needs of each write: quantities before and after, and the cache row of its image.
+    capture. With ``camera`` and ``ts`` retries are capped per part. ``check`` finds diagnostics
+    (with ``bin``) in the stock as it would be; a bin that has one keeps its old stock, and its
+    writes are rejected. A capture whose write was rejected teaches the cache nothing.
+    ``routed`` is the recognition, where the caller has done it. ``journal`` has what
+    :func:`~partslake.operators.ledger.undo_last` needs of each write: quantities before and
+    after, and the cache row of its image.
     """
-    from partslake.operators.ledger import dispositions, replay, upsert_batch
+    from partslake.operators.ledger import dispositions, gate, replay, upsert_batch
 
-    visible = model_gate(cache, model_hash)
-    bands = classify(
-        captures.select(F.col("capture_id").alias("id"), "vec"), visible, tight, medium
-    ).withColumnRenamed("id", "capture_id")
-    # the search feeds stock and cache, and is not to run for each
-    routed = cut_lineage(
-        route(captures.join(bands, "capture_id").join(verdicts, "capture_id", "left"))
-    )
-    deltas = routed.filter(F.col("outcome.kind") == "Wrote").select(
-        "bin",
-        "seq",
-        F.col("outcome.label").alias("part"),
-        F.lit(1).alias("qty_delta"),
-        F.lit("camera").alias("source"),
-        F.lit(None).cast("string").alias("section"),
-        F.create_map().cast("map<string,string>").alias("cells"),
-    )
+    if routed is None:
+        routed = recognised(captures, verdicts, cache, model_hash, tight, medium)
+        if {"camera", "ts"} <= set(captures.columns):
+            routed = cut_lineage(capped(routed)[0])
+    deltas = deltas_of(routed)
     replayed = replay(stock, deltas, sections)
     outcomes = cut_lineage(dispositions(stock, deltas, sections, replayed=replayed))
+    post = upsert_batch(stock, deltas, sections, replayed=replayed)
+    if check is not None:
+        post = cut_lineage(post)
+        refused = cut_lineage(check(post).select("bin").distinct())
+        post = gate(post, refused).unionByName(stock.join(refused, "bin", "left_semi").select(*post.columns))
+        shut = outcomes.join(refused.withColumn("_shut", F.lit(True)), "bin", "left")
+        open_ = F.col("_shut").isNull() | (F.col("disposition") == "rejected")
+        values = {"disposition": F.lit("rejected"), "qty": F.lit(None), "section": F.lit(None), "reason": F.lit("gate")}
+        outcomes = cut_lineage(
+            shut.select(*[F.when(open_, F.col(c)).otherwise(values[c]).alias(c) if c in values else F.col(c) for c in outcomes.columns])
+        )
     written = outcomes.filter(F.col("disposition") != "rejected").select("bin", "seq")
     learned = (
         routed.filter(F.col("outcome.kind") == "Wrote")
@@ -363,12 +422,25 @@ def run_captures(
     return {
         "routed": routed,
         "dispositions": outcomes,
-        "stock": upsert_batch(stock, deltas, sections, replayed=replayed),
+        "stock": post,
         "cache": new_cache,
         "journal": journal,
     }
 
 
+def deltas_of(routed: DataFrame) -> DataFrame:
+    """One more of each part that was recognised."""
+    return routed.filter(F.col("outcome.kind") == "Wrote").select(
+        "bin",
+        "seq",
+        F.col("outcome.label").alias("part"),
+        F.lit(1).alias("qty_delta"),
+        F.lit("camera").alias("source"),
+        F.lit(None).cast("string").alias("section"),
+        F.create_map().cast("map<string,string>").alias("cells"),
+    )
+
+
 def band_report(
     classified: DataFrame, undone: DataFrame, high: float = 0.30, bins: int = 30
 ) -> DataFrame:

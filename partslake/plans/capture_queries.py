@@ -11,7 +11,8 @@ from partslake.operators import recognise as G
 from partslake.operators import signals as I  # noqa: E741
 from partslake.plans.registry import query, table
 from partslake.session import scratch
-from partslake.sources import stock_store as S
+from partslake.sources import commits
+from partslake.streaming import capture_store
 from partslake.streaming import streams as J
 
 # The vectors of the data lie far apart; these thresholds give every band rows.
@@ -221,13 +222,13 @@ def g7_cache(spark, d):
     return done["cache"].select("row_id", "image_hash", "label")
 
 
-@query(
-    "g7_run_captures_journal",
-    f"""with {WRITES}, l as (select bin, seq, concat('img', seq // 4) as image_hash, part, qty from d where disposition <> 'rejected'),
+JOURNAL_SQL = f"""with {WRITES}, l as (select bin, seq, concat('img', seq // 4) as image_hash, part, qty from d where disposition <> 'rejected'),
     f as (select image_hash, min(seq) as seq from l group by image_hash),
     c as (select image_hash, (select max(vec_id) from embeddings where vec_id % 2 = 0) + row_number() over (order by seq) as row_id from f)
-    select bin, part, seq as entry_id, qty - 1 as qty_before, qty as qty_after, row_id as cache_row_id from l join c using (image_hash)""",
-)
+    select bin, part, seq as entry_id, qty - 1 as qty_before, qty as qty_after, row_id as cache_row_id from l join c using (image_hash)"""
+
+
+@query("g7_run_captures_journal", JOURNAL_SQL)
 def g7_journal(spark, d):
     done = G.run_captures(
         captures(spark, d), answers(spark, d), capture_stock(spark, d),
@@ -639,11 +640,10 @@ s as (select distinct concat('b', label) as bin, concat('L', label) as part, lab
 select coalesce(n.bin, s.bin) as bin, coalesce(n.part, s.part) as part, coalesce(n.qty, s.qty) as qty from s full outer join n on n.bin = s.bin and n.part = s.part"""
 
 
-@query("j1_stream_captures", STOCK_SQL)
-def j1(spark, d):
+def streamed(spark: SparkSession, d: str) -> str:
+    """A store that has taken up all captures as a stream."""
     root = scratch(spark, "captures")
-    S.put_changes(capture_stock(spark, d), f"{root}/stock", 0)
-    S.put_changes(cache(spark, d), f"{root}/cache", 0)
+    capture_store.create(capture_stock(spark, d), cache(spark, d), f"{root}/store", buckets=8)
     stream = stream_of(spark, d, "embeddings").filter("vec_id % 2 = 1").selectExpr(
         "vec_id as capture_id",
         "vec_id as seq",
@@ -651,15 +651,21 @@ def j1(spark, d):
         "concat('img', cast(floor(vec_id / 4) as long)) as image_hash",
         "embedding as vec",
     )
-    run = (
-        J.stream_captures(
-            stream, answers(spark, d), capture_sections(spark, d), root, "m1", f"{root}/state", TIGHT, MEDIUM
-        )
-        .trigger(availableNow=True)
-        .start()
+    run = J.stream_captures(
+        stream, answers(spark, d), capture_sections(spark, d), f"{root}/store", "m1", f"{root}/state", TIGHT, MEDIUM
     )
-    run.awaitTermination()
-    return S.latest(spark, f"{root}/stock", ["bin", "part"]).select("bin", "part", "qty")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return f"{root}/store"
+
+
+@query("j1_stream_captures", STOCK_SQL)
+def j1(spark, d):
+    return commits.read(spark, streamed(spark, d), "stock").select("bin", "part", "qty")
+
+
+@query("j1_stream_journal", JOURNAL_SQL)
+def j1_journal(spark, d):
+    return commits.read(spark, streamed(spark, d), "journal").drop("ts")
 
 
 @query("j2_stream_dedup", "select distinct concat('h', user_id, '-', event_type) as image_hash from events")

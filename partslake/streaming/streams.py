@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from partslake.operators.recognise import MEDIUM, TIGHT, run_captures
-from partslake.sources.stock_store import latest, put_changes
+from partslake.operators.recognise import MEDIUM, TIGHT
+from partslake.streaming.capture_store import apply_captures
 
 # How far rows may be out of order, unless the caller says otherwise.
 DELAY = "10 seconds"
@@ -249,31 +249,13 @@ def stream_captures(
     checkpoint: str,
     tight: float = TIGHT,
     medium: float = MEDIUM,
+    *,
+    check: Callable[[DataFrame], DataFrame] | None = None,
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataStreamWriter:
-    """Captures into stock and cache, one micro-batch after the other.
-
-    ``root`` holds version 0 of ``stock`` and ``cache`` (:func:`put_changes`). A batch reads the
-    versions below its own and writes only the rows it changed, stock first, then cache;
-    run again after a failure it writes the same versions again.
-    """
+    """Captures into the store at ``root`` (``capture_store.create``), one commit per micro-batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = batch_id + 1
-        stock = latest(spark, f"{root}/stock", ["bin", "part"], version)
-        cache = latest(spark, f"{root}/cache", ["row_id"], version)
-        done = run_captures(
-            batch, verdicts, stock, sections, cache, model_hash, tight, medium
-        )
-        touched = done["dispositions"].filter(
-            ~F.col("disposition").isin("rejected", "no_op")
-        ).select("bin", "part").distinct()
-        put_changes(done["stock"].join(touched, ["bin", "part"], "left_semi"), f"{root}/stock", version)
-        put_changes(
-            done["cache"].join(cache.select("row_id"), "row_id", "left_anti"),
-            f"{root}/cache",
-            version,
-        )
-        put_changes(done["dispositions"], f"{root}/outcomes", version)
+        apply_captures(batch, verdicts, sections, root, model_hash, batch_id, tight, medium, check=check, enrich=enrich)
 
     return captures.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from partslake.operators import recognise as G
 from partslake.operators import signals as I  # noqa: E741
-from partslake.sources import stock_store as S
+from partslake.sources import commits as S
+from partslake.streaming import capture_store as K
 from partslake.streaming import streams as J
 from tests.conftest import tuples
 
@@ -139,12 +140,11 @@ def test_dedup_keeps_late_hashes_and_never_repeats_one(spark, rows, tmp_path):
 
 
 def test_captures_over_batches(spark, rows, tmp_path):
-    """A part learnt in one batch is recognised in the next; a replayed version changes nothing."""
+    """A part learnt in one batch is recognised in the next; the journal has every write."""
     root = str(tmp_path / "db")
     stock = rows([("b", "S", "LM358N", 1, "manual", {})], "bin string, section string, part string, qty long, source string, cells map<string,string>")
     cache = rows([(1, "m", "h0", "LM358N", None, [1.0, 0.0])], "row_id long, model_hash string, image_hash string, label string, marking_text string, vec array<float>")
-    S.put_changes(stock, f"{root}/stock", 0)
-    S.put_changes(cache, f"{root}/cache", 0)
+    K.create(stock, cache, root, buckets=2)
     sections = rows([("b", "S", 1, True, ["Part", "Qty", "Source"])], "bin string, section string, position int, has_table boolean, header array<string>")
     verdicts = rows([(1, "hedged_id", "NE555N", None)], "capture_id long, vlm_kind string, vlm_label string, vlm_hint string")
     schema = "capture_id long, seq long, bin string, image_hash string, vec array<float>"
@@ -154,6 +154,8 @@ def test_captures_over_batches(spark, rows, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = J.stream_captures(stream, verdicts, sections, root, "m", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert tuples(S.latest(spark, f"{root}/stock", ["bin", "part"]), "part", "qty") == [("LM358N", 2), ("NE555N", 2)]
-    learnt = S.latest(spark, f"{root}/cache", ["row_id"])
+    assert tuples(S.read(spark, root, "stock"), "part", "qty") == [("LM358N", 2), ("NE555N", 2)]
+    learnt = S.read(spark, root, "cache")
     assert tuples(learnt, "row_id", "image_hash", "label") == [(1, "h0", "LM358N"), (2, "h1", "NE555N"), (3, "h2", "NE555N"), (4, "h3", "LM358N")]
+    kept = tuples(S.read(spark, root, "journal"), "entry_id", "part", "qty_before", "qty_after", "cache_row_id")
+    assert kept == [(1, "NE555N", 0, 1, 2), (2, "NE555N", 1, 2, 3), (3, "LM358N", 1, 2, 4)]
