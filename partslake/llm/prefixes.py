@@ -33,6 +33,8 @@ from partslake.session import cut_lineage
 BLOCK = 4
 # Conversations whose id shares all but the last two digits share a head of less than six turns.
 FAMILY, HEADS = 100, 6
+# Conversations of a group of siblings above which it is joined apart from the others.
+MANY = 1 << 12
 # Ids written into one piece of a list of ids.
 PIECE_IDS = 1 << 14
 
@@ -113,7 +115,12 @@ def trie(turns: DataFrame, ids: DataFrame, *, block: int = BLOCK) -> DataFrame:
     # siblings by the digest before the block; the block's own digest tells whether they diverge
     key = ["block", *_BEFORE]
     siblings = upto.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.min("conv_id").alias("low"), _uniform(["n", *_AT]).alias("alike"))
-    members = cut_lineage(upto.drop("n", *_AT).join(siblings, key))
+    siblings = cut_lineage(siblings)
+    rows = upto.drop("n", *_AT)
+    # groups with many members are few: a small table, which Spark sends to the rows
+    many = cut_lineage(siblings.filter(F.col("members") > MANY))
+    rest = rows.join(many.select(*key), key, "left_anti").join(siblings.filter(F.col("members") <= MANY), key)
+    members = cut_lineage(rest.unionByName(rows.join(many, key)))
     shown = members.filter(~F.col("alike") | (F.col("conv_id") == F.col("low")))
     inside = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (

@@ -59,8 +59,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("block", [1, 3, 4])
-def test_equals_the_plain_form(spark, rows, block):
+@pytest.mark.parametrize("block, many", [(1, 1 << 12), (3, 1 << 12), (4, 5)])
+def test_equals_the_plain_form(spark, rows, monkeypatch, block, many):
+    monkeypatch.setattr(P, "MANY", many)
     data = corpus()
     frame = rows([(*r, 1, 2) for r in data], SCHEMA + ", depth int, n int").repartition(3)
     out = P.prefix_trie(frame, block=block)
