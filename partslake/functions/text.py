@@ -6,6 +6,7 @@ none of them shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -97,13 +98,23 @@ def _unlike_lower() -> dict[str, str]:
     return {c: c.casefold() for c in letters if c.casefold() != c.lower()}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fold(text: Column) -> Column:
     """Case-folded sort key. Texts with a letter that folds otherwise go letter by letter."""
     odd = _unlike_lower()
-    lower = F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))  # at the end of a word
     pairs = F.create_map(*[F.lit(x) for pair in odd.items() for x in pair])
-    letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), F.lower(c)))
-    return F.when(text.rlike("[" + "".join(odd) + "]"), F.array_join(letters, "")).otherwise(lower)
+
+    def folded(t: Column) -> Column:
+        letters = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), F.lower(c)))
+        lower = F.replace(F.lower(t), F.lit("ς"), F.lit("σ"))  # at the end of a word
+        plain = F.octet_length(t) == F.length(t)
+        return F.when(plain, F.lower(t)).when(t.rlike("[" + "".join(odd) + "]"), F.array_join(letters, "")).otherwise(lower)
+
+    return bound(text, folded)
 
 
 def basename(path: Column) -> Column:

@@ -129,8 +129,7 @@ def lint_alphabetical(rows: DataFrame) -> DataFrame:
 
 
 def is_hedged(text: Column, phrases: Sequence[str] = R.HEDGE_PHRASES) -> Column:
-    low = T.fold(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in phrases])
+    return T.bound(T.fold(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in phrases]))
 
 
 def _hedge_message(phrases: Sequence[str]) -> Column:
