@@ -678,6 +678,19 @@ def j2(spark, d):
     return drained(J.stream_dedup(stream), "dedup").select("image_hash")
 
 
+@query("j2_dedup_into", "select concat('h', user_id, '-', event_type) as image_hash, count(*) over () as n_hashes from events group by user_id, event_type")
+def j2_into(spark, d):
+    hashes = table(spark, d, "events").selectExpr("cast(ts as timestamp) as ts", "concat('h', user_id, '-', event_type) as image_hash")
+    folder = scratch(spark, "seen")
+    hashes.repartition(4).write.parquet(f"{folder}/in")
+    J.create_seen(spark, f"{folder}/store", hashes.schema, buckets=8)
+    stream = spark.readStream.schema(hashes.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    J.dedup_into(stream, f"{folder}/store", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    first = commits.read(spark, f"{folder}/store", "first")
+    n = commits.read(spark, f"{folder}/store", "seen").agg(F.count(F.lit(1))).scalar()
+    return first.select("image_hash", n.alias("n_hashes"))
+
+
 @query("j3_stream_camera_lost", f"with {LOST.format(3)}")
 def j3(spark, d):
     # reads are ordered by number, so that stands for their time

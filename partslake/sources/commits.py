@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -174,7 +175,9 @@ def read_keys(wanted: DataFrame, root: str, name: str, record: dict | None = Non
     record = record or newest(spark, root)
     table = record["tables"][name]
     stored = _opened(spark, files_with(wanted, root, name, record), root, name, table)
-    return _current(stored.join(wanted.select(*table["keys"]).distinct(), table["keys"], "left_semi"), table)
+    asked = wanted.select(*[F.col(k).alias(f"_w_{k}") for k in table["keys"]]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in table["keys"]])
+    return _current(stored.join(asked, same, "left_semi"), table)
 
 
 def commit(

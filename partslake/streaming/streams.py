@@ -11,12 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from partslake.operators.recognise import MEDIUM, TIGHT
+from partslake.session import cut_lineage
+from partslake.sources import commits
 from partslake.streaming.capture_store import apply_captures
 
 # How far rows may be out of order, unless the caller says otherwise.
@@ -140,8 +142,9 @@ def to_two(result: DataFrame, path: str, late_path: str, checkpoint: str) -> Dat
 def stream_dedup(captures: DataFrame, delay: str | None = None) -> DataFrame:
     """First capture of each image hash, however late or far apart its captures are.
 
-    Every hash stays in the state, one key each. With ``delay`` a hash is forgotten once the
-    watermark passes it: then late captures are dropped, and a hash can come out again.
+    Every hash stays in the state, one key each; ``dedup_into`` keeps them in files. With
+    ``delay`` a hash is forgotten once the watermark passes it: then late captures are
+    dropped, and a hash can come out again.
     """
     if delay is None:
         return captures.dropDuplicates(["image_hash"])
@@ -149,6 +152,36 @@ def stream_dedup(captures: DataFrame, delay: str | None = None) -> DataFrame:
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["image_hash"])
 
 
+def create_seen(spark: SparkSession, root: str, schema: StructType, buckets: int = commits.BUCKETS) -> None:
+    """A store for ``dedup_into``: hashes met so far, and the first capture of each."""
+    empty = spark.createDataFrame([], schema)
+    commits.create(spark, root, {"seen": (empty.select("image_hash"), ["image_hash"]), "first": (empty, [])}, buckets)
+
+
+def dedup_into(captures: DataFrame, root: str, checkpoint: str, tidy_every: int = 16) -> DataStreamWriter:
+    """First capture of each image hash into the table ``first`` of the store at ``root``.
+
+    The stream keeps no state. A batch reads the files of met hashes whose filter may hold
+    one of its own, and adds its new hashes and their captures in one commit, so a batch
+    that is run again adds nothing. Within a batch the smallest ``ts`` comes first; a null
+    hash is a hash like others.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c != "image_hash"]
+        one = batch.groupBy("image_hash").agg(F.min_by(F.struct(*rest), F.struct("ts", *[c for c in rest if c != "ts"])).alias("r"))
+        one = cut_lineage(one.select("image_hash", "r.*").select(*batch.columns))
+        known = commits.read_keys(one, root, "seen").withColumnRenamed("image_hash", "_seen")
+        new = cut_lineage(one.join(known, F.col("image_hash").eqNullSafe(F.col("_seen")), "left_anti"))
+        number = commits.commit(spark, root, {"seen": new.select("image_hash"), "first": new}, writer="dedup", batch=batch_id)
+        if number % tidy_every == 0:
+            commits.compact(spark, root, "seen")
+            commits.vacuum(spark, root)
+
+    return captures.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
 def stream_camera_lost(reads: DataFrame, limit: int = 5, delay: str = DELAY) -> DataFrame:
     """First point of each run of ``limit`` failures per camera of ``(camera, ts, seq, ok)``."""
 

@@ -139,6 +139,33 @@ def test_dedup_keeps_late_hashes_and_never_repeats_one(spark, rows, tmp_path):
     assert tuples(spark.table("late"), "image_hash") == [(h,) for h in sorted({h for _, h in data}, key=lambda h: repr((h,)))]
 
 
+def test_dedup_into_files(spark, rows, tmp_path):
+    """Shuffled files give each hash once, in no state; a batch that is run again adds nothing."""
+    rng = random.Random(3)
+    data = [(i, f"h{rng.randrange(40)}" if i % 9 else None) for i in range(160)]
+    rng.shuffle(data)
+    src, root = str(tmp_path / "in"), str(tmp_path / "store")
+    schema = "t long, image_hash string"
+    parts = [table_of(rows, data[20 * k : 20 * (k + 1)], schema) for k in range(8)]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(src)
+    J.create_seen(spark, root, parts[0].schema, buckets=2)
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    def run(state):
+        q = J.dedup_into(stream, root, str(tmp_path / state), tidy_every=5).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+
+    first = run("one")
+    assert len(first.recentProgress) >= 8 and all(not p["stateOperators"] for p in first.recentProgress)
+    want = sorted({(h,) for _, h in data}, key=repr)
+    assert tuples(S.read(spark, root, "first"), "image_hash") == want
+    assert tuples(S.read(spark, root, "seen"), "image_hash") == want
+    run("two")  # as after a lost checkpoint: the same batches once more
+    assert tuples(S.read(spark, root, "first"), "image_hash") == want
+
+
 def test_captures_over_batches(spark, rows, tmp_path):
     """A part learnt in one batch is recognised in the next; the journal has every write."""
     root = str(tmp_path / "db")
