@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from partslake.functions import rules as R
 from partslake.functions import text as T
 from partslake.plans.running import numbered
-from partslake.session import scratch
+from partslake.session import cut_lineage, scratch
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -175,41 +175,77 @@ def prerequisite_edges(items: DataFrame) -> DataFrame:
     )
 
 
-T_EDGES = "epic string, src string, dst string, before long, n long"
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (epic, src, dst, w) between nodes that are not inside a stretch, and epics with a bare ring.
+
+    A stretch is a run of nodes with one way in and one way out. Each of its nodes points to
+    the next; in every round it points on to where that one points, so the distance doubles
+    and all know the end of their stretch after a logarithm of its length. In a round
+    without any progress only rings are left, which have no end.
+    """
+    out = edges.groupBy("epic", F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("outs"), F.min("dst").alias("next"))
+    into = edges.groupBy("epic", F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("ins"))
+    inner = cut_lineage(out.join(into, ["epic", "v"]).filter("outs = 1 and ins = 1").select("epic", "v", "next"))
+    within = inner.select("epic", F.col("v").alias("next"), F.lit(True).alias("open"))
+    at = cut_lineage(
+        inner.join(within, ["epic", "next"], "left").select("epic", "v", "next", F.lit(1).cast("long").alias("w"), F.coalesce("open", F.lit(False)).alias("open"))
+    )
+    open_, before = at.filter("open").count(), -1
+    while open_ and open_ != before:
+        ahead = at.select("epic", F.col("v").alias("next"), F.col("next").alias("_next"), F.col("w").alias("_w"), F.col("open").alias("_open"))
+        moved = at.filter("open").join(ahead, ["epic", "next"]).select("epic", "v", F.col("_next").alias("next"), F.col("w") + F.col("_w"), F.col("_open"))
+        at = cut_lineage(at.filter(~F.col("open")).union(moved))
+        open_, before = at.filter("open").count(), open_
+    rings = at.filter("open").select("epic").distinct()
+    ends = at.filter(~F.col("open")).select("epic", F.col("v").alias("dst"), "next", "w")
+    outer = edges.join(inner.select("epic", F.col("v").alias("src")), ["epic", "src"], "left_anti")
+    # an edge into a stretch goes on to its end
+    long = outer.join(ends, ["epic", "dst"], "left").select(
+        "epic", "src", F.coalesce("next", "dst").alias("dst"), (1 + F.coalesce("w", F.lit(0))).alias("w")
+    )
+    return long, rings
+
+
+def _depths(edges: DataFrame) -> DataFrame:
+    """``(epic, depth, cyclic)`` of each epic with edges (epic, src, dst).
+
+    Stretches are contracted, and the rest is peeled: an edge goes when no edge leads into
+    its source any more, and hands on the distance of its source. An epic in which none
+    goes is stuck in a cycle and out of the next round; what its cycle was handed counts.
+    """
+    spark = edges.sparkSession
+    root = scratch(spark, "rounds")
+    long, rings = _contracted(cut_lineage(edges.distinct()))
+    here = long.withColumn("d", F.lit(0).cast("long"))
+    for k in count():
+        entered = here.select("epic", F.col("dst").alias("src"), F.lit(False).alias("goes")).distinct()
+        here = cut_lineage(here.join(entered, ["epic", "src"], "left").withColumn("goes", F.coalesce("goes", F.lit(True))))
+        handed = F.max(F.when(F.col("goes"), F.col("d") + F.col("w")))
+        rounds = here.groupBy("epic").agg(handed.alias("far"), F.bool_or("goes").alias("moved"))
+        rounds.write.mode("overwrite").parquet(f"{root}/round={k}")
+        if here.isEmpty():
+            break
+        moved = spark.read.schema("epic string, far long, moved boolean").parquet(f"{root}/round={k}").filter("moved").select("epic")
+        reached = here.filter("goes").groupBy("epic", F.col("dst").alias("src")).agg(F.max(F.col("d") + F.col("w")).alias("_d"))
+        here = (
+            here.filter(~F.col("goes")).join(moved, "epic", "left_semi").join(reached, ["epic", "src"], "left")
+            .select("epic", "src", "dst", "w", F.greatest("d", F.coalesce("_d", F.lit(0))).alias("d"))
+        )
+    peeled = spark.read.schema("epic string, far long, moved boolean, round int").parquet(root)
+    found = peeled.select("epic", "far", (~F.col("moved")).alias("cyclic"))
+    found = found.union(rings.select("epic", F.lit(0).cast("long"), F.lit(True)))
+    return found.groupBy("epic").agg((F.coalesce(F.max("far"), F.lit(0)) + 1).alias("depth"), F.bool_or("cyclic").alias("cyclic"))
 
 
 def dag_shape(items: DataFrame) -> DataFrame:
     """Roots, depth, direction per epic; ``cyclic`` where prerequisites run in a circle.
 
-    Each round drops the edges whose source has no edge left into it. A round is one
-    write of the edges that remain, with their number per epic before and after; an epic
-    without edges, or that a round leaves as it was, is out of the next. The number of
-    rounds is the depth of the deepest epic, without a bound. Edges that no round can
-    drop are cycles and what depends on them.
+    Rounds grow with the logarithm of the longest stretch without branches, and with the
+    number of branching nodes on the longest way.
     """
     tasks = _tasks(items).withColumn("epic", _epic(items)).filter(F.col("epic").isNotNull())
     all_edges = prerequisite_edges(items).filter(F.col("epic").isNotNull())
-    spark, root = items.sparkSession, scratch(items.sparkSession, "rounds")
-    edges = all_edges.filter("in_epic").select("epic", "src", "dst", F.lit(None).cast("long").alias("before"))
-    schema = T_EDGES
-    for k in count():
-        left = edges.groupBy("epic").agg(F.count(F.lit(1)).alias("n"))
-        edges.join(left, "epic").select("epic", "src", "dst", "before", "n").write.mode("overwrite").parquet(f"{root}/round={k}")
-        round_k = spark.read.schema(schema).parquet(f"{root}/round={k}")
-        edges = round_k.filter(F.col("before").isNull() | (F.col("n") < F.col("before"))).select(
-            "epic", "src", "dst", F.col("n").alias("before")
-        )
-        if edges.isEmpty():
-            break
-        entered = edges.select("epic", F.col("dst").alias("src")).distinct()
-        edges = edges.join(entered, ["epic", "src"], "left_semi")
-    # the last round an epic was in: stuck there, or its edges all went in it
-    last = F.max_by(F.struct(F.col("round").alias("k"), (F.col("n") == F.col("before")).alias("stuck")), "round")
-    shapes = (
-        spark.read.schema(schema + ", round int").parquet(root).groupBy("epic").agg(last.alias("r"))
-        .select("epic", F.coalesce("r.stuck", F.lit(False)).alias("cyclic"), F.col("r.k").alias("k"))
-        .select("epic", "cyclic", F.when(F.col("cyclic"), F.col("k")).otherwise(F.col("k") + 2).alias("depth"))
-    )
+    shapes = _depths(all_edges.filter("in_epic").select("epic", "src", "dst"))
     entered = all_edges.filter("in_epic").select("epic", F.col("dst").alias("id")).distinct()
     roots = (
         tasks.join(entered, ["epic", "id"], "left_anti")

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from partslake.operators import workitems as W
@@ -96,6 +98,42 @@ def test_dag_shape(rows):
     }
 
 
+def test_dag_shape_equals_the_queue(rows):
+    """Random graphs with branches, rings, self-loops and repeated prerequisites, node by node."""
+    rng = random.Random(9)
+    items, want = [], {}
+    for e in range(12):
+        n = rng.randrange(2, 14)
+        base = 1000 * (e + 1)
+        pre = {base + i: [base + rng.randrange(n) for _ in range(rng.choice([0, 1, 1, 1, 2]))] for i in range(n)}
+        if e % 3:  # no cycles
+            pre = {v: [u for u in us if u < v] for v, us in pre.items()}
+        items += [item(v, epic=f"e{e:02d}", pre=us) for v, us in pre.items()]
+        left, dist = {v: len(us) for v, us in pre.items()}, dict.fromkeys(pre, 0)
+        queue = [v for v in pre if not left[v]]
+        done = 0
+        while queue:
+            u, done = queue.pop(0), done + 1
+            for v in pre:
+                for x in pre[v]:
+                    if x == u:
+                        dist[v] = max(dist[v], dist[u] + 1)
+                        left[v] -= 1
+                        if not left[v]:
+                            queue.append(v)
+        want[f"e{e:02d}"] = (max(dist.values()) + 1, done < n)
+    assert {r["epic"]: (r["depth"], r["cyclic"]) for r in W.dag_shape(rows(items, ITEM)).collect()} == want
+    assert any(c for _, c in want.values()) and any(d > 3 for d, _ in want.values())
+
+
+def test_a_long_chain_takes_few_rounds(rows, monkeypatch):
+    calls, real = [], W.cut_lineage
+    monkeypatch.setattr(W, "cut_lineage", lambda df: calls.append(1) or real(df))
+    chain = [item(10_000 + i, epic="long", pre=[9_999 + i] if i else []) for i in range(10_000)]
+    assert [(r["depth"], r["cyclic"]) for r in W.dag_shape(rows(chain, ITEM)).collect()] == [(10_000, False)]
+    assert len(calls) <= 20
+
+
 def test_dag_shape_of_deep_chains_and_cycles_behind_them(rows):
     chain = [item(100 + i, epic="deep", pre=[99 + i] if i else []) for i in range(40)]
     behind = [item(200, epic="behind")] + [item(201 + i, epic="behind", pre=[200 + i]) for i in range(5)]
