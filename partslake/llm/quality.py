@@ -11,13 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partslake.llm.common import SPACES, Hashes, mix, only, scans, table_of, text_bytes, words
+from partslake.session import cut_lineage
 
 # Buckets of one n-gram length.
 BITS = 16
+# Bits of the map of trusted ids.
+MAP_BITS = 26
 THRESHOLD = -0.3
 MIN_WORDS, MAX_REPEAT = 50, 50
 
@@ -44,19 +47,28 @@ def _sums(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return total[end] - total[first]
 
 
-def count_grams(docs: DataFrame, trusted: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per bucket over all of ``docs`` and over those with an id in ``trusted``, which has each once."""
-    flagged = docs.select("doc_id", text_bytes())
-    flag = F.lit(False)
-    if trusted is not None:
-        flagged = flagged.join(trusted.select("doc_id", F.lit(True).alias("_trusted")), "doc_id", "left")
-        flag = F.coalesce("_trusted", F.lit(False))
-    size = len(_GRAMS) << BITS
+def _slot(doc_id: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("string")).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+
+
+def _map_of(ids: DataFrame) -> np.ndarray:
+    """A bit for each id; its size does not depend on how many there are."""
+    slot = ids.select(_slot("doc_id").alias("s")).groupBy(F.shiftright("s", 6).alias("word"))
+    marked = slot.agg(F.expr("bit_or(shiftleft(1L, int(s & 63)))").alias("bits")).toArrow()
+    bits = np.zeros(max(1, 1 << MAP_BITS - 6), np.uint64)
+    bits[marked["word"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _counts(docs: DataFrame, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per bucket over all of ``docs`` and over those whose id has its bit set."""
+    size, shared = len(_GRAMS) << BITS, docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        raw, good, known = np.zeros(size, np.int64), np.zeros(size, np.int64), shared.value
         for batch in batches:
-            mark = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            slot = batch.column(0).to_numpy()
+            mark = (slot >= 0) & (known[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             for first, end, data, offsets in scans(batch):
                 for bucket, start, stop in grams(data, offsets):
                     # +1 where a text's n-grams begin, -1 behind them: 1 within, 0 across texts
@@ -71,8 +83,9 @@ def count_grams(docs: DataFrame, trusted: DataFrame | None) -> tuple[np.ndarray,
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], names=["bucket", "raw", "good"])
 
+    slotted = docs.select(F.when(F.col("doc_id").isNull(), -1).otherwise(_slot("doc_id")).cast("long").alias("slot"), text_bytes())
     total = (
-        flagged.select(flag.alias("mark"), "text").mapInArrow(run, "bucket int, raw long, good long")
+        slotted.mapInArrow(run, "bucket int, raw long, good long")
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     )
     raw, good = np.zeros(size), np.zeros(size)
@@ -80,6 +93,26 @@ def count_grams(docs: DataFrame, trusted: DataFrame | None) -> tuple[np.ndarray,
     return raw, good
 
 
+def count_grams(docs: DataFrame, trusted: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per bucket over all of ``docs`` and over those with an id in ``trusted``, which has each once.
+
+    Texts do not move to meet the ids: a map of the trusted ids is sent to them. Ids that
+    only share a bit with a trusted one are found by a join of ids, and what their texts
+    counted is taken off again, so the counts are exact.
+    """
+    if trusted is None:
+        return _counts(docs, np.zeros(max(1, 1 << MAP_BITS - 6), np.uint64))
+    bits = _map_of(trusted)
+    raw, good = _counts(docs, bits)
+    shared = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().join(trusted.select("doc_id"), "doc_id", "left_anti")
+    known = trusted.select(_slot("doc_id").alias("_s")).distinct()
+    wrong = shared.withColumn("_s", _slot("doc_id")).join(known, "_s", "left_semi").select("doc_id")
+    wrong = cut_lineage(wrong)
+    if not wrong.isEmpty():
+        good = good - _counts(docs.join(wrong, "doc_id", "left_semi"), bits)[0]
+    return raw, good
+
+
 def ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
     """log(p_trusted / p_raw) per bucket, one count added to each; 0 without trusted texts."""
     if not good.any():

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from partslake.llm import quality as Q
 
@@ -43,11 +44,13 @@ def test_measures_equal_plain_python(spark, rows):
     assert not any(r.kept for r in out if r.base_failed)
 
 
-def test_ratio_against_counts(spark, rows):
-    """The mean of log ratios of counted grams, over texts of several batches."""
+@pytest.mark.parametrize("map_bits", [26, 6, 4])
+def test_ratio_against_counts(spark, rows, monkeypatch, map_bits):
+    """Counted grams over texts of several batches, also where ids share bits of the map."""
+    monkeypatch.setattr(Q, "MAP_BITS", map_bits)
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("abc d"), 400)) for _ in range(30)]
-    docs = rows(list(enumerate(texts)), "doc_id long, text string")
+    docs = rows([*enumerate(texts[:-1]), (None, texts[-1])], "doc_id long, text string")
     raw, good = Q.count_grams(docs.repartition(3), rows([(i,) for i in range(10)], "doc_id long"))
 
     def bucket(g):
