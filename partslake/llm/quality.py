@@ -55,7 +55,7 @@ def _map_of(ids: DataFrame) -> np.ndarray:
     """A bit for each id; its size does not depend on how many there are."""
     slot = ids.select(_slot("doc_id").alias("s")).groupBy(F.shiftright("s", 6).alias("word"))
     marked = slot.agg(F.expr("bit_or(shiftleft(1L, int(s & 63)))").alias("bits")).toArrow()
-    bits = np.zeros(max(1, 1 << MAP_BITS - 6), np.uint64)
+    bits = np.zeros(1 << MAP_BITS - 6, np.uint64)
     bits[marked["word"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
     return bits
 
@@ -101,7 +101,7 @@ def count_grams(docs: DataFrame, trusted: DataFrame | None) -> tuple[np.ndarray,
     counted is taken off again, so the counts are exact.
     """
     if trusted is None:
-        return _counts(docs, np.zeros(max(1, 1 << MAP_BITS - 6), np.uint64))
+        return _counts(docs, np.zeros(1 << MAP_BITS - 6, np.uint64))
     bits = _map_of(trusted)
     raw, good = _counts(docs, bits)
     shared = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().join(trusted.select("doc_id"), "doc_id", "left_anti")
