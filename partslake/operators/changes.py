@@ -260,6 +260,10 @@ def new_script_refs(changes: DataFrame, pattern: str = SCRIPT_REF) -> DataFrame:
     )
 
 
+# Fixed value: the detail of a finding.
+TRUSTED_CHANGED = "this script is referenced by an allow-list entry — its behaviour change is auto-approved"
+
+
 def trusted_changed(files: DataFrame, allow: DataFrame, pattern: str = ALLOWED_SCRIPT) -> DataFrame:
     """Changed files named by an allow entry ``(entry)``."""
     named = allow.select(
@@ -270,7 +274,7 @@ def trusted_changed(files: DataFrame, allow: DataFrame, pattern: str = ALLOWED_S
         "file",
         F.lit("trusted-script-modified").alias("rule"),
         F.lit("HIGH").alias("severity"),
-        F.lit("named by an allow entry").alias("detail"),
+        F.lit(TRUSTED_CHANGED).alias("detail"),
         F.lit("").alias("snippet"),
     )
 

@@ -500,7 +500,7 @@ def d5(spark, d):
 @query(
     "d6_trusted_changed",
     """select l_orderkey as change_id, concat('scripts/run', l_suppkey * 2, '.sh') as file, 'trusted-script-modified' as rule,
-    'HIGH' as severity, 'named by an allow entry' as detail, '' as snippet from lineitem
+    'HIGH' as severity, 'this script is referenced by an allow-list entry — its behaviour change is auto-approved' as detail, '' as snippet from lineitem
     where l_suppkey * 2 in (select s_suppkey from supplier)""",
 )
 def d6(spark, d):

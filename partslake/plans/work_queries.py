@@ -478,7 +478,7 @@ SET_NEW = (
       from there where change_id % 11 = 3 and change_id % 3 <> 1
     union all select change_id, file, 'skill-new-script-ref', 'HIGH', concat('skill now references: scripts/b', change_id % 4, '.sh'), ''
       from there where file like '.claude/skills/%'
-    union all select change_id, file, 'trusted-script-modified', 'HIGH', 'named by an allow entry', ''
+    union all select change_id, file, 'trusted-script-modified', 'HIGH', 'this script is referenced by an allow-list entry — its behaviour change is auto-approved', ''
       from there where change_id % 14 = 0 and change_id % 11 <> 3
     union all select change_id, file, 'file-deleted', 'LOW', 'file removed by incoming change', '' from near where status = 'D'""",
 )
