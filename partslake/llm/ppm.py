@@ -5,12 +5,12 @@ each context of up to ``ORDER`` bytes; these are the nodes of the trie, counted
 whole corpus by Spark. A byte is coded in the longest context seen: with counts c, n in all
 and d different bytes, it costs (2c - 1) / 2n, or the escape d / 2n and the next shorter
 context, from which all bytes of the longer one are excluded. What no context knows is
-uniform over the bytes left. Codes of known nodes are computed once per task.
+uniform over the bytes left.
 
-No count is left out. A trie of up to ``HEAD_NODES`` nodes of full order is broadcast whole. Of
-a larger one the codes of the most frequent grams are; the grams of a text that are not among
-them are coded by joins with the counts of their contexts, order by order. Words, for the
-base score, likewise: frequent ones are looked up in the task, all others by a join.
+No count is left out, and there is one way at every size. The codes of the most frequent nodes of
+full order are broadcast. The other grams of the texts meet the nodes in a join; those that
+are no node, and only those, go down the orders, each a join with the counts of their contexts.
+Words, for the base score, likewise: frequent ones are looked up in the task, all others by a join.
 """
 
 from __future__ import annotations
@@ -21,19 +21,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partslake.llm.common import SPACES, lowered, only, remainder, scans, table_of, text_bytes
 from partslake.session import cut_lineage
 
 ORDER = 5
-# Nodes of full order, or codes of such, that are broadcast.
+# Nodes of full order whose codes are broadcast: 16 bytes each.
 HEAD_NODES = 1 << 20
 # Closes a text and fills the contexts before it; no UTF-8 text holds this byte.
 END = 0xFF
 # Words looked up within the task, and entries of a count table held before it is emitted.
 HEAD_WORDS, HELD = 1 << 18, 1 << 19
+# Longer words are never among those, so that these take 16 MB at most.
+HEAD_WORD_BYTES = 64
 
 _SEPARATOR = table_of(SPACES)
 
@@ -115,153 +117,116 @@ def _last(gram: Column, order: int) -> Column:
 
 
 def levels_of(nodes: DataFrame, least: int = 1) -> list[DataFrame]:
-    """``gram`` and ``n`` of the nodes of each order from 0 to ``ORDER``."""
-    counted = [nodes.groupBy(_last(F.col("gram"), order).alias("gram")).agg(F.sum("n").alias("n")) for order in range(ORDER + 1)]
+    """``gram`` and ``n`` of the nodes of each order from 0 to ``ORDER``, each counted from the longer ones."""
+    counted = [nodes]
+    for order in range(ORDER - 1, -1, -1):
+        counted.insert(0, cut_lineage(counted[0].groupBy(_last(F.col("gram"), order).alias("gram")).agg(F.sum("n").alias("n"))))
     return [level.filter(F.col("n") >= least) for level in counted]
 
 
-def train(levels: list[DataFrame]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Nodes and counts of each order, sorted by node."""
-    model = []
-    for level in levels:
-        level = level.toArrow()
-        g, n = level["gram"].to_numpy().view(np.uint64), level["n"].to_numpy()
-        rank = np.argsort(g)
-        model.append((g[rank], n[rank].astype(np.float64)))
-    return model
+def full_order(nodes: DataFrame) -> DataFrame:
+    """``gram``, ``n`` and ``code`` of the nodes of full order: nothing is excluded there, and a context has 256 at most."""
+    total = F.sum("n").over(Window.partitionBy(F.shiftright("gram", 8)))
+    written = cut_lineage(nodes.select("gram", "n", total.alias("total")))
+    return written.select("gram", "n", F.log10((2 * F.col("n") - 1) / (2 * F.col("total"))).alias("code"))
 
 
-def contexts_of(levels: list[DataFrame]) -> list[DataFrame]:
-    """``context``, ``total``, ``kinds`` and ``hidden`` of each order, as in ``Trie``."""
-    out = []
-    for order, level in enumerate(levels):
-        hidden = F.lit(0).cast("long")
-        if order:
-            shorter = levels[order - 1].select(F.col("gram").alias("_short"), F.col("n").alias("_n"))
-            level = level.join(shorter, _last(F.col("gram"), order - 1) == F.col("_short"), "left")
-            hidden = F.coalesce("_n", F.lit(0))
-        grouped = level.groupBy(F.shiftright("gram", 8).alias("context"))
-        out.append(grouped.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum(hidden).alias("hidden")))
-    return out
+def head_of(full: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams (ascending), codes and counts of the most frequent nodes, ``most`` or fewer.
+
+    The least count is one step of a logarithmic scale, so nothing is sorted for it.
+    """
+    step = F.floor(F.log2("n") * 16)
+    sizes = {r["step"]: r["nodes"] for r in full.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("nodes")).collect()}
+    least, kept = max(sizes, default=0) + 1, 0
+    for at in sorted(sizes, reverse=True):
+        if kept + sizes[at] > most:
+            break
+        least, kept = at, kept + sizes[at]
+    table = full.filter(step >= least).toArrow()
+    g = table["gram"].to_numpy().view(np.uint64)
+    rank = np.argsort(g)
+    return g[rank], table["code"].to_numpy()[rank], table["n"].to_numpy()[rank]
 
 
-def coded(asked: DataFrame, levels: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
-    """``gram`` and ``code`` of the distinct grams ``asked``: what ``Trie.code`` gives, by joins.
+def contexts_of(level: DataFrame, shorter: DataFrame | None, order: int, asked: DataFrame) -> DataFrame:
+    """``context``, ``total``, ``kinds`` and ``hidden`` of the contexts among ``asked``.
 
-    A level has 256 ** (order + 1) nodes at most, so the lowest are broadcast.
+    ``hidden`` is how often the bytes known here follow the next shorter context.
     """
+    level = level.withColumn("context", F.shiftright("gram", 8)).join(asked, "context", "left_semi")
+    hidden = F.lit(0).cast("long")
+    if shorter is not None:
+        shorter = shorter.select(F.col("gram").alias("_short"), F.col("n").alias("_n"))
+        level = level.join(shorter, _last(F.col("gram"), order - 1) == F.col("_short"), "left")
+        hidden = F.coalesce("_n", F.lit(0))
+    return level.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum(hidden).alias("hidden"))
+
+
+def coded(asked: DataFrame, full: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``gram`` and ``code`` (log10) of the distinct grams ``asked``.
+
+    Nodes of full order have theirs in ``full``. Of the others each order closes those it knows,
+    and only what is still open is joined with the next. ``hn`` and ``hd`` are what the longer
+    context takes from the counts and the kinds of the shorter.
+    """
+    met = cut_lineage(asked.select("gram").join(full.select("gram", "code"), "gram", "left"))
+    closed = met.filter("code is not null")
     zero = F.lit(0).cast("long")
-    rows = asked.select("gram", F.lit(0.0).alias("code"), zero.alias("hn"), zero.alias("hd"), F.lit(True).alias("open"))
+    rows = met.filter("code is null").select("gram", F.lit(0.0).alias("code"), zero.alias("hn"), zero.alias("hd"))
     for order in range(ORDER, -1, -1):
+        own = _last(F.col("gram"), order)
+        rows = rows.withColumn("context", F.shiftright(own, 8))
+        contexts = contexts_of(levels[order], levels[order - 1] if order else None, order, rows.select("context").distinct())
+        rows = rows.join(contexts, "context", "left")
         node = levels[order].select(F.col("gram").alias("_g"), F.col("n").alias("_c"))
-        context = contexts[order]
-        own = F.when(F.col("open"), _last(F.col("gram"), order))
-        rows = rows.join(F.broadcast(context) if order <= 2 else context, F.shiftright(own, 8) == F.col("context"), "left")
-        rows = rows.join(F.broadcast(node) if order <= 1 else node, own == F.col("_g"), "left")
-        known, seen = F.col("context").isNotNull(), F.col("_g").isNotNull()
+        rows = rows.join(node, own == F.col("_g"), "left") if order < ORDER else rows.withColumn("_c", F.lit(None).cast("long"))
         d = F.col("kinds") - F.col("hd")
-        top = F.when(seen, 2 * F.col("_c") - 1).otherwise(d)
-        cost = F.when(F.col("open") & known & (d > 0), F.log10(top / (2 * (F.col("total") - F.col("hn"))))).otherwise(0.0)
-        rows = rows.select(
-            "gram",
-            (F.col("code") + cost).alias("code"),
-            F.coalesce("hidden", "hn").alias("hn"),
-            F.coalesce("kinds", "hd").alias("hd"),
-            (F.col("open") & ~seen).alias("open"),
+        top = F.coalesce(2 * F.col("_c") - 1, d)
+        cost = F.when(d > 0, F.log10(top / (2 * (F.col("total") - F.col("hn"))))).otherwise(0.0)
+        rows = cut_lineage(
+            rows.select(
+                "gram",
+                (F.col("code") + cost).alias("code"),
+                F.coalesce("hidden", "hn").alias("hn"),
+                F.coalesce("kinds", "hd").alias("hd"),
+                F.col("_c").isNotNull().alias("seen"),
+            )
         )
+        closed = closed.unionByName(rows.filter("seen").select("gram", "code"))
+        rows = rows.filter("not seen").drop("seen")
     left = F.log10(F.greatest(256 - F.col("hd"), F.lit(1)).cast("double"))
-    return rows.select("gram", F.when(F.col("open"), F.col("code") - left).otherwise(F.col("code")).alias("code"))
-
-
-class Trie:
-    """Codes bytes, in log10, with the counts of ``train``."""
-
-    def __init__(self, model: list[tuple[np.ndarray, np.ndarray]]):
-        self.order = len(model) - 1
-        self.nodes, self.counts = [g for g, _ in model], [n for _, n in model]
-        self.contexts, self.total, self.kinds, self.hidden = [], [], [], []
-        for k, (g, n) in enumerate(model):
-            context, where = np.unique(g >> np.uint64(8), return_inverse=True)
-            self.contexts.append(context)
-            self.total.append(np.bincount(where, n, minlength=len(context)))
-            self.kinds.append(np.bincount(where, minlength=len(context)).astype(np.float64))
-            # counts in the shorter context of the bytes that this context knows
-            shorter = np.zeros(len(context))
-            if k:
-                short = g & np.uint64((1 << 8 * k) - 1)
-                at, hit = self._find(self.nodes[k - 1], short)
-                shorter = np.bincount(where, np.where(hit, self.counts[k - 1][at], 0.0), minlength=len(context))
-            self.hidden.append(shorter)
-        self._remember()
-
-    @staticmethod
-    def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-        return at, table[at] == wanted
-
-    def code(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each gram after the bytes before it."""
-        out = np.zeros(len(grams))
-        open_ = np.arange(len(grams))
-        hidden_n, hidden_d = np.zeros(len(grams)), np.zeros(len(grams))
-        for k in range(self.order, -1, -1):
-            g = grams[open_] & np.uint64((1 << 8 * (k + 1)) - 1)
-            context, known = self._find(self.contexts[k], g >> np.uint64(8))
-            node, seen = self._find(self.nodes[k], g)
-            n = self.total[k][context] - hidden_n[open_] if len(self.total[k]) else np.zeros(len(g))
-            d = self.kinds[k][context] - hidden_d[open_] if len(self.kinds[k]) else np.zeros(len(g))
-            live = known & (d > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                c = np.where(seen, 2 * self.counts[k][node] - 1 if len(self.counts[k]) else 0.0, d)
-                out[open_] += np.where(live, np.log10(c / (2 * n)), 0.0)
-            if len(self.total[k]):
-                hidden_n[open_] = np.where(known, self.hidden[k][context], hidden_n[open_])
-                hidden_d[open_] = np.where(known, self.kinds[k][context], hidden_d[open_])
-            open_ = open_[~seen]
-        out[open_] -= np.log10(np.maximum(256.0 - hidden_d[open_], 1.0))
-        return out
-
-    def _remember(self) -> None:
-        """A table of slots with the codes of full-order nodes, the most frequent placed last."""
-        g = self.nodes[self.order]
-        self.bits = max(8, int(len(g)).bit_length() + 2)
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.codes = np.zeros(1 << self.bits, np.float32)
-        codes, rank = self.code(g), np.argsort(self.counts[self.order], kind="stable")
-        slot = self._slot(g[rank])
-        self.keys[slot], self.codes[slot] = g[rank], codes[rank]
-
-    def _slot(self, g: np.ndarray) -> np.ndarray:
-        return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def logs(self, grams: np.ndarray) -> np.ndarray:
-        slot = self._slot(grams)
-        out = self.codes[slot].astype(np.float64)
-        rest = np.flatnonzero(self.keys[slot] != grams)
-        if len(rest):
-            unique, where = np.unique(grams[rest], return_inverse=True)
-            out[rest] = self.code(unique)[where]
-        return out
-
-    def split(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes, and which grams have none here: no gram."""
-        return self.logs(grams), np.zeros(0, np.int64)
+    return closed.unionByName(rows.select("gram", (F.col("code") - left).alias("code")))
 
 
 class Head:
-    """Codes of some grams."""
-
-    def __init__(self, table: tuple[np.ndarray, np.ndarray]):
-        self.grams, self.codes = table
-
-    def split(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes, 0 where there is none; and the positions where there is none."""
-        unique, where = np.unique(grams, return_inverse=True)
-        at, hit = Trie._find(self.grams, unique)
-        codes = np.where(hit, self.codes[at] if len(self.codes) else 0.0, 0.0)
-        return codes[where], np.flatnonzero(~hit[where])
+    """Looks codes of frequent grams up: a slot names a place in the sorted grams, and the gram there decides."""
+
+    def __init__(self, grams: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+        self.grams, self.codes = grams, codes
+        self.bits = max(8, len(grams).bit_length() + 1)
+        self.place = np.zeros(1 << self.bits, np.int32)
+        rank = np.argsort(counts, kind="stable")  # of two grams in a slot the more frequent stays
+        self.place[self._slot(grams[rank])] = rank
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def split(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, 0 where there is none; the positions without, the distinct grams there, and which of these."""
+        if not len(self.grams):
+            unique, where = np.unique(grams, return_inverse=True)
+            return np.zeros(len(grams)), np.arange(len(grams)), unique, where
+        place = self.place[self._slot(grams)]
+        codes = np.where(self.grams[place] == grams, self.codes[place], 0.0)
+        rest = np.flatnonzero(self.grams[place] != grams)
+        unique, where = np.unique(grams[rest], return_inverse=True)
+        at = np.minimum(np.searchsorted(self.grams, unique), len(self.grams) - 1)
+        hit = self.grams[at] == unique
+        codes[rest] = np.where(hit, self.codes[at], 0.0)[where]
+        number = np.cumsum(~hit) - 1
+        open_ = ~hit[where]
+        return codes, rest[open_], unique[~hit], number[where[open_]]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -286,13 +251,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def scored(docs: DataFrame, keep: list[str], model: list | tuple, head: dict[bytes, int]) -> DataFrame:
+def scored(docs: DataFrame, keep: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray], head: dict[bytes, int]) -> DataFrame:
     """The columns ``keep`` with n_tokens, score, the counts of head words and the other words.
 
     ``_head`` has (count in training, how often in the text); ``_tail`` (word, how often).
-    ``model`` is what ``train`` gives, or the grams and codes of a ``Head``; then ``_grams`` has
-    (gram, how often) of those whose codes are still to be added to the score. ``_row`` numbers
-    the rows.
+    ``model`` is what ``head_of`` gives; ``_grams`` has (gram, how often) of those whose codes
+    are still to be added to the score. ``_row`` numbers the rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model, head))
@@ -302,18 +266,18 @@ def scored(docs: DataFrame, keep: list[str], model: list | tuple, head: dict[byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (model, known) = shared.value
-        trie = Trie(model) if isinstance(model, list) else Head(model)
+        codes_of = Head(*model)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for first, end, data, offsets in scans(batch, "_text"):
                 packed, at = grams(data, offsets)
-                codes, rest = trie.split(packed)
+                codes, rest, unique, which = codes_of.split(packed)
                 score = np.bincount(at, codes, minlength=end - first)
-                open_ = np.stack([at[rest], packed[rest].astype(np.int64)], axis=1)
-                open_, times = np.unique(open_, axis=0, return_counts=True) if len(rest) else (open_, rest)
-                size = np.append(0, np.cumsum(np.bincount(open_[:, 0], minlength=end - first)))
-                grams_ = pa.StructArray.from_arrays([pa.array(open_[:, 1]), pa.array(times.astype(np.int64))], names=["gram", "times"])
+                kinds_ = max(1, len(unique))
+                open_, times = np.unique(at[rest] * kinds_ + which, return_counts=True)
+                size = np.append(0, np.cumsum(np.bincount(open_ // kinds_, minlength=end - first)))
+                grams_ = pa.StructArray.from_arrays([pa.array(unique.view(np.int64)[open_ % kinds_]), pa.array(times.astype(np.int64))], names=["gram", "times"])
                 grams_ = pa.ListArray.from_arrays(pa.array(size, pa.int32()), grams_)
                 tokens, sizes = [], ([0], [0])
                 heads, tails = ([], []), ([], [])
@@ -355,24 +319,15 @@ def lm_score(docs: DataFrame, *, fold: tuple[int, int] | None = (5, 1), max_node
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = learnt.count()
     n, v = totals["n"] + ends, totals["v"] + (ends > 0)
-    head = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(head_words).toArrow().to_pylist()}
+    short = words.filter(F.length("word") <= HEAD_WORD_BYTES)
+    head = {bytes(r["word"]): r["n"] for r in short.orderBy(F.desc("n"), "word").limit(head_words).toArrow().to_pylist()}
     nodes = cut_lineage(count_nodes(learnt))
     levels = levels_of(nodes, 1 if max_nodes is None else least_count(nodes, max_nodes))
-    whole = levels[ORDER].count() <= head_nodes
-    if whole:
-        model = train(levels)
-    else:
-        levels = [cut_lineage(level) for level in levels]
-        contexts = [cut_lineage(context) for context in contexts_of(levels)]
-        frequent = cut_lineage(levels[ORDER].orderBy(F.desc("n"), "gram").limit(head_nodes).select("gram"))
-        table = coded(frequent, levels, contexts).orderBy("gram").toArrow()
-        model = (table["gram"].to_numpy().view(np.uint64), table["code"].to_numpy())
-    out = cut_lineage(scored(docs, ["doc_id"], model, head))
-    if not whole:
-        rest = out.select("_row", F.explode("_grams").alias("g")).select("_row", "g.gram", "g.times")
-        codes = cut_lineage(coded(rest.select("gram").distinct(), levels, contexts))
-        rest = rest.join(codes, "gram").groupBy("_row").agg(F.sum(F.col("times") * F.col("code")).alias("_more"))
-        score = out.select("_row", "score").join(rest, "_row", "left").select("_row", (F.col("score") + F.coalesce("_more", F.lit(0.0))).alias("score"))
+    full = full_order(levels[ORDER])
+    out = cut_lineage(scored(docs, ["doc_id"], head_of(full, head_nodes), head))
+    rest = out.select("_row", F.explode("_grams").alias("g")).select("_row", "g.gram", "g.times")
+    codes = coded(rest.select("gram").distinct(), full, levels)
+    rest = rest.join(codes, "gram").groupBy("_row").agg(F.sum(F.col("times") * F.col("code")).alias("_more"))
 
     log = lambda c: F.log10((c + 0.5) / (F.lit(float(n)) + 0.5 * (F.lit(float(v)) + 1)))
     tail = out.select("_row", F.explode("_tail").alias("t")).select("_row", "t.word", "t.times")
@@ -380,9 +335,7 @@ def lm_score(docs: DataFrame, *, fold: tuple[int, int] | None = (5, 1), max_node
     tail = tail.groupBy("_row").agg(F.sum(F.col("times") * log(F.col("c"))).alias("_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("_known"))
     head_sum = F.aggregate("_head", F.lit(0.0), lambda a, x: a + x["times"] * log(x["c"]))
     head_known = F.aggregate("_head", F.lit(0).cast("long"), lambda a, x: a + x["times"])
-    joined = out.drop("_tail", "_grams").join(tail, "_row", "left")
-    if not whole:
-        joined = joined.drop("score").join(score, "_row")
+    joined = out.drop("_tail", "_grams").join(tail, "_row", "left").join(rest, "_row", "left")
     return joined.select(
         "doc_id",
         (remainder("doc_id", fold[0]) == fold[1] if fold else F.lit(False)).alias("held_out"),
@@ -390,5 +343,5 @@ def lm_score(docs: DataFrame, *, fold: tuple[int, int] | None = (5, 1), max_node
         (head_known + F.coalesce("_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (head_sum + F.coalesce("_sum", F.lit(0.0)) + log(F.lit(float(ends)))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("_more", F.lit(0.0))).alias("score"),
     )
