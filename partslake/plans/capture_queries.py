@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partslake.functions import rules as R
 from partslake.operators import enrich as H
 from partslake.operators import recognise as G
+from partslake.operators import rule_tables as P
 from partslake.operators import signals as I  # noqa: E741
 from partslake.plans.registry import query, table
 from partslake.session import scratch
@@ -314,6 +315,23 @@ def h3(spark, d):
     )
 
 
+@query(
+    "h8_datasheet_table",
+    f"""with o as (select o_orderkey, {MPN.format('o_orderkey')} as part from orders),
+    f as (select distinct lower(concat({PREFIX.format('p_partkey')}, '-', p_partkey // 10)) as head, p_partkey // 10 as tens from part),
+    k as (select o_orderkey, part, unnest(range(1, length(part))) as n from o),
+    m as (select o_orderkey, arg_max(concat('https://x/', tens), n) as url
+      from k join f on lower(part[:n]) = head where part[n + 1:n + 1] between '0' and '9' group by o_orderkey)
+    select o_orderkey, part, url from o left join m using (o_orderkey)""",
+)
+def h8(spark, d):
+    prefixes = table(spark, d, "part").selectExpr(
+        f"concat({PREFIX.format('p_partkey')}, '-', p_partkey div 10, 'x') as prefix",
+        "concat('https://x/', p_partkey div 10) as url",
+    )
+    return P.datasheets_of(wanted_parts(spark, d), prefixes).select("o_orderkey", "part", "url")
+
+
 ANSWERED = "case when o_orderkey % 5 = 0 then 'unreachable' when o_orderkey % 5 = 1 then 'unknown' else 'ok' end"
 ENRICHED = f"""{CACHE}, p as (select o_orderkey, o_custkey, {MPN.format('o_orderkey')} as part, {ANSWERED} as answer from orders),
 j as (select p.*, mpn is not null and not stale as hit, event_id, event_type, lifecycle from p left join cache on mpn = part and not stale),

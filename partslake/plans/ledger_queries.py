@@ -9,6 +9,7 @@ from partslake.operators import changes as C
 from partslake.operators import family as D
 from partslake.operators import ledger as L
 from partslake.operators import quality as Q
+from partslake.operators import rule_tables as P
 from partslake.plans.registry import query, table
 
 BIN = "concat('bin', cast(floor({0} / 8) as long))"
@@ -497,6 +498,26 @@ def d5(spark, d):
     return D.owners(table(spark, d, "pages").select(F.expr(URL_PATH).alias("path")), ENTRIES)
 
 
+# One entry per folder of the pages and one per last segment, so the rules grow with the pages.
+FOLDER, SEGMENT = "regexp_replace({0}, '[^/]*$', '')", "regexp_replace({0}, '^.*/', '')"
+
+
+@query(
+    "d7_owners_table",
+    rf"""with p as (select {URL_PATH} as path from pages),
+    e as (select distinct concat({FOLDER.format('path')}, '*') as pattern, 'folder' as owner from p
+      union all select distinct concat('**/', {SEGMENT.format('path')}), 'segment' from p),
+    m as (select *, regexp_replace(pattern, '([.+(){{}}\[\]|^$\\])', '\\\1', 'g') as q from e),
+    r as (select *, replace(replace(replace(replace(q, '?', '[^/]'), '**', chr(1)), '*', '[^/]*'), chr(1), '.*') as regex from m)
+    select path, pattern, owner from p join r on regexp_full_match(path, regex)""",
+)
+def d7(spark, d):
+    paths = table(spark, d, "pages").select(F.expr(URL_PATH).alias("path"))
+    folders = paths.selectExpr(f"concat({FOLDER.format('path')}, '*') as pattern", "'folder' as owner").distinct()
+    segments = paths.selectExpr(f"concat('**/', {SEGMENT.format('path')}) as pattern", "'segment' as owner").distinct()
+    return P.owners_of(paths, folders.unionByName(segments))
+
+
 @query(
     "d6_trusted_changed",
     """select l_orderkey as change_id, concat('scripts/run', l_suppkey * 2, '.sh') as file, 'trusted-script-modified' as rule,
