@@ -35,9 +35,20 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]{16,}"),  # as [0-9a-f]+ of 16 or more: a run is matched from its start
 )
+# Between the lines of a key: whitespace, or a line end written as an escape.
+_GAP = r"(?:[\x20\x09-\x0D]|\\[nr])"
+_LABEL = r"(?:[A-Z]+ ){0,4}PRIVATE KEY(?: BLOCK)?+-----"
+# The whole block of a private key: its headers and lines of base64 to the END line. Without one, the
+# lines of 16 characters or more and a shorter one that is padded, so that text behind a key stays. Repeats are
+# possessive: one pass, no backtracking into a long key.
+PRIVATE_KEY = (
+    rf"-----BEGIN {_LABEL}(?:{_GAP}*+(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*+)*+"
+    rf"(?:(?:{_GAP}*+[A-Za-z0-9+/=]++)*+{_GAP}*+-----END {_LABEL}"
+    rf"|(?:{_GAP}++[A-Za-z0-9+/=]{{16,}}+)*+(?:{_GAP}++[A-Za-z0-9+/]++={{1,2}}+)?+)"
+)
 # Kinds that the index makes cheap to add: public formats with a fixed start.
 ADDED = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

@@ -34,6 +34,11 @@ TEXTS = [
     "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36 + " xoxb-1234567890-ab eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh12",
     "paßword=abcdefghijkl Key tOkEn:===============",
     "deadbeef" * 20_000 + " token=" + "q" * 50_000,
+    "a key\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + "MIIEow+/" * 8 + "\nshort\n-----END RSA PRIVATE KEY-----\nand text",
+    '{"key": "-----BEGIN PRIVATE KEY-----\\n' + "MIIEow+/" * 8 + '\\nq8=\\n-----END PRIVATE KEY-----\\n"}',
+    "-----BEGIN EC PRIVATE KEY-----\r\n" + ("Zm9vYmFy" * 8 + "\r\n") * 3 + "Zm9v=\r\nThe text behind a broken key stays here -----BEGIN PRIVATE KEY----- as prose does",
+    ("-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n" + ("lQOYBF3q" * 8 + "\n") * 30_000 + "=abcd\n-----END PGP PRIVATE KEY BLOCK-----\n") * 2,
+    "-----BEGIN " + "A " * 50_000 + "PRIVATE KEY-----" + "\n-----BEGIN PRIVATE KEY-----" * 5_000,
 ]
 
 
@@ -72,6 +77,17 @@ def test_redaction_covers_every_span(spark, rows):
         assert r.text == "".join(out) and r.n_chars == len(r.text)
 
 
+def test_no_line_of_a_key_is_left(rows):
+    docs = rows(list(enumerate(TEXTS[9:13])), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in S.redact(docs).collect()}
+    assert got == {
+        0: "a key\n[SECRET]\nand text",
+        1: '{"key": "[SECRET]\\n"}',
+        2: "[SECRET]\r\nThe text behind a broken key stays here [SECRET] as prose does",
+        3: "[SECRET]\n[SECRET]\n",
+    }
+
+
 def test_trigram_queries():
     asked = {r.kind: S.trigram_query(r.pattern) for r in S.RULES}
     assert asked["hex"] is None and asked["access"] == [frozenset({"aki", "kia"})]
