@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from math import ceil
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partslake.operators.metric import nearest
 from partslake.plans.running import CHUNK_ROWS, int_chunk, numbered, running, seconds_of
 from partslake.session import cut_lineage
 
 TIGHT, MEDIUM = 0.10, 0.25
 
-# Rows of one side in one block: a block pair is a matrix of at most 4096 x 4096 doubles.
-BLOCK_ROWS = 4096
-# Pivots for pruning; a fixed number, so the driver holds at most this many vectors.
-PIVOTS = 64
-
 
 def model_gate(cache: DataFrame, model_hash: str, strict: bool = False) -> DataFrame:
     """Rows of another backbone are invisible; strict mode fails on the first one."""
@@ -33,138 +26,6 @@ def model_gate(cache: DataFrame, model_hash: str, strict: bool = False) -> DataF
     return cache.filter(same)
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.to_numpy()).astype(np.float64)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm == 0, 1.0, norm)
-
-
-def _block(id_col: str, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(id_col), blocks).cast("int")
-
-
-def _assign(df: DataFrame, pivots: np.ndarray, reach: np.ndarray | None) -> DataFrame:
-    """Add ``cell`` and its Euclidean ``pivot_d``; with ``reach`` every cell within it."""
-    schema = df.schema.simpleString()[len("struct<"):-1] + ",cell:int,pivot_d:double"
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_unit(batch["vec"]) @ pivots.T)))
-            if reach is None:
-                cell = d.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), pivot_d=d[np.arange(len(d)), cell])
-            else:
-                # 1e-9 covers rounding of the distances, so no candidate is lost
-                row, cell = np.nonzero(d <= reach[None, :] + 1e-9)
-                yield batch.iloc[row].assign(cell=cell.astype("int32"), pivot_d=d[row, cell])
-
-    return df.mapInPandas(assign, schema)
-
-
-def nearest(
-    queries: DataFrame,
-    cache: DataFrame,
-    k: int = 3,
-    within: float | None = None,
-    block_rows: int = BLOCK_ROWS,
-    pivots: int = PIVOTS,
-) -> DataFrame:
-    """Up to ``k`` cache rows per query by ascending cosine distance, ties by row id. Exact.
-
-    ``queries`` is ``(id, vec)``, ``cache`` is ``(row_id, label, vec)``. Both sides are cut into
-    blocks of bounded size by a hash of the id; each pair of blocks is one matrix product
-    that keeps k rows per query, so neither a large cache nor many copies of one vector
-    ends up in one task. With ``within``, only rows nearer than it count, and the
-    triangle inequality on distances to a few pivots rules out block pairs without
-    losing a row.
-    """
-    queries = queries.select("id", "vec")
-    cache = cache.select("row_id", "label", "vec")
-    id_type = dict(queries.dtypes)["id"]
-    label_type = dict(cache.dtypes)["label"]
-    n = F.count(F.lit(1)).alias("n")
-    if within is None:
-        tagged_c = cache.withColumn("cell", F.lit(0))
-        tagged_q = queries.withColumn("cell", F.lit(0))
-        # one row each
-        cn, qn = ({r["cell"]: r["n"] for r in t.groupBy("cell").agg(n).collect()} for t in (tagged_c, tagged_q))
-    else:
-        # any choice of pivots gives the same result; a hash order is a repeatable one
-        sample = cache.orderBy(F.xxhash64("row_id"), "row_id").limit(pivots).toPandas()
-        if sample.empty:
-            return queries.sparkSession.createDataFrame(
-                [], f"id {id_type}, rank int, row_id bigint, label {label_type}, distance double"
-            )
-        points = np.unique(_unit(sample["vec"]), axis=0)
-        tagged_c = cut_lineage(_assign(cache, points, None))
-        # one row per pivot at most
-        stats = tagged_c.groupBy("cell").agg(F.max("pivot_d").alias("r"), n).collect()
-        radius = np.full(len(points), -np.inf)
-        for r in stats:
-            radius[r["cell"]] = r["r"]
-        cn = {r["cell"]: r["n"] for r in stats}
-        tagged_q = cut_lineage(_assign(queries, points, radius + np.sqrt(2.0 * within)))
-        qn = {r["cell"]: r["n"] for r in tagged_q.groupBy("cell").agg(n).collect()}
-        tagged_c, tagged_q = tagged_c.drop("pivot_d"), tagged_q.drop("pivot_d")
-
-    def blocks(counts: dict[int, int]) -> Column:
-        # a short literal map: the number of blocks of each cell
-        pairs = [F.lit(x) for c, rows in counts.items() for x in (int(c), ceil(rows / block_rows))]
-        known = F.try_element_at(F.create_map(*pairs), F.col("cell")) if pairs else F.lit(None)
-        return F.coalesce(known, F.lit(1)).cast("int")
-
-    qn, cn = blocks(qn), blocks(cn)
-    q = tagged_q.select(
-        "cell", _block("id", qn).alias("qb"), F.explode(F.sequence(F.lit(0), cn - 1)).alias("cb"), "id", "vec"
-    )
-    c = tagged_c.select(
-        "cell", F.explode(F.sequence(F.lit(0), qn - 1)).alias("qb"), _block("row_id", cn).alias("cb"),
-        "row_id", "label", "vec",
-    )
-
-    def product(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        # plain object columns convert the same way whether there are rows or not
-        empty = pd.Series([], dtype=object)
-        out = {"id": empty, "row_id": empty, "label": empty, "distance": empty}
-        if len(qs) and len(cs):
-            cs = cs.sort_values("row_id", kind="stable")
-            d = 1.0 - _unit(qs["vec"]) @ _unit(cs["vec"]).T
-            if within is not None:
-                d = np.where(d < within, d, np.inf)
-            keep = min(k, d.shape[1])
-            # all as near as the k-th, so ties are settled by row id: columns are in its order
-            last = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-            row, col = np.nonzero((d <= last) & np.isfinite(d))
-            order = np.lexsort((col, d[row, col], row))
-            row, col = row[order], col[order]
-            ok = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, col = row[ok], col[ok]
-            out = {
-                "id": qs["id"].to_numpy(dtype=object)[row],
-                "row_id": cs["row_id"].to_numpy()[col],
-                "label": pd.Series(cs["label"].to_numpy(dtype=object)[col], dtype=object),
-                "distance": d[row, col],
-            }
-        return pd.DataFrame(out)
-
-    keys = ["cell", "qb", "cb"]
-    near = (
-        q.groupBy(*keys)
-        .cogroup(c.groupBy(*keys))
-        .applyInPandas(
-            product, f"id {id_type}, row_id bigint, label {label_type}, distance double"
-        )
-    )
-    w = Window.partitionBy("id").orderBy("distance", "row_id")
-    return (
-        near.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-        .select("id", "rank", "row_id", "label", "distance")
-    )
-
-
 def classify(
     queries: DataFrame,
     cache: DataFrame,

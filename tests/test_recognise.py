@@ -45,8 +45,8 @@ def test_ambiguous_and_empty(rows, one):
 
 
 @pytest.mark.parametrize("within", [None, 0.3, 1.2])
-@pytest.mark.parametrize("block_rows", [7, 4096])
-def test_nearest_equals_brute_force(rows, within, block_rows):
+@pytest.mark.parametrize("block_rows, cell_rows, fanout", [(7, 24, 256), (4096, 4096, 256), (16, 4, 4)])
+def test_nearest_equals_brute_force(rows, within, block_rows, cell_rows, fanout):
     rng = np.random.default_rng(11)
     centres = rng.normal(size=(6, 8))
     cached = np.vstack([centres[i % 6] + 0.3 * rng.normal(size=8) for i in range(120)])
@@ -65,7 +65,7 @@ def test_nearest_equals_brute_force(rows, within, block_rows):
     got = G.nearest(
         rows([(i, v.tolist()) for i, v in enumerate(asked)], "id long, vec array<float>"),
         rows([(j, f"L{j}", v.tolist()) for j, v in enumerate(cached)], VEC),
-        k=3, within=within, block_rows=block_rows, pivots=5,
+        k=3, within=within, block_rows=block_rows, cell_rows=cell_rows, fanout=fanout,
     ).collect()
     have = {i: [] for i in want}
     for r in sorted(got, key=lambda r: r["rank"]):
