@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+PREFIX = "partslake-"
+
 # Settings the operators are written for. Sizes are left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -49,9 +55,63 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+# Folders made inside `leased`, by the innermost one.
+_lease: ContextVar[list[str] | None] = ContextVar("lease", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/partslake-{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared checkpoint folder, marked with the application that made it."""
+    path = f"{checkpoint_dir(spark)}/{PREFIX}{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    if (made := _lease.get()) is not None:
+        made.append(path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def leased(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are removed at the end, also after a failure.
+
+    Write or collect the result inside: a DataFrame that leaves has lost its tables.
+    """
+    token = _lease.set([])
+    try:
+        yield
+    finally:
+        made = _lease.get()
+        _lease.reset(token)
+        for path in made:
+            _remove(spark, path)
+
+
+def sweep(spark: SparkSession, idle_hours: float = 168.0) -> list[str]:
+    """Remove what applications that ended without cleaning up left in the shared folder.
+
+    Spark gives each application a folder of its own in the one that ``spark.checkpoint.dir``
+    names. In these, only folders named by :func:`scratch` go, of other applications, in which no
+    file or folder is younger than ``idle_hours``: it must exceed the longest run of an application.
+    """
+    shared = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark)).getParent()
+    fs = shared.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = f"{PREFIX}{spark.sparkContext.applicationId}-"
+    before = (time.time() - idle_hours * 3600) * 1000
+    gone = []
+    for application in fs.listStatus(shared):
+        for folder in fs.listStatus(application.getPath()) if application.isDirectory() else ():
+            name = folder.getPath().getName()
+            if not (folder.isDirectory() and name.startswith(PREFIX)) or name.startswith(own):
+                continue
+            newest, files = folder.getModificationTime(), fs.listFiles(folder.getPath(), True)
+            while files.hasNext():
+                newest = max(newest, files.next().getModificationTime())
+            if newest < before:
+                fs.delete(folder.getPath(), True)
+                gone.append(name)
+    return gone
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
