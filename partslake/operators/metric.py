@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from partslake.session import cut_lineage
 
-# Rows of one side in one block: a block pair is a matrix of at most 4096 x 4096 doubles.
-BLOCK_ROWS = 4096
+# Rows of one side in one block, and queries of a block that are worked on at once: a matrix has
+# at most 256 x 4096 doubles.
+BLOCK_ROWS, AT_ONCE = 4096, 256
 # Rows of a cell as intended, and cells below one node at most: the driver holds as many pivots.
 CELL_ROWS, FANOUT = 2048, 256
 # Covers rounding of the distances, so no cell is ruled out by it.
@@ -52,10 +53,50 @@ def least_distance(d: np.ndarray, points: np.ndarray, radius: np.ndarray) -> np.
     return np.maximum(ball, plane)
 
 
+def _pieces(vecs: np.ndarray) -> Iterator[slice]:
+    return (slice(a, a + AT_ONCE) for a in range(0, len(vecs), AT_ONCE))
+
+
 def _nearest_point(batch: pd.DataFrame, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = _apart(unit(batch["vec"]), points)
-    own = d.argmin(axis=1)
-    return own, d[np.arange(len(d)), own]
+    vecs = unit(batch["vec"])
+    own, least = np.zeros(len(vecs), np.int64), np.zeros(len(vecs))
+    for piece in _pieces(vecs):
+        d = _apart(vecs[piece], points)
+        own[piece], least[piece] = d.argmin(axis=1), d.min(axis=1)
+    return own, least
+
+
+def _within_bound(batch: pd.DataFrame, points: np.ndarray, radius: np.ndarray, number: np.ndarray) -> pd.DataFrame:
+    """``batch`` with ``cells``: per row the numbers of the cells that may hold something within its ``bound``."""
+    vecs, bound, cells = unit(batch["vec"]), batch["bound"].to_numpy()[:, None] + SLACK, []
+    for piece in _pieces(vecs):
+        near = least_distance(_apart(vecs[piece], points), points, radius) <= bound[piece]
+        cells += [number[row] for row in near]
+    return batch.assign(cells=pd.Series(cells, index=batch.index, dtype=object))
+
+
+def nearest_in_block(qs: pd.DataFrame, cs: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k rows of ``cs`` nearest to each query of ``qs``, none farther than its ``most``."""
+    # plain object columns convert the same way whether there are rows or not
+    empty = pd.Series([], dtype=object)
+    found = [pd.DataFrame({"id": empty, "row_id": empty, "label": empty, "distance": empty})]
+    if len(qs) and len(cs):
+        cs = cs.sort_values("row_id", kind="stable")
+        ids, row_ids, labels = (s.to_numpy(dtype=object) for s in (qs["id"], cs["row_id"], cs["label"]))
+        vecs, rows, most = unit(qs["vec"]), unit(cs["vec"]).T, qs["most"].to_numpy(dtype=float)
+        keep, found = min(k, len(cs)), []
+        for piece in _pieces(vecs):
+            d = 1.0 - vecs[piece] @ rows
+            # all as near as the k-th, so ties are settled by row id: columns are in its order
+            last = np.partition(d, keep - 1, axis=1)[:, keep - 1]
+            row, col = np.nonzero(d <= np.minimum(last, most[piece])[:, None])
+            order = np.lexsort((col, d[row, col], row))
+            row, col = row[order], col[order]
+            ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[ok], col[ok]
+            label = pd.Series(labels[col], dtype=object)
+            found.append(pd.DataFrame({"id": ids[piece][row], "row_id": row_ids[col], "label": label, "distance": d[row, col]}))
+    return pd.concat(found, ignore_index=True) if len(found) > 1 else found[0]
 
 
 def _block(key: str, blocks: Column) -> Column:
@@ -117,42 +158,40 @@ class Cells:
         return self._meet_below(out, key, within_node, _fields(df, "cell long, pivot_d double"))
 
     def others(self, df: DataFrame) -> DataFrame:
-        """``(id, vec, bound, home)`` once for every cell but ``home`` with rows within ``bound``."""
+        """``df`` (id, vec, bound, home and more) once for every cell but ``home`` with rows within ``bound``.
+
+        Tasks and files hold a list of cells per row; the rows are repeated by what reads them.
+        """
         points, radius, fanout, lower = self.points, self.radius, self.fanout, self.below is not None
-        name = "node" if lower else "cell"
+        number = np.arange(len(points)) * (1 if lower else fanout)
 
         def upper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    floor = least_distance(_apart(unit(batch["vec"]), points), points, radius)
-                    row, node = np.nonzero(floor <= batch["bound"].to_numpy()[:, None] + SLACK)
-                    yield batch.iloc[row].assign(**{name: node if lower else node * fanout})
+                    yield _within_bound(batch, points, radius, number)
 
-        out = df.mapInPandas(upper, _fields(df, f"{name} long"))
+        out = cut_lineage(df.mapInPandas(upper, _fields(df, "cells array<long>")))
         if lower:
-            out = cut_lineage(out)
-            columns = [*df.columns, "cell"]
+            out = out.select(*df.columns, F.explode("cells").alias("node"))
+            columns = [*df.columns, "cells"]
 
             def within_node(batch: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
                 if not len(batch):
                     return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
                 pivots = pivots.sort_values("sub")
-                near = np.stack(pivots["point"].to_numpy())
-                floor = least_distance(_apart(unit(batch["vec"]), near), near, pivots["radius"].to_numpy())
-                row, col = np.nonzero(floor <= batch["bound"].to_numpy()[:, None] + SLACK)
-                cell = batch["node"].to_numpy()[row] * fanout + pivots["sub"].to_numpy()[col]
-                return batch.iloc[row].assign(cell=cell)[columns]
+                number = batch["node"].iloc[0] * fanout + pivots["sub"].to_numpy(np.int64)
+                return _within_bound(batch, np.stack(pivots["point"].to_numpy()), pivots["radius"].to_numpy(), number)[columns]
 
-            out = self._meet_below(out, "id", within_node, _fields(df, "cell long"))
-        return out.filter(F.col("cell") != F.col("home")).select(*df.columns, "cell")
+            out = cut_lineage(self._meet_below(out, "id", within_node, _fields(df, "cells array<long>")))
+        return out.select(*df.columns, F.explode("cells").alias("cell")).filter(F.col("cell") != F.col("home"))
 
-    def search(self, asked: DataFrame, k: int, within: float | None) -> DataFrame:
-        """The k nearest rows of each ``(id, vec)`` within its ``cell``; one matrix product a pair of blocks."""
+    def search(self, asked: DataFrame, k: int) -> DataFrame:
+        """The k nearest rows of each ``(id, vec, most)`` within its ``cell``, none farther than ``most``."""
         id_type, label_type = dict(asked.dtypes)["id"], dict(self.rows.dtypes)["label"]
         visits = asked.groupBy("cell").agg(_blocks(F.count(F.lit(1)), self.block_rows).alias("qn"))
         grid = self.sizes.select("cell", _blocks(F.col("n"), self.block_rows).alias("cn")).join(visits, "cell")
         queries = asked.join(grid, "cell").select(
-            "cell", _block("id", F.col("qn")).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("cb"), "id", "vec"
+            "cell", _block("id", F.col("qn")).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("cb"), "id", "vec", "most"
         )
         rows = self.rows.join(grid, "cell").select(
             "cell", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qb"), _block("row_id", F.col("cn")).alias("cb"),
@@ -160,29 +199,7 @@ class Cells:
         )
 
         def product(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-            # plain object columns convert the same way whether there are rows or not
-            empty = pd.Series([], dtype=object)
-            out = {"id": empty, "row_id": empty, "label": empty, "distance": empty}
-            if len(qs) and len(cs):
-                cs = cs.sort_values("row_id", kind="stable")
-                d = 1.0 - unit(qs["vec"]) @ unit(cs["vec"]).T
-                if within is not None:
-                    d = np.where(d < within, d, np.inf)
-                keep = min(k, d.shape[1])
-                # all as near as the k-th, so ties are settled by row id: columns are in its order
-                last = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-                row, col = np.nonzero((d <= last) & np.isfinite(d))
-                order = np.lexsort((col, d[row, col], row))
-                row, col = row[order], col[order]
-                ok = np.arange(len(row)) - np.searchsorted(row, row) < k
-                row, col = row[ok], col[ok]
-                out = {
-                    "id": qs["id"].to_numpy(dtype=object)[row],
-                    "row_id": cs["row_id"].to_numpy()[col],
-                    "label": pd.Series(cs["label"].to_numpy(dtype=object)[col], dtype=object),
-                    "distance": d[row, col],
-                }
-            return pd.DataFrame(out)
+            return nearest_in_block(qs, cs, k)
 
         keys = ["cell", "qb", "cb"]
         return (
@@ -263,17 +280,23 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _most(within: float | None) -> Column:
+    """The largest distance that counts: below ``within``, if any."""
+    return F.lit(float("inf") if within is None else float(np.nextafter(within, -np.inf)))
+
+
 def visits(cells: Cells, queries: DataFrame, k: int, within: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows found in the own cell of each query, and the other cells ``(id, vec, cell)`` to be searched."""
+    """Rows found in the own cell of each query, and the other cells ``(id, vec, most, cell)`` to be searched."""
     home = cut_lineage(cells.own(queries.select("id", "vec"), "id").drop("pivot_d"))
-    near = cut_lineage(_ranked(cells.search(home, k, within), k))
+    near = cut_lineage(_ranked(cells.search(home.withColumn("most", _most(within)), k), k))
     kth = near.filter(F.col("rank") == k).select("id", F.col("distance").alias("kth"))
     # no two unit vectors are farther apart than 2
     far = 2.0 if within is None else min(2.0, float(np.sqrt(2.0 * max(within, 0.0))))
     # with fewer than k in its own cell a query has no bound of its own
     reach = F.when(F.col("kth").isNull(), far).otherwise(F.least(F.lit(far), F.sqrt(2.0 * F.greatest(F.lit(0.0), F.col("kth")))))
-    asked = home.join(kth, "id", "left").select("id", "vec", reach.alias("bound"), F.col("cell").alias("home"))
-    return near, cut_lineage(cells.others(asked).select("id", "vec", "cell"))
+    most = F.least(_most(within), F.col("kth") + SLACK)  # a null counts as none
+    asked = home.join(kth, "id", "left").select("id", "vec", most.alias("most"), reach.alias("bound"), F.col("cell").alias("home"))
+    return near, cells.others(asked).select("id", "vec", "most", "cell")
 
 
 def nearest(
@@ -298,6 +321,6 @@ def nearest(
             [], f"id {types[0]}, rank int, row_id bigint, label {types[1]}, distance double"
         )
     if cells.points is None:
-        return _ranked(cells.search(queries.select("id", "vec", F.lit(0).cast("long").alias("cell")), k, within), k)
+        return _ranked(cells.search(queries.select("id", "vec", _most(within).alias("most"), F.lit(0).cast("long").alias("cell")), k), k)
     near, rest = visits(cells, queries, k, within)
-    return _ranked(near.drop("rank").unionByName(cells.search(rest, k, within)), k)
+    return _ranked(near.drop("rank").unionByName(cells.search(rest, k)), k)

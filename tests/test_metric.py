@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +84,23 @@ def test_empty_tables(rows):
     cache, asked = table(rows, np.eye(2)), rows([(1, [1.0, 0.0])], ASKED)
     assert M.nearest(asked.filter("false"), cache).count() == 0
     assert M.nearest(asked, cache.filter("false")).count() == 0
+
+
+def test_memory_of_a_block_and_of_a_batch_is_bounded():
+    """Copies of one vector tie with all rows, and a batch without clusters visits all cells."""
+    n, size = M.BLOCK_ROWS, 8
+    rng = np.random.default_rng(8)
+    copies = [np.ones(size)] * n
+    qs = pd.DataFrame({"id": range(n), "vec": copies, "most": np.inf})
+    cs = pd.DataFrame({"row_id": range(n), "label": ["L"] * n, "vec": copies})
+    batch = pd.DataFrame({"id": range(10_000), "vec": list(rng.normal(size=(10_000, size))), "bound": 2.0})
+    points = M.unit(pd.Series(list(rng.normal(size=(M.FANOUT, size)))))
+    tracemalloc.start()
+    out = M.nearest_in_block(qs, cs, 3)
+    asked = M._within_bound(batch, points, np.full(M.FANOUT, 2.0), np.arange(M.FANOUT))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["row_id"].tolist() == [0, 1, 2] * n
+    # a row of the batch comes once, with its cells in a list
+    assert len(asked) == len(batch) and asked["cells"].map(len).eq(M.FANOUT).all()
+    assert peak < 200e6
