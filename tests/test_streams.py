@@ -118,6 +118,22 @@ def test_undo_window(rows, arrive):
     assert tuples(got, *cols) == tuples(want, *cols) and want.filter("legal").count() and late.isEmpty()
 
 
+def test_state_is_by_bucket_and_not_by_camera(spark, rows, tmp_path):
+    """Thousands of cameras: calls and values of the state stay as few as the buckets; null seq keeps others whole."""
+    big = 2**53 + 1
+    data = [(f"c{i % 3000}", big + i, i // 3000, False) for i in range(9000)]
+    src = str(tmp_path / "in")
+    for part in (data[:6000], data[6000:], [("z", None, 10**6, True)]):
+        table_of(rows, part, CAMERA).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("camera string, seq long, ok boolean, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    found = J.stream_camera_lost(stream, limit=3).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    run = found.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 6 * J.BUCKETS
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["seq"] for r in got.collect()) == [big + i for i in range(6000, 9000)]
+
+
 def test_dedup(rows, feed):
     data = [(i, f"h{i % 7}") for i in range(40)]
     events = rows(data, "t long, image_hash string").withColumn("ts", F.timestamp_seconds("t")).drop("t")
