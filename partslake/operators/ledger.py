@@ -181,8 +181,17 @@ def _replay(stock: DataFrame, deltas: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _headers(replayed: DataFrame, sections: DataFrame) -> DataFrame:
-    return replayed.join(sections.select("bin", "section", "header"), ["bin", "section"], "left")
+def _headers(rows: DataFrame, sections: DataFrame) -> DataFrame:
+    return rows.join(sections.select("bin", "section", "header"), ["bin", "section"], "left")
+
+
+def _in_header(rows: DataFrame, sections: DataFrame) -> DataFrame:
+    """Rows whose ``col`` the header of their ``section`` has, or that have no header.
+
+    All accepted rows of a part have one section, so this may wait until few rows are left.
+    """
+    known = F.col("header").isNull() | F.array_contains("header", F.col("col"))
+    return _headers(rows, sections).filter(known).drop("header")
 
 
 def replay(
@@ -191,35 +200,35 @@ def replay(
     """Deltas and the stock rows they touch (``seq`` null) in order, with state and outcome inputs.
 
     The common part of :func:`dispositions` and :func:`upsert_batch`, written once because
-    both read it more than once; pass it to them to get both from one run.
+    both read it more than once; pass it to them to get both from one run. The deltas are read
+    twice, so costly ones are written first.
     """
-    touched = stock.join(_touched(deltas), KEY, "left_semi")
-    good = resolve_section(check_source(deltas).filter(F.col("reject_reason").isNull()), sections)
-    return cut_lineage(_headers(_replay(touched, good, width), sections))
+    return _replay_written(stock, cut_lineage(deltas), sections, width)
 
 
-def _touched(deltas: DataFrame) -> DataFrame:
-    return check_source(deltas).filter(F.col("reject_reason").isNull()).select(*KEY).distinct()
+def _replay_written(stock: DataFrame, deltas: DataFrame, sections: DataFrame, width: int) -> DataFrame:
+    good = check_source(deltas).filter(F.col("reject_reason").isNull())
+    touched = stock.join(good.select(*KEY).distinct(), KEY, "left_semi")
+    return cut_lineage(_replay(touched, resolve_section(good, sections), width))
 
 
 def _cell_events(replayed: DataFrame) -> DataFrame:
-    """Accepted cell values one per row: ``(bin, part, seq, col, value)``.
+    """Accepted cell values one per row: ``(bin, part, section, seq, col, value)``.
 
-    Columns the section's header lacks are ignored; Qty and Source are computed. The Part
-    cell stays as the row was born.
+    Qty and Source are computed. The Part cell stays as the row was born. Columns that the
+    section's header lacks are left to :func:`_in_header`.
     """
-    known = F.col("header").isNull() | F.array_contains("header", F.col("col"))
     birth = F.col("inserts") | F.col("seq").isNull()
     return (
         replayed.filter("accepted")
-        .select(*KEY, "seq", "inserts", "header", F.explode("cells").alias("col", "value"))
-        .filter(known & ~F.col("col").isin("Qty", "Source"))
+        .select(*KEY, "section", "seq", "inserts", F.explode("cells").alias("col", "value"))
+        .filter(~F.col("col").isin("Qty", "Source"))
         .filter((F.col("col") != "Part") | birth)
-        .drop("inserts", "header")
+        .drop("inserts")
     )
 
 
-def _changed_events(replayed: DataFrame, width: int) -> DataFrame:
+def _changed_events(replayed: DataFrame, sections: DataFrame, width: int) -> DataFrame:
     """``(bin, part, seq)`` of deltas that set a cell to another value."""
     cells = (
         _cell_events(replayed)
@@ -229,9 +238,9 @@ def _changed_events(replayed: DataFrame, width: int) -> DataFrame:
     before = running(
         cells, [*KEY, "col"], ["_at"], int_chunk("_at", width), lags={"before": F.col("value")}
     )
+    changed = before.filter(F.col("seq").isNotNull()).filter(F.col("value") != F.coalesce("before", F.lit("")))
     return (
-        before.filter(F.col("seq").isNotNull())
-        .filter(F.col("value") != F.coalesce("before", F.lit("")))
+        _in_header(changed.select(*KEY, "section", "seq", "col"), sections)
         .select(*KEY, "seq")
         .distinct()
         .withColumn("cell_changed", F.lit(True))
@@ -250,9 +259,10 @@ def dispositions(
     ``reason`` says why a delta was rejected. A supplied Qty or Source cell counts as a
     metadata change where it differs, although the computed value then replaces it.
     """
-    bad = check_source(deltas).filter(F.col("reject_reason").isNotNull())
     if replayed is None:
-        replayed = replay(stock, deltas, sections, width)
+        deltas = cut_lineage(deltas)
+        replayed = _replay_written(stock, deltas, sections, width)
+    bad = check_source(deltas).filter(F.col("reject_reason").isNotNull())
     own = replayed.filter(F.col("seq").isNotNull())
     given_source = F.try_element_at("cells", F.lit("Source"))
     given_qty = F.try_element_at("cells", F.lit("Qty"))
@@ -263,7 +273,7 @@ def dispositions(
         given_qty != (F.col("qty_after") - F.col("qty_delta")).cast("string"), F.lit(False)
     )
     judged = (
-        own.join(_changed_events(replayed, width), [*KEY, "seq"], "left")
+        own.join(_changed_events(replayed, sections, width), [*KEY, "seq"], "left")
         .withColumn(
             "changed", F.coalesce("cell_changed", F.lit(False)) | source_changed | qty_changed
         )
@@ -314,17 +324,17 @@ def upsert_batch(
         .agg(F.max_by(state, at).alias("s"))
         .select(*KEY, "s.*")
     )
+    latest = _cell_events(replayed).groupBy(*KEY, "section", "col").agg(F.max_by("value", at).alias("value"))
     cells = (
-        _cell_events(replayed)
-        .groupBy(*KEY, "col")
-        .agg(F.max_by("value", at).alias("value"))
+        _in_header(latest, sections)
         .groupBy(*KEY)
         # one entry per header column, so the list is as short as a header
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "value")))).alias("cells"))
     )
     cell_map = F.coalesce("cells", F.create_map().cast("map<string,string>"))
     known = lambda e: (F.col("header").isNull() | F.array_contains("header", e["key"])) & ~e["key"].isin("Qty", "Source")
-    untouched = _headers(stock.join(_touched(deltas), KEY, "left_anti"), sections).select(
+    touched = replayed.filter(F.col("seq").isNotNull()).select(*KEY).distinct()
+    untouched = _headers(stock.join(touched, KEY, "left_anti"), sections).select(
         *KEY,
         "section",
         F.col("qty").cast("long").alias("qty"),

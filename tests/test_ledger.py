@@ -239,3 +239,26 @@ def test_merge_and_first_sightings(rows):
     stock = rows([("b", "p")], "bin string, part string")
     deltas = rows([("b", "p", 1, 1), ("b", "q", 3, 1), ("b", "q", 2, 5)], "bin string, part string, seq long, qty_delta int")
     assert tuples(L.first_sightings(stock, deltas)) == [("b", "q", 2, 5)]
+
+
+@pytest.mark.parametrize("op", [L.upsert_batch, L.dispositions])
+def test_costly_deltas_are_worked_out_once(spark, rows, op):
+    cells = "source string, {}section string, cells map<string,string>"
+    stock = rows([("b", "P1", 2, "manual", "S", {"Part": "P1"})], "bin string, part string, qty long, " + cells.format(""))
+    sections = rows([("b", "S", 1, True, ["Part", "Notes"])], "bin string, section string, position int, has_table boolean, header array<string>")
+    data = [("b", i, f"P{i % 3}", 1, "manual" if i else "", None, {"Notes": "n", "Extra": "x"}) for i in range(9)]
+    deltas = rows(data, "bin string, seq long, part string, qty_delta long, " + cells.format(""))
+    met = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    out = op(stock, deltas.mapInArrow(count, deltas.schema), sections)
+    got = out.collect()
+    assert met.value == len(data)
+    if op is L.upsert_batch:
+        assert sorted((r["part"], r["qty"], tuple(sorted(r["cells"].items()))) for r in got) == [
+            (f"P{i}", n, (("Notes", "n"), ("Part", f"P{i}"))) for i, n in ((0, 2), (1, 5), (2, 3))
+        ]
