@@ -10,6 +10,7 @@ from partslake.llm.forest import one_of_each
 from partslake.llm.mixing import mix
 from partslake.llm.packing import cut, pack
 from partslake.llm.secrets import redact
+from partslake.llm.simhash import MAX_BITS
 from partslake.llm.toxicity import THRESHOLD, score, train
 from partslake.session import cut_lineage
 
@@ -26,8 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return one_of_each(docs.select(*COLUMNS), width=NEAR_WORDS, similar=NEAR_SIMILAR)
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    SimHash fingerprints are joined over the binary trie, and what it links is confirmed on whole sets of
+    shingles; similar texts whose fingerprints lie further apart are then found by the LSH forest.
+    """
+    return one_of_each(docs.select(*COLUMNS), width=NEAR_WORDS, similar=NEAR_SIMILAR, max_bits=MAX_BITS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ many pairs as nodes; the settled ones make components. Then only nodes of differ
 components are paired. Regions that still hold many such pairs, or are too large for a task,
 are joined into groups whose nodes are all compared on whole sets, block against block
 inside tasks that return a spanning forest.
+
+Links may first be sought by SimHash (``trie_joined``): the trie self-join names the candidates,
+whole sets settle them, and the forest is left with what lies across the components made.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 
 from partslake.llm.common import SPACES, Hashes, lowered, mix, only, scans, table_of, text_bytes, words
 from partslake.llm.components import components
+from partslake.llm.simhash import SHINGLE_WORDS as PRINT_WORDS
+from partslake.llm.simhash import fingerprint, links
 from partslake.plans.running import numbered, top_rows
 from partslake.session import cut_lineage
 
@@ -100,26 +105,32 @@ def least_size(similar: tuple[int, int]) -> int:
     return -(-up // (down - up)) if down > up else 1 << 62
 
 
-def signed(docs: DataFrame, keep: list[str], width: int, least: int) -> DataFrame:
-    """The columns ``keep`` with ``node``, ``n`` (size of the set) and ``sig``.
+def signed(docs: DataFrame, keep: list[str], width: int, least: int, shingle: int | None = None) -> DataFrame:
+    """The columns ``keep`` with ``node``, ``n`` (size of the set) and ``sig``; with ``shingle`` also ``fp``, the SimHash of such shingles.
 
-    ``sig`` is null where a set is too small to have a similar one, and for a node that the
-    task has met before.
+    ``sig`` and ``fp`` are null where a set is too small to have a similar one, and for a node that
+    the task has met before.
     """
     schema = docs.select(*keep).schema.add("node", "long").add("n", "long").add("sig", "binary")
+    if shingle:
+        schema = schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, met = Hashes(), set()
         for batch in batches:
-            node, n, sig = [], [], []
-            for name, s in _sets(batch, hashes, width):
+            node, n, sig, fp = [], [], [], []
+            for (name, s), text in zip(_sets(batch, hashes, width), batch.column("_text")):
+                new = len(s) >= least and name not in met
                 node.append(name)
                 n.append(len(s))
-                sig.append(signature(s) if len(s) >= least and name not in met else None)
+                sig.append(signature(s) if new else None)
+                if shingle:
+                    fp.append(np.uint64(fingerprint(text.as_py(), shingle)).view(np.int64) if new else None)
                 met.add(name)
             if len(met) > _HELD:
                 met.clear()
             made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(sig, pa.binary())]
+            made += [pa.array(fp, pa.int64())] if shingle else []
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
 
     return docs.select(*keep, text_bytes().alias("_text")).mapInArrow(run, schema)
@@ -240,7 +251,7 @@ def _sorted(posts: DataFrame) -> DataFrame:
 
 
 def partners(posts: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """``node`` and ``other``: for each node with any candidate, that of the smallest id over all trees."""
+    """``node`` and ``other``: for each node with any candidate of another component, that of the smallest id over all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, found in _scan(batches, similar):
@@ -250,7 +261,7 @@ def partners(posts: DataFrame, similar: tuple[int, int]) -> DataFrame:
                 inside = inside[np.argsort(r.low[a:b], kind="stable")]
                 for part in range(0, len(inside), 512):
                     rows = inside[part : part + 512]
-                    near = r.near(rows, inside)
+                    near = r.near(rows, inside) & (r.comp[rows, None] != r.comp[inside])
                     some = near.any(axis=1)
                     made[0].append(rows[some])
                     made[1].append(inside[near.argmax(axis=1)[some]])
@@ -382,19 +393,48 @@ def block_links(rows: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> D
     return sides[0].unionByName(sides[1]).groupBy("g", "i", "j").applyInPandas(pair, "a long, b long")
 
 
-def linked(texts: DataFrame, nodes: DataFrame, *, width: int, similar: tuple[int, int]) -> DataFrame:
-    """``node`` and ``root`` of every node that has a similar one. ``nodes``: node, n, low, sig."""
+def trie_joined(texts: DataFrame, nodes: DataFrame, *, width: int, similar: tuple[int, int], max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``node`` and ``root`` of nodes that the SimHash trie links and whole sets confirm; and ``node`` and ``shingles`` of those tried.
+
+    ``nodes``: node, fp, sig. Nodes of one fingerprint are tried against the first of them, and first
+    ones as the trie's self-join links their fingerprints, at ``max_bits`` bits or fewer.
+    """
+    large = nodes.filter(F.col("sig").isNotNull()).select("node", "fp")
+    first = cut_lineage(large.groupBy("fp").agg(F.min("node").alias("first")))
+    same = large.join(first, "fp").filter(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}")) for c in "ab"]
+    across = links(first.select("fp"), max_bits=max_bits).join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    pairs = cut_lineage(same.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tried = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = cut_lineage(sets_of(texts, tried, width))
+    return cut_lineage(components(settled(pairs, sets, similar))), sets
+
+
+def linked(texts: DataFrame, nodes: DataFrame, *, width: int, similar: tuple[int, int], max_bits: int | None = None) -> DataFrame:
+    """``node`` and ``root`` of every node that has a similar one. ``nodes``: node, n, low, sig, with ``max_bits`` also fp."""
     large = nodes.filter(F.col("sig").isNotNull()).withColumn("low", F.coalesce("low", F.lit((1 << 63) - 1)))
-    posts, _ = regions(postings(large.withColumn("comp", F.col("node"))))
+    start, joined = large.withColumn("comp", F.col("node")), None
+    if max_bits is not None:
+        joined, held = trie_joined(texts, nodes, width=width, similar=similar, max_bits=max_bits)
+        start = large.join(joined, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    posts, _ = regions(postings(start))
     first = cut_lineage(partners(posts, similar))
-    sets = cut_lineage(sets_of(texts, first.select("node"), width))
+    asked = first.select("node")
+    if joined is None:
+        sets = cut_lineage(sets_of(texts, asked, width))
+    else:
+        asked = cut_lineage(asked.union(joined.select("node")).distinct())
+        sets = held.union(cut_lineage(sets_of(texts, asked.join(held, "node", "left_anti"), width)))
     tried = first.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     tried = cut_lineage(tried)
-    edges = cut_lineage(settled(tried, sets, similar))
+    edges = settled(tried, sets, similar)
+    if joined is not None:
+        edges = edges.union(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    edges = cut_lineage(edges)
     roots = cut_lineage(components(edges))
 
     # what is similar and not joined yet lies across components
-    labelled = large.join(first.select("node"), "node", "left_semi").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    labelled = large.join(asked, "node", "left_semi").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     labelled = cut_lineage(labelled)
     posts, sliced = regions(postings(labelled))
     across = cut_lineage(crossing(posts, similar))
@@ -417,14 +457,19 @@ def linked(texts: DataFrame, nodes: DataFrame, *, width: int, similar: tuple[int
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
-def classes(docs: DataFrame, keep: list[str], *, width: int = SHINGLE_WORDS, similar: tuple[int, int] = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """Two tables: the columns ``keep`` with ``node`` and ``n`` of each row, and ``node`` with ``root`` of each node."""
-    named = cut_lineage(signed(docs, keep, width, least_size(similar)))
-    nodes = named.groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").try_cast("long").alias("low"), F.first("sig", ignorenulls=True).alias("sig"))
-    nodes = cut_lineage(nodes)
-    roots = linked(docs, nodes, width=width, similar=similar)
+def classes(
+    docs: DataFrame, keep: list[str], *, width: int = SHINGLE_WORDS, similar: tuple[int, int] = SIMILAR, max_bits: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Two tables: the columns ``keep`` with ``node`` and ``n`` of each row, and ``node`` with ``root`` of each node.
+
+    With ``max_bits``, SimHash fingerprints at so many bits or fewer are linked first (``trie_joined``).
+    """
+    named = cut_lineage(signed(docs, keep, width, least_size(similar), None if max_bits is None else PRINT_WORDS))
+    found = [F.first(c, ignorenulls=True).alias(c) for c in named.columns if c in ("sig", "fp")]
+    nodes = cut_lineage(named.groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").try_cast("long").alias("low"), *found))
+    roots = linked(docs, nodes, width=width, similar=similar, max_bits=max_bits)
     every = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    return named.drop("sig"), every
+    return named.select(*keep, "node", "n"), every
 
 
 def near_duplicates(docs: DataFrame, *, width: int = SHINGLE_WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -454,15 +499,16 @@ def _row_key(columns: list[str]) -> list[Column]:
     return [F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("long").alias(f"_k{k}") for k in range(2)]
 
 
-def one_of_each(docs: DataFrame, *, width: int, similar: tuple[int, int]) -> DataFrame:
+def one_of_each(docs: DataFrame, *, width: int, similar: tuple[int, int], max_bits: int | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id.
 
+    ``max_bits`` is that of ``classes``: a way to find links, which does not change what is linked.
     Null ids come last; of rows with one id that with the smaller digest of the text stays,
     and of rows that share id and text any one. Texts without words are all alike.
     """
     keys = ["_k0", "_k1"]
     texts = only(docs, "doc_id", "text").select("doc_id", "text", *_row_key(["doc_id", "text"]))
-    named, every = classes(texts, ["doc_id", *keys], width=width, similar=similar)
+    named, every = classes(texts, ["doc_id", *keys], width=width, similar=similar, max_bits=max_bits)
     rows = named.groupBy("node", "doc_id", *keys).agg(F.count(F.lit(1)).alias("copies")).join(every, "node")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys, "copies")
     kept = cut_lineage(rows.groupBy("root").agg(F.min(order).alias("r")).select("r.*").select(*keys, "copies").distinct())

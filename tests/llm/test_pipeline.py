@@ -8,7 +8,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from partslake.llm import toxicity
+from partslake.llm import forest, toxicity
+from partslake.llm.simhash import fingerprint
 from tests.llm.test_forest import plain, shingles
 from tests.llm.test_secrets import brute as secret_spans
 
@@ -69,6 +70,27 @@ def test_near_duplicates_by_similarity(spark, rows, changed, kept):
     assert [r.doc_id for r in C.drop_near_duplicates(spark, docs, SF).orderBy("doc_id").collect()] == [1, 2][:kept]
 
 
+def test_the_trie_links_close_texts_and_the_forest_the_rest(spark, rows, monkeypatch):
+    """Without the forest, texts at a few bits are one, and a link of the trie that the sets deny is none."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(600)]
+    close, far = base[:-1] + ["changed"], list(base)
+    for k in range(10):
+        far[40 * k + 10] = "changed"
+    repeated = base[:41] * 100  # shingles count as often as they occur in a fingerprint, once in a set
+    denied = repeated + [f"x{k}" for k in range(12)]
+    data = [(i, " ".join(t), "en", "web", 1) for i, t in enumerate([base, close, far, repeated, denied])]
+    docs = rows(data, "doc_id long, text string, lang string, source string, n_chars long")
+    bits = lambda i, j: bin(fingerprint(data[i][1].encode(), 3) ^ fingerprint(data[j][1].encode(), 3)).count("1")
+    assert bits(0, 1) <= 2 < bits(0, 2) and bits(3, 4) <= 2
+    kept = lambda: [r.doc_id for r in C.drop_near_duplicates(spark, docs, SF).orderBy("doc_id").collect()]
+    assert kept() == [0, 3, 4]
+    with monkeypatch.context() as m:
+        m.setattr(forest, "partners", lambda posts, similar: spark.createDataFrame([], "node long, other long"))
+        assert kept() == [0, 2, 3, 4]
+    assert [i for i, n, low in plain([d[:2] for d in data], 5, (4, 5))[0] if i == low] == [0, 3, 4]
+
+
 @pytest.mark.parametrize("stage", [s for _, s in C.STAGES], ids=[n for n, _ in C.STAGES])
 def test_stages_on_nulls_and_an_empty_table(spark, rows, stage):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score int, node int, source_ string"
