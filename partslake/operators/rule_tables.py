@@ -3,8 +3,10 @@
 Short rule sets are literals in the plan (``family.owners``, ``enrich.family_datasheet``,
 ``changes.is_interesting``). A long one is a table and is never looped over: each rule is
 filed under the longer of its literal head and literal tail, a text offers its own heads
-and tails of the lengths that occur, and both meet in an equi-join. Only what meets is held
-against the whole pattern. A rule and a text share one key at most, so they meet once. The plan has
+and tails of the lengths that occur, and both meet in an equi-join. Rules that share a literal but have
+single-character wildcards beside it (``**/12?page=2``, ``**/13?page=2``) differ in the characters behind
+those, which have a fixed place: a text takes the shapes of such rules from the literal it met, and
+a second equi-join is on all characters at a fixed place. Only what meets is held against the whole pattern. A rule and a text share one key at most, so they meet once. The plan has
 the same size for any number of rules.
 
 A rule that begins and ends with a wildcard (``**``, ``*/en/*``) has no literal to be filed under and
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from partslake.functions import text as T
 from partslake.functions.arrays import exploded
+from partslake.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,10 +39,10 @@ def glob_regex(glob: Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(F.transform(pieces, meaning), ""), F.lit(r"\z"))
 
 
-def _filed(rules: DataFrame, head: Column, tail: Column | None = None) -> DataFrame:
-    """Rules with ``_tail`` (the key is one), ``_n`` (its length) and ``_key``."""
+def _filed(rules: DataFrame, head: Column, tail: Column | None = None, by_tail: Column | None = None) -> DataFrame:
+    """Rules with ``_tail`` (the key is one), ``_n`` (its length) and ``_key``, the longer of the two unless ``by_tail`` says which."""
     tail = F.lit("") if tail is None else tail
-    by_tail = F.char_length(tail) > F.char_length(head)
+    by_tail = F.char_length(tail) > F.char_length(head) if by_tail is None else by_tail
     return rules.withColumns({"_tail": by_tail, "_key": F.when(by_tail, tail).otherwise(head)}).withColumn("_n", F.char_length("_key"))
 
 
@@ -57,17 +60,40 @@ def _offered(rows: DataFrame, text: Column, filed: DataFrame) -> DataFrame:
     return exploded(rows, rows.columns, offered, "_k").select(*rows.columns, "_k.*")
 
 
+def _masked(text: Column, shape: Column, tail: Column) -> Column:
+    """The first or last characters of ``text``, as many as ``shape`` has, with ``?`` where that has it."""
+    n = F.char_length(shape)
+    cut = F.substring(text, F.when(tail, F.char_length(text) - n + 1).otherwise(F.lit(1)), n)
+    places = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(shape, i, F.lit(1)) == "?")
+    return F.when(n == 0, "").otherwise(F.aggregate(places, cut, lambda c, i: F.overlay(c, F.lit("?"), i, F.lit(1))))
+
+
+def candidates_of(paths: DataFrame, entries: DataFrame) -> DataFrame:
+    """Path, pattern, owner and ``_regex``: entries of which a path has all characters at a fixed place from its begin, or its end."""
+    entries = entries.select("pattern", "owner").filter("pattern is not null")
+    # what stands before the first * and behind the last one has a fixed place
+    parts = entries.withColumns({"_head": F.regexp_extract("pattern", r"^[^*]*", 0), "_last": F.regexp_extract("pattern", r"[^*]*\z", 0)})
+    head, tail = F.regexp_extract("_head", r"^[^?]*", 0), F.regexp_extract("_last", r"[^?]*\z", 0)
+    weight = lambda part, run: F.struct(F.char_length(F.replace(F.col(part), F.lit("?"), F.lit(""))), F.char_length(run))
+    filed = _filed(parts, head, tail, weight("_last", tail) > weight("_head", head))
+    part = F.when(F.col("_tail"), F.col("_last")).otherwise(F.col("_head"))
+    part = F.when(F.contains(part, F.lit("?")), part).otherwise("")  # without ? it is the key itself
+    filed = filed.withColumn("_part", part).withColumn("_shape", F.regexp_replace("_part", "[^?]", "x"))
+    # read three times
+    filed = cut_lineage(filed.withColumn("_regex", glob_regex(F.col("pattern"))).drop("_head", "_last"))
+    offered = _offered(paths.select("path"), F.col("path"), filed)
+    shaped = offered.join(filed.select("_tail", "_key", "_shape").distinct(), ["_tail", "_key"])
+    shaped = shaped.filter(F.char_length("path") >= F.char_length("_shape")).withColumn("_part", _masked(F.col("path"), F.col("_shape"), F.col("_tail")))
+    return shaped.join(filed.drop("_n"), ["_tail", "_key", "_shape", "_part"]).select("path", "pattern", "owner", "_regex")
+
+
 def owners_of(paths: DataFrame, entries: DataFrame) -> DataFrame:
     """Like ``family.owners``, of ``entries (pattern, owner)`` in a table: path, pattern, owner.
 
     A path that stands in several rows comes out for each; entries that stand twice, likewise. Null
     paths and patterns match nothing; the empty pattern matches the empty path.
     """
-    entries = entries.select("pattern", "owner").filter("pattern is not null")
-    filed = _filed(entries, F.regexp_extract("pattern", r"^[^*?]*", 0), F.regexp_extract("pattern", r"[^*?]*\z", 0))
-    filed = filed.withColumn("_regex", glob_regex(F.col("pattern")))
-    offered = _offered(paths.select("path"), F.col("path"), filed)
-    met = offered.join(filed.drop("_n"), ["_tail", "_key"])
+    met = candidates_of(paths, entries)
     return met.filter(F.regexp_like("path", F.col("_regex"))).select("path", "pattern", "owner")
 
 

@@ -23,6 +23,24 @@ def test_owners(rows):
     assert len(got) > 25
 
 
+def test_owners_with_single_wildcards(rows):
+    words = ["a", "b/c", "é", "\U0001f600", "?", "/", "", "long-name", "x"]
+    globs = [f"{h}{x}?{y}" for h in ("", "*", "**/") for x in words for y in words] + [f"{x}?{y}*" for x in words for y in words] + ["??", "?a?", "*?a?b", "a??*", "a*a?", "a?*?a"]
+    names = [f"{x}{m}{y}" for x in words for m in ("?", "m", "/", "é", "\U0001f600", "") for y in words] + ["d/a?x", "d/d/b/c?é", "a\nb", None]
+    paths, entries = rows([(p,) for p in names], "path string"), [(g, f"o{i}") for i, g in enumerate(globs)]
+    got = tuples(P.owners_of(paths, rows(entries, "pattern string, owner string")), "path", "pattern", "owner")
+    assert got == tuples(D.owners(paths.filter("path is not null"), entries), "path", "pattern", "owner")
+    assert len(got) > 1000
+
+
+@pytest.mark.parametrize("glob, path", [("'**/', id, '?page=2&ref=x'", "'host/en/', id, '?page=2&ref=x'"), ("'page', '?', id, '?/*'", "'page-', id, '-/x'")])
+def test_rules_that_share_a_literal_meet_few_paths(spark, glob, path):
+    n = 3_000
+    entries, paths = spark.range(n).selectExpr(f"concat({glob}) as pattern", "'o' as owner"), spark.range(n).selectExpr(f"concat({path}) as path")
+    assert P.owners_of(paths, entries).count() == n
+    assert P.candidates_of(paths, entries).count() <= 3 * n
+
+
 def test_datasheets(rows):
     names = ["LM358N", "lm358", "TL082CP", "TL08xx", "tl08", "NE555P", "İLM358", "L7805", None, "", "PIC16F84", "xLM358"]
     parts = rows([(i, p) for i, p in enumerate(names * 2)], "id int, part string")
