@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from partslake.llm import repeats as R
 
@@ -68,3 +69,35 @@ def test_full_length(spark, rows):
 
 def test_empty(spark, rows):
     assert R.remove_repeats(rows([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_one_passage_are_dealt_over_tasks(spark, rows, monkeypatch):
+    """A passage in all texts is one rank: its rows lie in many files of the tables between, and the result is the same."""
+    rng = np.random.default_rng(4)
+    prose = lambda n: "".join(rng.choice(list("abcdefghijk "), n))
+    passage = prose(41)
+    data = [(i, prose(rng.integers(0, 60)) + passage + prose(rng.integers(0, 60))) for i in range(300)]
+    data += [(300 + i, prose(20) + data[i][1] + prose(20)) for i in range(6)]
+    share, keep = [], R.Tables.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        if "_rank" in out.columns:
+            files = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+            share.append(max(files) / sum(files))
+        return out
+
+    monkeypatch.setattr(R.Tables, "keep", counted)
+    monkeypatch.setattr(R, "KEY_ROWS", 4, raising=False)
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = R.remove_repeats(rows(data, "doc_id long, text string"), length=40, window=16, gram=8, run_size=4).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in out)
+    assert got == sorted((i, *x) for (i, _), x in zip(data, brute([t.encode() for _, t in data], 40)))
+    assert share and max(share) < 0.3, share
