@@ -188,12 +188,18 @@ class Cells:
     def search(self, asked: DataFrame, k: int) -> DataFrame:
         """The k nearest rows of each ``(id, vec, most)`` within its ``cell``, none farther than ``most``."""
         id_type, label_type = dict(asked.dtypes)["id"], dict(self.rows.dtypes)["label"]
-        visits = asked.groupBy("cell").agg(_blocks(F.count(F.lit(1)), self.block_rows).alias("qn"))
-        grid = self.sizes.select("cell", _blocks(F.col("n"), self.block_rows).alias("cn")).join(visits, "cell")
-        queries = asked.join(grid, "cell").select(
+        if self.points is None:
+            # one cell: a join on its only number would be one without a key, so the blocks are counted here
+            blocks = [max(1, ceil(n / self.block_rows)) for n in (self.sizes.first()["n"], asked.count())]
+            in_grid = lambda df: df.withColumns(dict(zip(("cn", "qn"), map(F.lit, blocks))))
+        else:
+            visits = asked.groupBy("cell").agg(_blocks(F.count(F.lit(1)), self.block_rows).alias("qn"))
+            grid = self.sizes.select("cell", _blocks(F.col("n"), self.block_rows).alias("cn")).join(visits, "cell")
+            in_grid = lambda df: df.join(grid, "cell")
+        queries = in_grid(asked).select(
             "cell", _block("id", F.col("qn")).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("cb"), "id", "vec", "most"
         )
-        rows = self.rows.join(grid, "cell").select(
+        rows = in_grid(self.rows).select(
             "cell", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qb"), _block("row_id", F.col("cn")).alias("cb"),
             "row_id", "label", "vec",
         )

@@ -104,3 +104,13 @@ def test_memory_of_a_block_and_of_a_batch_is_bounded():
     # a row of the batch comes once, with its cells in a list
     assert len(asked) == len(batch) and asked["cells"].map(len).eq(M.FANOUT).all()
     assert peak < 200e6
+
+
+def test_one_cell_has_no_join_without_a_key(rows):
+    """A small cache is one cell; its queries and rows still fall into blocks, and the result is that of brute force."""
+    rng = np.random.default_rng(11)
+    cached, asked = (rng.normal(size=(n, 8)).astype(np.float32).astype(float) for n in (40, 30))
+    got = M.nearest(rows([(i, v.tolist()) for i, v in enumerate(asked)], ASKED), table(rows, cached), 3, block_rows=16)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert found(got) == brute(asked, cached, 3)
