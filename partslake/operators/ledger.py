@@ -2,13 +2,14 @@
 
 Stock is ``(bin, section, part, qty, source, cells)``, unique by (bin, part). Deltas are
 ``(bin, seq, part, qty_delta, source, section, cells)``, ``seq`` unique per bin. Rows of one
-part are processed in ``seq`` order in chunks of bounded size, so a part with a large share
-of all deltas spreads over many tasks.
+part are processed in ``seq`` order: those of most parts in one task, moved once; a part
+with very many deltas is cut into chunks of bounded size, which spread over many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,14 @@ from partslake.plans.running import CHUNK_ROWS, int_chunk, numbered, running, to
 from partslake.session import cut_lineage
 
 KEY = ["bin", "part"]
+# Parts fall into buckets by hash. Those of a bucket with more rows than a chunk are cut into chunks.
+BUCKETS = 1 << 16
+# Many deltas are moved between tasks a part of them at a time, in so many passes at most: by then
+# the disk this takes is no more than what the deltas and their replay take in any case.
+PASS_ROWS, PASSES = 1 << 24, 4
+# Cell columns whose last values are held side by side; with more, a row is made of each cell.
+CELL_COLUMNS = 16
+COMPUTED = ("Qty", "Source", "Part")
 
 
 def resolve_first(rows: DataFrame) -> DataFrame:
@@ -90,7 +99,7 @@ def resolve_section(deltas: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
-def _replay(stock: DataFrame, deltas: DataFrame, width: int) -> DataFrame:
+def _replay_chunks(stock: DataFrame, deltas: DataFrame, width: int) -> DataFrame:
     """Stock rows and deltas as one ordered stream per part with its running state.
 
     A stock row is the event before all others. A delta is accepted if its part exists:
@@ -103,6 +112,7 @@ def _replay(stock: DataFrame, deltas: DataFrame, width: int) -> DataFrame:
         F.lit(None).cast("long").alias("seq"),
         F.col("qty").cast("long").alias("qty_delta"),
         "source",
+        F.lit(None).cast("string").alias("asked"),
         F.col("section").alias("target"),
         F.coalesce("cells", empty).alias("cells"),
         F.lit(None).cast("string").alias("insert_error"),
@@ -113,6 +123,7 @@ def _replay(stock: DataFrame, deltas: DataFrame, width: int) -> DataFrame:
             "seq",
             F.col("qty_delta").cast("long").alias("qty_delta"),
             "source",
+            F.col("section").alias("asked"),
             "target",
             F.coalesce("cells", empty).alias("cells"),
             "insert_error",
@@ -170,7 +181,7 @@ def _replay(stock: DataFrame, deltas: DataFrame, width: int) -> DataFrame:
         "qty_delta",
         "source",
         "cells",
-        "insert_error",
+        "asked",
         (F.col("_c_alive") | F.col("_alive")).alias("accepted"),
         (
             F.col("_c_qty") + F.when(F.col("_c_alive"), F.col("_all")).otherwise(F.col("_from"))
@@ -201,15 +212,154 @@ def replay(
 
     The common part of :func:`dispositions` and :func:`upsert_batch`, written once because
     both read it more than once; pass it to them to get both from one run. The deltas are read
-    twice, so costly ones are written first.
+    several times, so they are written first.
     """
-    return _replay_written(stock, cut_lineage(deltas), sections, width)
+    return _replay_written(stock, cut_lineage(deltas, release=True), sections, width)
 
 
-def _replay_written(stock: DataFrame, deltas: DataFrame, sections: DataFrame, width: int) -> DataFrame:
-    good = check_source(deltas).filter(F.col("reject_reason").isNull())
-    touched = stock.join(good.select(*KEY).distinct(), KEY, "left_semi")
-    return cut_lineage(_replay(touched, resolve_section(good, sections), width))
+def _replay_written(
+    stock: DataFrame, deltas: DataFrame, sections: DataFrame, width: int, changes: bool = True
+) -> DataFrame:
+    """:func:`replay` of written deltas. ``changes`` asks for ``cell_changed``, which an upsert has no use for."""
+    bucket = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in KEY]), F.lit(BUCKETS))
+    found = (
+        _sound(deltas)
+        .groupBy(bucket.alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.sum(F.when(F.col("n") <= width, F.col("n"))).alias("rows"),
+            F.collect_list(F.when(F.col("n") > width, F.col("bucket"))).alias("hot"),
+        )
+        .first()
+    )
+    passes, names = min(-(-(found["rows"] or 0) // PASS_ROWS), PASSES), []
+    if changes and passes:
+        given = _sound(deltas).select(F.explode(F.map_keys("cells")).alias("col"))
+        named = given.filter(~F.col("col").isin(*COMPUTED)).distinct().limit(CELL_COLUMNS + 1)
+        names = sorted(r["col"] for r in named.collect())
+    done = []
+    # nothing at all still has columns
+    for i in range(passes if passes or found["hot"] else 1):
+        mine = ~bucket.isin(found["hot"]) & (F.pmod(bucket, F.lit(passes or 1)) == i)
+        done.append(_replay_parts(stock.filter(mine), _sound(deltas.filter(mine)), sections, names, changes))
+    if found["hot"]:
+        mine = bucket.isin(found["hot"])
+        many = _sound(deltas.filter(mine))
+        touched = stock.filter(mine).join(many.select(*KEY).distinct(), KEY, "left_semi")
+        hot = cut_lineage(_replay_chunks(touched, resolve_section(many, sections), width), release=True)
+        if changes:
+            changed = _changed_events(hot, sections, width)
+            hot = cut_lineage(
+                hot.join(changed, [*KEY, "seq"], "left").withColumn(
+                    "cell_changed", F.coalesce("cell_changed", F.lit(False))
+                ),
+                release=True,
+            )
+        done.append(hot)
+    return reduce(DataFrame.unionByName, done)
+
+
+def _sound(deltas: DataFrame) -> DataFrame:
+    """Deltas of a valid source and a part in a bin."""
+    keyed = F.col("bin").isNotNull() & F.col("part").isNotNull()
+    return check_source(deltas.filter(keyed)).filter(F.col("reject_reason").isNull()).drop("reject_reason")
+
+
+def _replay_parts(
+    stock: DataFrame, deltas: DataFrame, sections: DataFrame, names: Sequence[str], changes: bool
+) -> DataFrame:
+    """As :func:`_replay_chunks`, for parts whose deltas fit into a task: each delta moves once.
+
+    What a section says of an insert is asked once per part and section, not per delta. Where
+    a part is or comes to be is one more row of it, before all its deltas. ``names`` are the
+    columns that the cells of deltas have, one more than ``CELL_COLUMNS`` at most.
+    """
+    asked = cut_lineage(deltas.groupBy(*KEY, "section").agg(F.min("seq").alias("seq")), release=True)
+    touched = cut_lineage(stock.join(asked.select(*KEY).distinct(), KEY, "left_semi"), release=True)
+    births = (
+        resolve_section(asked.join(touched.select(*KEY), KEY, "left_anti"), sections)
+        .filter(F.col("insert_error").isNull())
+        .groupBy(*KEY)
+        .agg(F.min(F.struct("seq", "target")).alias("b"))
+    )
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("qty", "long"), ("source", "string"), ("cells", "map<string,string>"))}
+    homes = touched.select(
+        *KEY, "section", F.lit(None).cast("long").alias("born"), F.col("qty").cast("long").alias("qty"), "source", "cells"
+    ).unionByName(births.select(*KEY, F.col("b.target").alias("section"), F.col("b.seq").cast("long").alias("born"), *none.values()))
+    place = ["section", "born"]
+    if changes:
+        homes, place = _headers(homes, sections), [*place, "header"]
+    homes = homes.withColumn("_home", F.struct(*place))
+    empty = F.create_map().cast("map<string,string>")
+    events = homes.select(
+        *KEY,
+        F.lit(None).cast("long").alias("seq"),
+        F.col("qty").alias("qty_delta"),
+        "source",
+        F.lit(None).cast("string").alias("asked"),
+        F.coalesce("cells", empty).alias("cells"),
+        "_home",
+    ).unionByName(
+        deltas.select(
+            *KEY,
+            F.col("seq").cast("long").alias("seq"),
+            F.col("qty_delta").cast("long").alias("qty_delta"),
+            "source",
+            F.col("section").alias("asked"),
+            F.coalesce("cells", empty).alias("cells"),
+            F.lit(None).cast(homes.schema["_home"].dataType).alias("_home"),
+        )
+    )
+    order = Window.partitionBy(*KEY).orderBy(F.col("seq").asc_nulls_first())
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    born = F.col("_home.born")
+    events = (
+        events.withColumn("_home", F.first("_home").over(upto))
+        .withColumn("prev_source", F.lag("source").over(order))
+        .withColumn(
+            "accepted",
+            F.coalesce(F.col("_home").isNotNull() & (born.isNull() | (F.col("seq") >= born)), F.lit(False)),
+        )
+        .withColumn("qty_after", F.sum(F.when(F.col("accepted"), F.col("qty_delta"))).over(upto))
+        .filter(F.col("seq").isNotNull() | born.isNull())
+        .withColumn("section", F.col("_home.section"))
+        .withColumn("inserts", F.coalesce(F.col("seq") == born, F.lit(False)))
+    )
+    state = ["qty_delta", "source", "cells", "asked", "accepted", "qty_after", "prev_source", "section", "inserts"]
+    if not changes:
+        return cut_lineage(events.select(*KEY, "seq", *state), release=True)
+    header = F.col("_home.header")
+    known = lambda c: header.isNull() | F.array_contains(header, c)
+    if len(names) <= CELL_COLUMNS:
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        changed = F.lit(False)
+        for c in map(F.lit, names):
+            given = F.when(F.col("accepted") & F.map_contains_key("cells", c), F.struct(F.try_element_at("cells", c).alias("v")))
+            last = F.last(given, ignorenulls=True).over(before)["v"]
+            changed = changed | F.coalesce(known(c) & (given["v"] != F.coalesce(last, F.lit(""))), F.lit(False))
+        marked = events.withColumn("cell_changed", F.col("seq").isNotNull() & changed)
+        return cut_lineage(marked.select(*KEY, "seq", *state, "cell_changed"), release=True)
+    cell = "struct<col:string,value:string>"
+    entries = F.filter(F.map_entries("cells"), lambda e: ~e["key"].isin(*COMPUTED) & known(e["key"]))
+    # a row for the delta itself and one for each cell it sets; the state goes with the former
+    own = F.array(F.lit(None).cast(cell))
+    cells = events.select(
+        *KEY,
+        "seq",
+        F.struct(*state).alias("state"),
+        F.explode_outer(F.when(F.col("accepted"), F.concat(own, entries.cast(f"array<{cell}>"))).otherwise(own)).alias("cell"),
+    ).select(*KEY, "seq", F.when(F.col("cell").isNull(), F.col("state")).alias("state"), "cell.*")
+    per_cell = Window.partitionBy(*KEY, "col").orderBy(F.col("seq").asc_nulls_first())
+    changed = F.col("col").isNotNull() & F.col("seq").isNotNull() & (F.col("value") != F.coalesce("_before", F.lit("")))
+    folded = (
+        cells.withColumn("_before", F.lag("value").over(per_cell))
+        .groupBy(*KEY, "seq")
+        .agg(
+            F.first("state", ignorenulls=True).alias("state"),
+            F.coalesce(F.max(changed), F.lit(False)).alias("cell_changed"),
+        )
+    )
+    return cut_lineage(folded.select(*KEY, "seq", "state.*", "cell_changed"), release=True)
 
 
 def _cell_events(replayed: DataFrame) -> DataFrame:
@@ -260,7 +410,7 @@ def dispositions(
     metadata change where it differs, although the computed value then replaces it.
     """
     if replayed is None:
-        deltas = cut_lineage(deltas)
+        deltas = cut_lineage(deltas, release=True)
         replayed = _replay_written(stock, deltas, sections, width)
     bad = check_source(deltas).filter(F.col("reject_reason").isNotNull())
     own = replayed.filter(F.col("seq").isNotNull())
@@ -272,34 +422,32 @@ def dispositions(
     qty_changed = F.coalesce(
         given_qty != (F.col("qty_after") - F.col("qty_delta")).cast("string"), F.lit(False)
     )
-    judged = (
-        own.join(_changed_events(replayed, sections, width), [*KEY, "seq"], "left")
-        .withColumn(
-            "changed", F.coalesce("cell_changed", F.lit(False)) | source_changed | qty_changed
-        )
-        .select(
+    judged = own.filter("accepted").select(
+        *KEY,
+        "seq",
+        F.when(F.col("inserts"), "inserted")
+        .when(F.col("qty_delta") != 0, "bumped")
+        .when(F.col("cell_changed") | source_changed | qty_changed, "metadata_updated")
+        .otherwise("no_op")
+        .alias("disposition"),
+        F.col("qty_after").alias("qty"),
+        "section",
+        F.lit(None).cast("string").alias("reason"),
+    )
+    early = own.filter(~F.col("accepted")).select(*KEY, "seq", F.col("asked").alias("section"))
+    refused = bad.select(*KEY, "seq", F.col("reject_reason").alias("reason")).unionByName(
+        resolve_section(early, sections).select(*KEY, "seq", F.col("insert_error").alias("reason"))
+    )
+    return judged.unionByName(
+        refused.select(
             *KEY,
             "seq",
-            F.when(~F.col("accepted"), "rejected")
-            .when(F.col("inserts"), "inserted")
-            .when(F.col("qty_delta") != 0, "bumped")
-            .when(F.col("changed"), "metadata_updated")
-            .otherwise("no_op")
-            .alias("disposition"),
-            F.when(F.col("accepted"), F.col("qty_after")).alias("qty"),
-            F.when(F.col("accepted"), F.col("section")).alias("section"),
-            F.when(~F.col("accepted"), F.col("insert_error")).alias("reason"),
+            F.lit("rejected").alias("disposition"),
+            F.lit(None).cast("long").alias("qty"),
+            F.lit(None).cast("string").alias("section"),
+            "reason",
         )
     )
-    refused = bad.select(
-        *KEY,
-        "seq",
-        F.lit("rejected").alias("disposition"),
-        F.lit(None).cast("long").alias("qty"),
-        F.lit(None).cast("string").alias("section"),
-        F.col("reject_reason").alias("reason"),
-    )
-    return judged.unionByName(refused)
 
 
 def upsert_batch(

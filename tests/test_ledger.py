@@ -1,4 +1,5 @@
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,75 @@ def test_costly_deltas_are_worked_out_once(spark, rows, op):
         assert sorted((r["part"], r["qty"], tuple(sorted(r["cells"].items()))) for r in got) == [
             (f"P{i}", n, (("Notes", "n"), ("Part", f"P{i}"))) for i, n in ((0, 2), (1, 5), (2, 3))
         ]
+
+
+@pytest.mark.parametrize("width, passes, columns", [(1 << 20, 3, 16), (1 << 20, 1, 0), (40, 2, 16)])
+def test_passes_hot_parts_and_cell_columns_equal_sequential_replay(rows, monkeypatch, width, passes, columns):
+    """Parts replayed whole, parts cut into chunks and several passes give what one delta after the other gives."""
+    monkeypatch.setattr(L, "PASS_ROWS", 1)
+    monkeypatch.setattr(L, "PASSES", passes)
+    monkeypatch.setattr(L, "CELL_COLUMNS", columns)
+    rng = random.Random(width + passes)
+    sections = [(b, s, i, s != "Text", HEADER if s != "Text" else None) for b in "xyz" for i, s in enumerate(("Text", "ICs", "Sensors"))]
+    stock = [(b, rng.choice(["ICs", "Sensors"]), f"P{i}", rng.randrange(5), "manual", {"Part": f"P{i}", "Notes": "n"}) for b in "xy" for i in range(3)]
+    deltas = []
+    for b in "xyzw":
+        # far apart: the span of the numbers must not matter
+        for seq in sorted(rng.sample(range(1 << 40), 90)):
+            given = rng.choice([None, {}, {"Notes": rng.choice("ab")}, {"Notes": "n", "Description": rng.choice("de")}, {"Description": ""},
+                                {"Qty": str(rng.randrange(4)), "Bogus": "q"}, {"Source": rng.choice(["manual", "camera"])}])
+            part = "P5" if rng.random() < 0.5 else f"P{rng.randrange(9)}"
+            deltas.append((b, seq, part, rng.choice([0, 0, 0, 1, -2]), rng.choice(["manual", "manual", "manual", "camera", "Bad"]),
+                           rng.choice([None, "ICs", "Sensors", "Nowhere"]), given))
+    state, outcome = replay(stock, sections, deltas)
+    args = rows(stock, STOCK), rows(deltas, DELTA), rows(sections, SECTION)
+    got = L.dispositions(*args, width=width).collect()
+    assert len(got) == len(deltas)
+    assert {(r["bin"], r["seq"]): (r["disposition"], r["qty"]) for r in got} == outcome
+    assert all((r["reason"] is not None) == (r["disposition"] == "rejected") for r in got)
+    post = {(r["bin"], r["part"]): dict(section=r["section"], qty=r["qty"], source=r["source"], cells=r["cells"])
+            for r in L.upsert_batch(*args, width=width).collect()}
+    assert post == state
+
+
+@pytest.mark.parametrize("op", [L.upsert_batch, L.dispositions])
+def test_a_delta_moves_between_tasks_once(spark, rows, op):
+    """Bytes of all shuffle files there are while an operator runs, however far apart the sequence numbers are."""
+    n = 20_000
+    deltas = spark.range(n).selectExpr(
+        "concat('bin', id % 100) as bin", "id * 5000000 as seq", "concat('P', id % 1000) as part", "cast(id % 3 as int) as qty_delta",
+        "'manual' as source", "cast(null as string) as section", "map('Notes', md5(string(id))) as cells",
+    )
+    stock = spark.range(500).selectExpr(
+        "concat('bin', id % 100) as bin", "'S' as section", "concat('P', id) as part", "1 as qty", "'manual' as source", "map('Part', concat('P', id)) as cells"
+    )
+    sections = spark.range(100).selectExpr(
+        "concat('bin', id) as bin", "'S' as section", "1 as position", "true as has_table", "array('Part', 'Qty', 'Source', 'Notes') as header"
+    )
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles().iterator()
+        sizes = {}
+        while files.hasNext():
+            f = files.next()
+            if f.getName().endswith(".data"):
+                sizes[f.getName()] = f.length()
+        return sizes
+
+    # the shuffle files of a step may go at once, so the peak is watched
+    before, peak, stop = shuffled(), [0], threading.Event()
+
+    def watch():
+        while not stop.wait(0.02):
+            peak[0] = max(peak[0], sum(v for k, v in shuffled().items() if k not in before))
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        op(stock, deltas, sections).write.format("noop").mode("overwrite").save()
+    finally:
+        stop.set()
+        watcher.join()
+    # a cell of a delta is 32 random digits; twice these would be moved by a second shuffle of the cells
+    assert 0 < peak[0] < n * 100
