@@ -463,7 +463,7 @@ def upsert_batch(
     shuffle, so a hot part costs one small row per task. Stock without a delta passes by.
     """
     if replayed is None:
-        replayed = replay(stock, deltas, sections, width)
+        replayed = _replay_written(stock, cut_lineage(deltas, release=True), sections, width, changes=False)
     at = F.coalesce("seq", F.lit(-1))
     state = F.struct("section", F.col("qty_after").alias("qty"), "source")
     last = (

@@ -335,3 +335,12 @@ def test_a_delta_moves_between_tasks_once(spark, rows, op):
         watcher.join()
     # a cell of a delta is 32 random digits; twice these would be moved by a second shuffle of the cells
     assert 0 < peak[0] < n * 100
+
+
+def test_an_upsert_does_not_look_for_changed_cells(rows, base, monkeypatch):
+    stock, sections = base
+    deltas = rows([("b", i, "LM358N", 1, "manual", None, {"Notes": str(i)}) for i in range(4)], DELTA)
+    monkeypatch.setattr(L, "_changed_events", None)
+    for width in (1, 1 << 20):
+        (row,) = L.upsert_batch(stock, deltas, sections, width=width).collect()
+        assert (row["qty"], row["cells"]["Notes"]) == (5, "3")
