@@ -11,6 +11,7 @@ from partslake.operators import ledger as L
 from partslake.operators import quality as Q
 from partslake.operators import rule_tables as P
 from partslake.plans.registry import query, table
+from partslake.session import cut_lineage
 
 BIN = "concat('bin', cast(floor({0} / 8) as long))"
 
@@ -175,7 +176,8 @@ def b5(spark, d):
     select bin, section, part, qty, source from post where bin not in (select bin from bad)""",
 )
 def b6(spark, d):
-    post = _flat(L.upsert_batch(stock(spark, d), deltas(spark, d), sections(spark, d)))
+    # read for the rows and for their diagnostics
+    post = cut_lineage(_flat(L.upsert_batch(stock(spark, d), deltas(spark, d), sections(spark, d))), release=True)
     rows = post.withColumns(
         {"path": F.col("bin"), "line_no": F.lit(1), "is_empty": F.lit(False)}
     )

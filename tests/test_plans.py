@@ -36,3 +36,9 @@ def test_no_window_holds_a_whole_key(spark):
     assert any("_chunk" in line for line in exchanges)
     whole = [line for line in text.splitlines() if "Window " in line and "_chunk" not in line]
     assert not whole
+
+
+def test_gated_stock_is_worked_out_once(spark):
+    """Its rows and their diagnostics are read from one table."""
+    text = plan(spark, "b6_gate")
+    assert "max_by" not in text and "Window" not in text
